@@ -1,15 +1,74 @@
-"""A corpus pipeline of operators from ``lodestrata.llm``."""
+"""A corpus pipeline: documents in, packed token sequences out.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the
+columns of ``docs``. Rows are told apart by id and text, so null or repeated ids
+are no trouble; of exact repeats of a row, one stays after the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lodestrata.llm import decontamination, language_id, ngram_join, packing, pii
+from lodestrata.llm.queries import language_pieces, packing_tokenizer, table
+from lodestrata.llm.scratch import Scratch
+
+#: Below this posterior the language counts as undecided.
+LEAST_CERTAINTY = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no clear language, go."""
+    model = language_id.fit(docs, language_pieces())
+    seen = language_id.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
+    kept = seen.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of the n-gram join stays, that with the smallest id."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    kept = ngram_join.ngram_join(docs).filter("kept").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
+    joined = numbered.join(kept, "_row")
+    return joined.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with other figures or names, go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All spans of personal data are replaced by their kind; n_chars follows the text."""
+    return pii.redacted(docs, pii.fit(docs), {"n_chars": len})
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids."""
+    return packing.pack_documents(docs, packing_tokenizer)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark_items),
+    ("personal_data", personal_data),
+    ("packed", packed),
+]
 
-STAGES: list = []
+#: SQL can't express the trained stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    before = None
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
