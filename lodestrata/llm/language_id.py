@@ -11,6 +11,7 @@ lower-cased runs of letters, those of over 48 letters are scored in stretches.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -98,6 +99,9 @@ class Lattice:
         return out
 
 
+_live: dict[str, Model] = {}
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -107,6 +111,14 @@ class Model:
     lattice: Lattice | None = None
     cache: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def live(self) -> Model:
+        """This worker's copy of the model, which keeps the words scored by earlier tasks."""
+        if self.name not in _live:
+            _live.clear()  # one model at a time
+            _live[self.name] = self
+        return _live[self.name]
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}, "table": None, "lattice": None}
@@ -203,6 +215,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     keep = docs.columns if keep is None else keep
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = model.live()
         for frame in frames:
             langs, scores = [], []
             texts = frame["_text"].tolist()
@@ -215,13 +228,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                     group.append(words_of(t))
                     total += len(t)
                     at += 1
-                for words, logs in zip(group, model.scores(group) if model.languages else [None] * len(group), strict=True):
+                for words, logs in zip(group, own.scores(group) if own.languages else [None] * len(group), strict=True):
                     if logs is None or not has_letter(words):
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
                     best = int(np.argmax(logs))
-                    langs.append(model.languages[best])
+                    langs.append(own.languages[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield frame[names].assign(_lang_pred=langs, _score=scores)
 
