@@ -89,3 +89,21 @@ SOURCE_DOUBT = r"OCR|partial|failed|missing|ambigu|possible columns|多列|未
 
 # Line ends of a text, as Python's splitlines has them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+# Roles - Chinese and English label, sections in order, pattern of a bullet.
+ROLE_TEMPLATES = {
+    "software": ("软件工程", "Software Engineer", ["summary", "skills", "experience", "projects", "education"], "针对【约束】，实现【组件/方案】，以【验证方式】确认【结果】。"),
+    "data": ("数据与算法", "Data / ML Specialist", ["summary", "skills", "experience", "projects", "education"], "在【数据范围】上采用【方法】，相对【基线】得到【结果及验证范围】。"),
+    "product": ("产品经理", "Product Manager", ["summary", "experience", "projects", "skills", "education"], "针对【用户问题】，推动【取舍/功能】，通过【实验或反馈】验证【结果】。"),
+    "design": ("设计", "Product / UX Designer", ["summary", "projects", "experience", "skills", "education"], "根据【研究发现】调整【设计】，通过【验证方法】确认【结果】，作品见【链接】。"),
+    "marketing": ("市场与运营", "Marketing / Growth Specialist", ["summary", "experience", "projects", "skills", "education"], "面向【人群】执行【渠道策略】，在【周期/投入】下取得【可归因结果】。"),
+    "sales": ("销售与客户成功", "Sales / Customer Success", ["summary", "experience", "projects", "skills", "education"], "负责【客户范围】的【销售/续费环节】，通过【动作】实现【已确认业务结果】。"),
+    "finance": ("财务与审计", "Finance / Accounting", ["summary", "certifications", "experience", "skills", "education"], "针对【财务/控制范围】执行【分析或流程】，形成【已验证交付/改进】。"),
+    "operations": ("项目与职能运营", "Operations / Project Specialist", ["summary", "experience", "projects", "skills", "education"], "协调【范围】并改进【流程】，按【验收标准】交付【结果】。"),
+    "graduate": ("应届与实习", "Graduate / Intern", ["education", "projects", "experience", "skills"], "在【课程/实习/志愿项目】中负责【行动】，交付【作品或验证结果】。"),
+    "career-change": ("转行", "Career Transition", ["summary", "projects", "skills", "experience", "education"], "将【已有能力】用于【目标领域真实项目】，完成【行动和成果】。"),
+}
+
+# Rubric dimensions and their weights; the one that needs a rendered document.
+RUBRIC = {"目标匹配": 25, "证据与可信度": 25, "成果与价值": 20, "结构与取舍": 10, "表达质量": 10, "排版与提取": 10}
+LAYOUT_DIMENSION = "排版与提取"
