@@ -1,0 +1,193 @@
+"""Files of many formats to blocks: one row per block, and a row for each file that could not be read.
+
+A file is one unit of work and never fails the job: what is wrong with it is its
+status. Formats that need outside programs (PDF, OCR, RTF, DOC) say so unless the
+program is there.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+import re
+import shutil
+import subprocess
+import tempfile
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import values as X
+from ..operators import profile as P
+from . import html, images
+from .block import Extraction
+from .docx import read_docx
+from .odt import read_odt
+from .package import ReadError
+
+MOST_BYTES = 10 * 1024 * 1024
+MOST_PAGES = 100
+
+
+def _decoded(raw: bytes, out: Extraction) -> str:
+    text, encoding, warning = X.decode(raw)
+    out.details["encoding"] = encoding
+    if warning:
+        out.warn(warning)
+    return text
+
+
+def read_text(raw: bytes, out: Extraction) -> None:
+    out.method = "text"
+    text = _decoded(raw, out)
+    if re.search(r"[\x00-\x08\x0b\x0e-\x1f]", text):
+        raise ReadError("control characters: not a text")
+    out.paragraphs(text)
+
+
+def read_html(raw: bytes, out: Extraction) -> None:
+    out.method = "html-visible-text"
+    try:
+        found = html.visible_blocks(_decoded(raw, out))
+    except ValueError as error:
+        raise ReadError(str(error)) from error
+    names = ("line_start", "line_end", "table", "row", "column", "column_span", "row_span", "list_id", "list_depth", "item_index", "list_item")
+    for k, b in enumerate(found, 1):
+        place = {"html_block": k} | {n: v for n in names if (v := getattr(b, n)) is not None}
+        out.add(f"html/{k}", b.text, place, [dict(zip(html.LINK, x, strict=True)) for x in b.links])
+
+
+def read_json(raw: bytes, out: Extraction) -> None:
+    """A valid profile by its visible fields; any other JSON by its leaves."""
+    out.method = "json"
+    data = X.strict_json(_decoded(raw, out))
+    if isinstance(data, dict) and not P.breaches(data, draft=True):
+        out.details["structured_profile"] = data
+        for path, value in P.fields(data):
+            out.add(path, value, {"json_path": path})
+        return
+    for path, value in X.leaves(data):
+        out.add(path, value, {"json_path": path})
+
+
+def command(args: list[str], timeout: int = 30) -> bytes:
+    done = subprocess.run(args, capture_output=True, timeout=timeout, env=os.environ | {"LC_ALL": "C"}, check=False)
+    if done.returncode:
+        raise ReadError(f"{args[0]} failed: {done.stderr[:200]!r}")
+    return done.stdout
+
+
+def read_pdf(raw: bytes, out: Extraction) -> None:
+    """Text by page, in layout order; needs pdftotext on the executors."""
+    out.method = "pdftotext-layout"
+    if b"%PDF-" not in raw[:1024]:
+        raise ReadError("not a PDF")
+    if re.search(rb"/Encrypt\b", raw):
+        raise ReadError("the PDF is encrypted")
+    if not shutil.which("pdftotext"):
+        out.status = "needs_dependency"
+        return out.warn("pdftotext is not installed")
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
+        f.write(raw)
+        f.flush()
+        pages = command(["pdftotext", "-layout", "-enc", "UTF-8", f.name, "-"]).decode("utf-8", "replace").split("\f")[:-1]
+    if len(pages) > MOST_PAGES:
+        raise ReadError("more pages than the limit")
+    for n, page in enumerate(pages, 1):
+        out.paragraphs(page, f"page{n}/p", {"page": n})
+    out.warn("text order on a page is that of its layout, not proof of the reading order")
+
+
+def read_image(raw: bytes, out: Extraction) -> None:
+    width, height, several = images.dimensions(raw)
+    out.method, out.status = "image", "needs_dependency"
+    out.details["image_dimensions"] = [width, height]
+    out.warn("text in images needs an OCR engine")
+    if several:
+        out.warn("the image has several pages")
+
+
+def needs(program: str) -> Callable[[bytes, Extraction], None]:
+    def read(raw: bytes, out: Extraction) -> None:
+        out.status = "needs_dependency"
+        out.warn(f"this format needs {program}")
+
+    return read
+
+
+READERS: dict[str, Callable[[bytes, Extraction], None]] = {
+    **dict.fromkeys(("txt", "md", "markdown"), read_text),
+    **dict.fromkeys(("html", "htm"), read_html),
+    **dict.fromkeys(("png", "jpg", "jpeg", "tif", "tiff"), read_image),
+    **dict.fromkeys(("rtf", "doc"), needs("a converter")),
+    "json": read_json,
+    "docx": read_docx,
+    "odt": read_odt,
+    "pdf": read_pdf,
+}
+
+
+def extract(source_id: str, path: str, raw: bytes | None, most_bytes: int = MOST_BYTES) -> Extraction:
+    suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    out = Extraction(source_id, suffix)
+    reader = READERS.get(suffix)
+    if reader is None:
+        out.status = "unsupported"
+        return out
+    try:
+        if raw is None or len(raw) > most_bytes:
+            raise ReadError("larger than the limit" if raw is not None else "no content")
+        reader(raw, out)
+        if out.status == "extracted" and not any(b["text"] or b["links"] for b in out.blocks):
+            out.status = "partial"
+            out.warn("no text was found")
+        if any("�" in b["text"] for b in out.blocks):
+            out.warn("some characters could not be read")
+    except (ReadError, ValueError, RecursionError, subprocess.SubprocessError, OSError) as error:
+        out.status, out.blocks, out.cells = "error", [], []
+        out.warn(str(error))
+    return out
+
+
+SCHEMA = "source_id string, path string, sha256 string, size long, format string, method string, status string, warnings array<string>, details string, seq int, block_id string, text string, locator string, links string, cells string"
+
+
+def _rows(path: str, raw: bytes | None, most_bytes: int) -> list[tuple]:
+    sha = hashlib.sha256(raw or b"").hexdigest()
+    source_id = f"source-{hashlib.sha256(path.encode()).hexdigest()[:12]}"
+    out = extract(source_id, path, raw, most_bytes)
+    dump = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
+    head = (source_id, path, sha, len(raw or b""), out.format, out.method, out.status, out.warnings, dump(out.details))
+    body = [(k, b["block_id"], b["text"], dump(b["locator"]), dump(b["links"])) for k, b in enumerate(out.blocks, 1)] or [(None,) * 5]
+    return [(*head, *b, dump(out.cells) if k == 0 else None) for k, b in enumerate(body)]
+
+
+def extract_files(files: DataFrame, path: str = "path", content: str = "content", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Blocks of all files; a file without blocks has one row, with its status and a null seq."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, c in zip(frame["path"], frame["content"], strict=True):
+                out = pd.DataFrame(_rows(p, None if c is None else bytes(c), most_bytes), columns=names)
+                yield out.astype({"seq": "Int32"})
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
+
+
+def read_files(spark: SparkSession, paths: str | list[str], most_bytes: int = MOST_BYTES, glob: str | None = None) -> DataFrame:
+    """Reads whole files. Those over the limit are listed by size alone: Spark filters on length before it reads content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        files = files.option("pathGlobFilter", glob)
+    files = files.load(paths)
+    small = files.filter(F.col("length") <= most_bytes).select("path", "content")
+    large = files.filter(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"))
+    return extract_files(small.unionByName(large), most_bytes=most_bytes)
+
+
+def classifier_input(blocks: DataFrame, language: str = "en") -> DataFrame:
+    """Rows as ``operators.classify.claims`` takes them."""
+    return blocks.filter("seq is not null").select("source_id", "seq", "block_id", "text", "locator", "links", F.lit(language).alias("language"), "warnings")
