@@ -21,19 +21,47 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
+STEMS = range(4, 9)
+
+
+def features(word: str) -> list[str]:
+    """The word itself, marked by a trailing space, and its beginnings, which inflected forms share."""
+    return [word + " ", *(word[:n] for n in STEMS if n <= len(word))]
+
+
+class Words(dict):
+    """What each word adds to its sentence's logit, worked out once."""
+
+    def __init__(self, weights: dict[str, float], most: int = 500_000):
+        super().__init__()
+        self.weights, self.most = weights, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = sum(self.weights.get(f, 0.0) for f in features(word))
+        return value
+
+
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float]
+    weights: dict[str, float]  # by feature
+
+    def __post_init__(self) -> None:
+        self.words = Words(self.weights)
+
+    def __reduce__(self):
+        return Model, (self.bias, self.weights)
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, logit) of each sentence that has a word."""
         out = []
-        get = self.weights.get
+        get = self.words.__getitem__
         for m in SENTENCE.finditer(text):
             words = WORD.findall(m[0].lower())
             if words:
-                out.append((m.start(), m.end(), self.bias + sum([get(w, 0.0) for w in words])))
+                out.append((m.start(), m.end(), self.bias + sum(map(get, words))))
         return out
 
 
@@ -42,23 +70,44 @@ def log_none(logits: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0.0, logits)
 
 
-def train(texts: list[str], labels: list[int], max_words: int = 400, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-3) -> Model:
-    """Fits the sentence scores to the documents' labels. Without two classes the score is constant."""
+def log_tail(hits: int, draws: int, share: float) -> float:
+    """Log probability of ``hits`` or more in ``draws``; Chernoff's bound, which holds for any size."""
+    rate = hits / draws
+    if rate <= share or share >= 1:
+        return 0.0
+    gain = rate * np.log(rate / share) + ((1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0.0)
+    return -float(draws * gain)
+
+
+def train(texts: list[str], labels: list[int], max_features: int = 400, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-5, doubt: float = 0.05) -> Model:
+    """Fits the sentence scores to the documents' labels. Without two classes the score is constant.
+
+    Only words and beginnings of words that toxic documents' sentences hold more often
+    than chance explains, ``doubt`` over all, can count; the rest is noise for the fit.
+    """
     y = np.asarray(labels, dtype=float)
     positive = float(y.sum())
     if not len(y) or positive in (0.0, float(len(y))):
         rate_of = (positive + 1) / (len(y) + 2)
         return Model(float(np.log(rate_of / (1 - rate_of))), {})
     bags = [[words for m in SENTENCE.finditer(t) if (words := WORD.findall(m[0].lower()))] for t in texts]
-    seen, toxic = Counter(), Counter()
+    # each sentence counts once, or the words of a text with many copies would seem telling
+    sentences_of: dict[tuple[str, ...], bool] = {}
     for bag, label in zip(bags, labels, strict=True):
-        own = {w for words in bag for w in words}
+        for words in bag:
+            key = tuple(words)
+            sentences_of[key] = sentences_of.get(key, False) or bool(label)
+    seen, toxic = Counter(), Counter()
+    for words, label in sentences_of.items():
+        own = {f for w in words for f in features(w)}
         seen.update(own)
         if label:
             toxic.update(own)
     n, share = len(y), positive / len(y)
-    chi = {w: (toxic[w] - k * share) ** 2 / (k * share * (1 - share) * (1 - k / (n + 1))) for w, k in seen.items() if k >= 5}
-    vocabulary = sorted((w for w in chi if chi[w] > 6.6), key=lambda w: (-chi[w], w))[:max_words]
+    tested = [f for f in toxic if toxic[f] >= 3]
+    usual = sum(sentences_of.values()) / max(1, len(sentences_of))
+    chance = {f: log_tail(toxic[f], seen[f], usual) + float(np.log(len(tested))) for f in tested}
+    vocabulary = sorted((f for f in tested if chance[f] < np.log(doubt)), key=lambda f: (chance[f], f))[:max_features]
     number = {w: k for k, w in enumerate(vocabulary)}
 
     # sentences without a word of the vocabulary count by document only
@@ -66,7 +115,7 @@ def train(texts: list[str], labels: list[int], max_words: int = 400, rounds: int
     sentences = 0
     for d, bag in enumerate(bags):
         for words in bag:
-            own = [number[w] for w in words if w in number]
+            own = [number[f] for w in words for f in features(w) if f in number]
             if not own:
                 plain[d] += 1
                 continue
@@ -86,7 +135,7 @@ def train(texts: list[str], labels: list[int], max_words: int = 400, rounds: int
         pull = np.where(y > 0, np.exp(none) / np.maximum(some, 1e-12), -1.0)
         slope = pull[doc] / (1 + np.exp(-z))
         grad = np.append(np.bincount(col, slope[at], len(vocabulary)), slope.sum() + (pull * plain).sum() / (1 + np.exp(-base))) / n
-        grad[:-1] -= penalty * theta[:-1] / 10
+        grad[:-1] -= penalty * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model(float(theta[-1]), {w: float(theta[k]) for w, k in number.items() if abs(theta[k]) > 1e-3})
