@@ -127,6 +127,17 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
+def _byte_chars() -> dict[int, str]:
+    """The usual printable characters for bytes: visible Latin-1 ones stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+_caches: dict[str, WordCache] = {}
+
+
 class WordCache:
     """Token ids of whole texts, word by word.
 
@@ -142,10 +153,32 @@ class WordCache:
         self.most = most
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b"", ".": self._ids(["."])[0], ",": self._ids([","])[0]}
+        self.model = self.tokenizer.model
+        # only if the tokenizer is of the kind for which the short way is the same
+        trial = ["word", "Words", "THE", "straße", "Über", "élan", "ÑANDÚ", "a", "internationalisation"]
+        self.short = [self._merged(w) for w in trial] == self._ids(trial)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
+    def _plain(self, part: str) -> bool:
+        """Letters whose lower case and composition are a matter of single characters."""
+        return part.isalpha() and max(part) <= "\u024f" and "\u0130" not in part
+
+    def _merged(self, part: str) -> bytes:
+        """Ids of a plain word from the merges alone, without the steps that find words in a text."""
+        part = part.lower()
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return np.asarray([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
+
+    @staticmethod
+    def of(path: str) -> WordCache:
+        """This worker's cache for a tokenizer; it outlasts the task."""
+        if path not in _caches:
+            _caches[path] = WordCache(path)
+        return _caches[path]
+
     @staticmethod
     def _split(part: str) -> tuple[str, str]:
         """A closing full stop or comma after letters is a token of its own."""
@@ -165,8 +198,11 @@ class WordCache:
             missing = {p for own in parts for p in own if p}
         if missing:
             split = {p: self._split(p) for p in missing}
-            new = list({core for core, _ in split.values() if core not in self.cores})
-            self.cores.update(zip(new, self._ids(new), strict=True))
+            new = {core for core, _ in split.values() if core not in self.cores}
+            plain = {core for core in new if self._plain(core)} if self.short else set()
+            self.cores.update((core, self._merged(core)) for core in plain)
+            rest = list(new - plain)
+            self.cores.update(zip(rest, self._ids(rest), strict=True))
             self.words.update((p, self.cores[core] + self.cores[mark]) for p, (core, mark) in split.items())
         get = self.words.__getitem__
         return [b"".join(map(get, own)) for own in parts]
@@ -176,7 +212,7 @@ def pieces_of(docs: DataFrame, tokenizer: Callable[[], str], capacity: int, end_
     """One row per piece: id, piece, start, length, ids_crc32 and, with ``keep_ids``, the ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer())
+        cache = WordCache.of(tokenizer())
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
