@@ -28,7 +28,7 @@ def test_base_spans_are_the_patterns(text):
     assert pii.ordered(pii.base_spans(text)) == brute(text)
 
 
-CASES = ["mail a.b@c.org or x@y@z.de", "ip 10.0.0.1 and 999.1.1.1 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 not 4111 1111 1111 1112", "call +44 20 7946 0958, again 020 7946 0958.", "x" * 50_000 + "1" * 50_000, "@" * 2000, ""]
+CASES = ["mail a.b@c.org or x@y@z.de", "ip 10.0.0.1 and 999.1.1.1 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 not 4111 1111 1111 1112", "call +44 20 7946 0958, again 020 7946 0958.", "x" * 3000 + "1" * 3000, "@" * 2000, ""]
 
 
 def test_cases_and_digests(documents):
