@@ -148,9 +148,12 @@ def held_out(id_col: str = "doc_id"):
 def sample(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, max_rows: int, max_bytes: int) -> tuple[list[str], list[int]]:
     """The labelled rows to learn from: not held out, at most ``max_bytes`` long, ``max_rows`` of them by their text's hash."""
     own = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    rows = docs.filter(~held_out(id_col) & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes)).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    order = F.xxhash64("text")
-    picked = rows.join(own, "id").orderBy(order, "text", "label").limit(max_rows).select("text", "label").collect()
+    usable = docs.filter(~held_out(id_col) & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes))
+    rows = usable.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # ids and hashes are joined and chosen; only the chosen rows' texts travel
+    chosen = rows.select("id", "h").join(own, "id").distinct().orderBy("h", "id", "label").limit(max_rows)
+    picked = rows.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("text", "label").collect()
+    picked = sorted(picked)
     return [r.text for r in picked], [int(r.label > 0) for r in picked]
 
 
