@@ -23,6 +23,7 @@ from .pairs import UNIT, by_unit, components, each_unit, forest, pair_indexes, u
 from .scratch import Scratch
 
 ROWS = 4
+SIGNATURE = np.uint16
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def least_matches(hashes: int, threshold: float, tolerance: float) -> list[int]:
 
 
 def signatures(n: int, bands: int):
-    """id row -> key, size, signature."""
+    """Row by row: the key of the shingle set, its size and its MinHash values."""
     a, b = permutations(bands * ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +76,18 @@ def signatures(n: int, bands: int):
             for part, texts in groups_of(batch):
                 sets = shingles(texts, n)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                sig = np.zeros((len(sets), bands * ROWS), dtype=np.uint32)
+                sig = np.zeros((len(sets), bands * ROWS), dtype=SIGNATURE)
                 if full:
                     x = (np.concatenate([sets[k] for k in full]) >> U(32)).astype(np.uint32)
                     starts = np.cumsum([0] + [len(sets[k]) for k in full])[:-1]
                     for h in range(bands * ROWS):
                         y = x * a[h] + b[h]
                         y ^= y >> np.uint32(15)
-                        sig[full, h] = np.minimum.reduceat(y * np.uint32(0x2C1B3C6D), starts)
+                        # 16 bits of a minimum tell minima apart well enough; equal minima stay equal
+                        sig[full, h] = np.minimum.reduceat(y * np.uint32(0x2C1B3C6D), starts).astype(SIGNATURE)
                 cols = [column(part, c) for c in ("row", "id", "fa", "fb")]
                 cols += [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "fa", "fb", "member", "size", "sig"])
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "fa", "fb", "set", "size", "sig"])
 
     return run
 
@@ -95,7 +97,7 @@ def band_entries(bands: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, bands, ROWS)
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), dtype=SIGNATURE).reshape(batch.num_rows, bands, ROWS)
             key = np.zeros((batch.num_rows, bands), dtype=U)
             for r in range(ROWS):
                 key = mix(key ^ sig[:, :, r].astype(U))
@@ -111,7 +113,7 @@ def candidates(bands: int, threshold: float, tolerance: float):
     least = least_matches(bands * ROWS, threshold, tolerance)
 
     def work(unit: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, -1)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=SIGNATURE).reshape(rows.num_rows, -1)
         size, band = rows.column("size").to_numpy(), int(rows.column("band")[0].as_py())
         i, j = pair_indexes(rows.column("chunk").to_numpy(), *unit[1:])
         fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
@@ -137,11 +139,10 @@ def candidates(bands: int, threshold: float, tolerance: float):
         needed = np.unique(np.concatenate([i, j]))
         offsets = np.searchsorted(i, np.append(needed, rows.num_rows))
         offsets[-1] = len(i)
-        members = rows.column("member").combine_chunks() if isinstance(rows.column("member"), pa.ChunkedArray) else rows.column("member")
         # members of a unit are numbered by their place among the needed ones
         partners = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.searchsorted(needed, j).astype(np.int32)))
         cols = [pa.array(np.full(len(needed), x), t) for x, t in zip(unit, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, members.take(pa.array(needed)), pa.array(np.arange(len(needed), dtype=np.int32)), partners], names=[*UNIT, "member", "nth", "partners"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(rows.column("member").to_numpy()[needed]), pa.array(np.arange(len(needed), dtype=np.int32)), partners], names=[*UNIT, "member", "nth", "partners"])
 
     return lambda batches: each_unit(batches, work)
 
@@ -151,7 +152,7 @@ def verify(threshold: float):
         nth = rows.column("nth").to_numpy()
         at = np.empty(rows.num_rows, dtype=np.int64)
         at[nth] = np.arange(rows.num_rows)
-        members = rows.column("member").to_pylist()
+        members = rows.column("member").to_numpy()
         sets = [np.frombuffer(x, dtype=U) for x in rows.column("shingles").to_pylist()]
         copies = rows.column("copies").to_numpy()
         flat = np.concatenate(sets)
@@ -175,11 +176,11 @@ def verify(threshold: float):
             return None
         i, j = np.array(left), np.array(right)
         links = np.bincount(i, copies[j], rows.num_rows) + np.bincount(j, copies[i], rows.num_rows)
-        rank = np.argsort(np.argsort(np.array(members, dtype=object)))
+        order = np.argsort(members)
+        rank = np.argsort(order)
         root = forest(rows.num_rows, rank[i], rank[j])
-        name = np.array(members, dtype=object)[np.argsort(rank)]
         some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array([members[k] for k in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([name[root[rank[k]]] for k in some], pa.binary())], names=["member", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(members[some]), pa.array(links[some].astype(np.int64)), pa.array(members[order[root[rank[some]]]])], names=["member", "links", "root"])
 
     return lambda batches: each_unit(batches, work)
 
@@ -212,26 +213,27 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int =
     kind = docs.schema[id_col].dataType.simpleString()
     kept_text = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(kept_text).alias("fa"), F.xxhash64(kept_text, F.lit(1)).alias("fb"), kept_text.alias("text"))
-    rows = scratch.save(base.mapInArrow(signatures(n, bands), f"row long, id {kind}, fa long, fb long, member binary, size int, sig binary"))
-    sets = scratch.save(rows.filter("size > 0").groupBy("member").agg(F.count("*").alias("copies"), F.min_by(F.struct("fa", "fb", "row"), F.struct(F.col("id").isNull(), "id", "row")).alias("own"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig")))
+    rows = scratch.save(base.mapInArrow(signatures(n, bands), f"row long, id {kind}, fa long, fb long, set binary, size int, sig binary"))
+    sets = scratch.save(rows.filter("size > 0").groupBy("set").agg(F.count("*").alias("copies"), F.min("row").alias("member"), F.min_by(F.struct("fa", "fb"), "row").alias("own"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig")))
 
-    entries = sets.select("member", "sig").mapInArrow(band_entries(bands), "bucket long, band int, member binary")
+    entries = sets.select("member", "sig").mapInArrow(band_entries(bands), "bucket long, band int, member long")
     dealt = units(entries, scratch, block).join(sets.select("member", "size", "sig"), "member")
-    found = scratch.save(by_unit(dealt.select(*UNIT, "band", "chunk", "member", "size", "sig")).mapInArrow(candidates(bands, threshold, tolerance), "bucket long, low int, high int, member binary, nth int, partners array<int>"))
+    found = scratch.save(by_unit(dealt.select(*UNIT, "band", "chunk", "member", "size", "sig")).mapInArrow(candidates(bands, threshold, tolerance), "bucket long, low int, high int, member long, nth int, partners array<int>"))
 
     # one text for each set that is to be verified
-    wanted = found.select("member").distinct().join(sets.select("member", "copies", "own"), "member").select("member", "copies", "own.*")
-    texts = base.select("row", "fa", "fb", "text").join(wanted, ["row", "fa", "fb"]).select("member", "copies", "text")
-    ready = texts.mapInArrow(shingle_rows(n), "member binary, copies long, shingles binary")
-    links = scratch.save(by_unit(found.join(ready, "member")).mapInArrow(verify(threshold), "member binary, links long, root binary"))
+    wanted = found.select("member").distinct().join(sets.select("member", "copies", "own"), "member").select(F.col("member").alias("row"), "copies", "own.*")
+    # both sides grow with the input
+    texts = base.select("row", "fa", "fb", "text").join(wanted.hint("merge"), ["row", "fa", "fb"]).select(F.col("row").alias("member"), "copies", "text")
+    ready = texts.mapInArrow(shingle_rows(n), "member long, copies long, shingles binary")
+    links = scratch.save(by_unit(found.join(ready, "member")).mapInArrow(verify(threshold), "member long, links long, root long"))
     scratch.drop(found)
 
     classes = components(links.select(F.col("member").alias("a"), F.col("root").alias("b")), scratch)
     counted = links.groupBy("member").agg(F.sum("links").alias("links"))
-    named = sets.select("member", "copies", "first").join(classes.withColumnRenamed("node", "member"), "member", "left").join(counted, "member", "left").withColumn("root", F.coalesce("root", "member"))
-    named = scratch.save(named.select("member", "root", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = sets.select("set", "member", "copies", "first").join(classes.withColumnRenamed("node", "member"), "member", "left").join(counted, "member", "left").withColumn("root", F.coalesce("root", "member"))
+    named = scratch.save(named.select("set", "root", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    labelled = scratch.save(named.join(heads, "root").select("member", "n_links", F.col("head.id").alias("class_id"), F.col("head.row").alias("head_row")))
-    out = rows.select("row", "id", "member", "size").join(labelled, "member", "left")
+    labelled = scratch.save(named.join(heads, "root").select("set", "n_links", F.col("head.id").alias("class_id"), F.col("head.row").alias("head_row")))
+    out = rows.select("row", "id", "set", "size").join(labelled, "set", "left")
     empty = F.col("size") == 0
     return out.select(F.col("id").alias(id_col), F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), (empty | (F.col("row") == F.col("head_row"))).alias("kept"), "row")
