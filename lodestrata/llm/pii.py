@@ -290,8 +290,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def fit(docs: DataFrame, text: str = "text", max_rows: int = 2000, max_bytes: int = 20_000) -> Model:
     """Learns from at most ``max_rows`` texts with a digit or an @, chosen by their hash, of at most ``max_bytes`` bytes."""
-    rows = docs.filter(F.col(text).rlike("[0-9@]") & (F.octet_length(text) <= max_bytes)).select(F.col(text).alias("text"))
-    picked = rows.orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()  # bounded by the parameters
+    usable = docs.filter(F.col(text).rlike("[0-9@]") & (F.octet_length(text) <= max_bytes))
+    rows = usable.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    # hashes are chosen first; only the chosen rows' texts travel
+    chosen = rows.select("h").distinct().orderBy("h").limit(max_rows)
+    picked = sorted(rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text").collect())
     return train([r.text for r in picked])
 
 
