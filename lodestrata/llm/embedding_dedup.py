@@ -7,8 +7,9 @@ are kept by each combination of ``shared`` pivots of the prefix; a pair is looke
 at only in the list of its smallest common combination, and its cosine is computed
 in double precision there.
 
-Pivots are a bounded sample; every vector is indexed. Equal vectors are one member
-with a count. Lists of any length are worked off in blocks (see ``pairs``).
+Pivots are random directions, the same in every run: how often a pair is found then
+depends on its cosine only, however much of the data lies in one group. Every vector
+is indexed. Equal vectors are one member with a count. Lists of any length are worked off in blocks (see ``pairs``).
 """
 
 from __future__ import annotations
@@ -39,8 +40,14 @@ def matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def directions(dim: int, n: int) -> np.ndarray:
+    """``n`` random unit vectors, always the same."""
+    x = np.random.default_rng([dim, n]).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def index(pivots: dict[int, np.ndarray], prefix: int, shared: int):
-    """For each member its prefix and its lists; vectors of a dimension with too few pivots share one list."""
+    """For each member its prefix and its lists; vectors of a rare dimension share one list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,20 +78,27 @@ def index(pivots: dict[int, np.ndarray], prefix: int, shared: int):
     return run
 
 
+def flat(col: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Equally long lists as a matrix."""
+    return col.combine_chunks().flatten().to_numpy().reshape(n, -1)
+
+
 def compare(threshold: float, shared: int, pivots: int):
     def work(unit: tuple, rows: pa.Table) -> pa.RecordBatch | None:
-        x = matrix(rows.column("vector"))
         combo = rows.column("combo")[0].as_py()
         i, j = pair_indexes(rows.column("chunk").to_numpy(), *unit[1:])
         if combo:
             has = np.zeros((rows.num_rows, pivots), dtype=np.float32)
-            prefix = np.array(rows.column("prefix").to_pylist())
+            prefix = flat(rows.column("prefix"), rows.num_rows)
             np.put_along_axis(has, prefix, 1, axis=1)
-            same = np.array([rows.column("combo")[k].as_py() == combo for k in range(rows.num_rows)])
+            same = (flat(rows.column("combo"), rows.num_rows) == combo).all(axis=1)
             # shared pivots up to the combination's last one: just the combination itself, else an earlier list has the pair
             low = has[:, : combo[-1] + 1]
             first = (low @ low.T)[i, j] == shared
             i, j = i[first & same[i] & same[j]], j[first & same[i] & same[j]]
+        if not len(i):
+            return None
+        x = matrix(rows.column("vector"))
         good = np.zeros(len(i), dtype=bool)
         for k in range(0, len(i), 100_000):
             good[k : k + 100_000] = np.einsum("ab,ab->a", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) >= threshold
@@ -101,7 +115,7 @@ def compare(threshold: float, shared: int, pivots: int):
     return lambda batches: each_unit(batches, work)
 
 
-def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = 0.9, pivots: int = 128, prefix: int = 6, shared: int = 3, block: int = 512) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = 0.9, pivots: int = 128, prefix: int = 8, shared: int = 3, block: int = 512) -> DataFrame:
     """Links vectors with a cosine of ``threshold`` or more.
 
     Returns one row per row: the id, n_links (other vectors linked directly),
@@ -127,13 +141,8 @@ def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str =
     groups = scratch.save(groups)
     members = scratch.save(groups.select("v", "copies", "first").mapInArrow(pack, f"member long, copies long, vector {packed}"))
 
-    # a bounded sample, by hash: the most frequent lengths, ``pivots`` vectors of each
-    chosen: dict[int, np.ndarray] = {}
-    dims = members.groupBy(F.length("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(4).collect()
-    for d in dims:
-        if d["count"] >= pivots:
-            own = members.filter(F.length("vector") == d.n).orderBy(F.xxhash64("vector")).limit(pivots).select("vector").collect()
-            chosen[d.n // 8] = matrix(pa.array([bytes(r.vector) for r in own], pa.binary()))
+    dims = members.groupBy(F.length("vector").alias("n")).count().filter(F.col("count") >= pivots).collect()
+    chosen = {d.n // 8: directions(d.n // 8, pivots) for d in dims}
 
     entries = members.select("member", "vector").mapInArrow(index(chosen, prefix, shared), "bucket long, member long, prefix array<int>, combo array<int>")
     dealt = units(entries, scratch, block).join(members, "member")

@@ -60,6 +60,15 @@ def test_recall_near_the_threshold_and_no_false_link(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_one_group_with_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, v.tolist()) for k, v in enumerate(list(rng.normal(size=(600, 32))) + groups(rng, 1, 300, 0.25))]
+    want = {r[0]: r[1] for r in brute(rows)}
+    got = {r.vec_id: r.n_links for r in embedding_dedup(table(spark, rows)).collect()}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.9 * sum(want.values())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, []), (3, [0, 0]), (4, [None, 1]), (5, [float("nan"), 1]), (6, [float("inf"), 1])], [(1, [1, 0]), (2, [2, 0]), (3, [1, 0, 0]), (1, [1, 0]), (None, [1, 0])]])
 def test_odd_vectors(spark, rows):
     got = embedding_dedup(table(spark, rows)).collect()
