@@ -50,14 +50,14 @@ def window_hashes(toks: Column, window: int, stride: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, text: str, id_col: str, window: int) -> DataFrame:
-    """One row per window: h, item_at, item_id, n_items, item_raw, item_template. Items with one template count as one."""
+    """One row per window: h, item_at, item_id, n_items, item_raws, item_template. Items with one template count as one, with all their different texts."""
     items = benchmark.select(F.col(id_col).alias("item_id"), raw_tokens(F.col(text)).alias("raw")).withColumn("template", template(F.col("raw")))
-    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.min("raw").alias("raw"))
-    items = items.select("item_id", "n_items", tokens(F.col("raw")).alias("item_raw"), tokens(F.col("template")).alias("item_template"))
+    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"))
+    items = items.select("item_id", "n_items", F.transform("raws", tokens).alias("item_raws"), tokens(F.col("template")).alias("item_template"))
     windows = items.withColumn("w", F.explode(window_hashes(F.col("item_template"), window, 1))).withColumn("body", F.slice("item_template", F.col("w.at") + 1, window))
     # a window of little but placeholders says nothing
     plain = F.size(F.filter("body", lambda x: ~x.isin(SLOTS))) * 2 >= window
-    return windows.filter(plain).select(F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), "item_id", "n_items", "item_raw", "item_template")
+    return windows.filter(plain).select(F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), "item_id", "n_items", "item_raws", "item_template")
 
 
 def _consistent(pairs: Column) -> Column:
@@ -71,8 +71,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
 
     Returns the id, fa and fb (fingerprint of the text), item_id (the smallest with
     that template), n_items, coverage (share of the item's template found at its
-    best place), n_slots and changed (placeholders there whose value differs). A
-    pair counts from ``coverage`` on if the placeholders are consistent. Null and
+    best place), n_slots and changed (placeholders there whose value differs from
+    the nearest text with that template). A pair counts from ``coverage`` on if the
+    placeholders are consistent with any of these texts. Null and
     short texts, and items of fewer tokens than a window, match nothing. Repeated
     rows match alike; equal (id, text) rows give one row per item. Other columns
     are ignored; empty tables give no rows.
@@ -100,8 +101,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     start = F.greatest(shift, F.lit(0)) + 1
     cut = hit.select(
         *key, "item_id", "n_items", F.size("item_template").alias("n"),
-        F.slice("item_template", skipped + 1, length).alias("it"), F.slice("item_raw", skipped + 1, length).alias("ir"), F.slice("template", start, length).alias("dt"), F.slice("raw", start, length).alias("dr"),
+        F.slice("item_template", skipped + 1, length).alias("it"), F.col("item_raws"), skipped.alias("skipped"), F.slice("template", start, length).alias("dt"), F.slice("raw", start, length).alias("dr"),
     )
+    # windows are joined once for each template; every text with it is judged by itself
+    cut = cut.withColumn("item_raw", F.explode("item_raws")).withColumn("ir", F.slice("item_raw", F.col("skipped") + 1, F.size("it")))
     zipped = F.filter(F.arrays_zip("it", "ir", "dt", "dr"), lambda z: z["it"] == z["dt"])
     judged = cut.withColumn("same", zipped).withColumn("slots", F.transform(F.filter("same", lambda z: z["it"].isin(SLOTS)), lambda z: F.struct(z["ir"].alias("a"), z["dr"].alias("b"))))
     judged = judged.select(*key, "item_id", "n_items", (F.size("same") / F.col("n")).alias("coverage"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("changed"), _consistent(F.col("slots")).alias("consistent"))

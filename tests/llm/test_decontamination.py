@@ -30,6 +30,13 @@ def test_inconsistent_slots_are_no_match(spark, documents):
     assert [r.doc_id for r in matches(docs, items(spark, [(1, item)])).collect()] == [0]
 
 
+def test_items_of_one_template_are_judged_each_by_itself(spark, documents):
+    item = "the old man at the gate sells 3 apples and {} pears to the tall woman"
+    docs = documents([(k, item.format(k)) for k in (3, 5)])
+    got = matches(docs, items(spark, [(1, item.format(3)), (2, item.format(5))])).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed, r.n_items) for r in got) == [(3, 1, 0, 2), (5, 1, 0, 2)]
+
+
 def test_all_positions_and_the_shuffled_way(spark, documents):
     rng = random.Random(6)
     wanted = text(rng, 15)
