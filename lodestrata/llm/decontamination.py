@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so an item whose figures or
-persons were changed keeps its template. Windows of template tokens are hashed, at
-every position of an item and at every ``stride``-th of a document: any run of
-``window + stride - 1`` tokens holds one of these. A hit says where in the document
+persons were changed keeps its template. Runs of ``window - stride + 1`` template tokens are hashed,
+at every position of an item and at every ``stride``-th of a document: any run of
+``window`` tokens holds one of these, wherever it stands. A hit says where in the document
 the item would lie; there the templates are compared token by token, and the
 placeholders must be filled consistently: one value of the item stands for one
 value of the document, and the other way round.
@@ -49,15 +49,18 @@ def window_hashes(toks: Column, window: int, stride: int) -> Column:
     return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(toks, i + 1, F.lit(window))).alias("h"), i.alias("at")))
 
 
-def item_windows(benchmark: DataFrame, text: str, id_col: str, window: int) -> DataFrame:
-    """One row per window: h, item_at, item_id, n_items, item_raws, item_template. Items with one template count as one, with all their different texts."""
+def item_windows(benchmark: DataFrame, text: str, id_col: str, window: int, stride: int) -> DataFrame:
+    """One row per probe, the run of tokens that is hashed: h, item_at, item_id, n_items, item_raws, item_template. Items with one template count as one, with all their different texts."""
     items = benchmark.select(F.col(id_col).alias("item_id"), raw_tokens(F.col(text)).alias("raw")).withColumn("template", template(F.col("raw")))
     items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"))
     items = items.select("item_id", "n_items", F.transform("raws", tokens).alias("item_raws"), tokens(F.col("template")).alias("item_template"))
-    windows = items.withColumn("w", F.explode(window_hashes(F.col("item_template"), window, 1))).withColumn("body", F.slice("item_template", F.col("w.at") + 1, window))
-    # a window of little but placeholders says nothing
-    plain = F.size(F.filter("body", lambda x: ~x.isin(SLOTS))) * 2 >= window
-    return windows.filter(plain).select(F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), "item_id", "n_items", "item_raws", "item_template")
+    toks, probe = F.col("item_template"), window - stride + 1
+    starts = F.when(F.size(toks) >= window, F.sequence(F.lit(0), F.size(toks) - window)).otherwise(F.array().cast("array<int>"))
+    # a window of little but placeholders says nothing; each other one has a probe at every offset that a document's stride can meet
+    plain = F.filter(starts, lambda i: F.size(F.filter(F.slice(toks, i + 1, F.lit(window)), lambda x: ~x.isin(SLOTS))) * 2 >= window)
+    at = F.array_distinct(F.flatten(F.transform(plain, lambda i: F.sequence(i, i + stride - 1))))
+    probes = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(toks, i + 1, F.lit(probe))).alias("h"), i.alias("at")))
+    return items.withColumn("w", F.explode(probes)).select(F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), "item_id", "n_items", "item_raws", "item_template")
 
 
 def _consistent(pairs: Column) -> Column:
@@ -74,14 +77,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     best place), n_slots and changed (placeholders there whose value differs from
     the nearest text with that template). A pair counts from ``coverage`` on if the
     placeholders are consistent with any of these texts. Null and
-    short texts, and items of fewer tokens than a window, match nothing. Repeated
+    short texts, items of fewer tokens than a window, and windows with more
+    placeholders than other tokens, match nothing. Repeated
     rows match alike; equal (id, text) rows give one row per item. Other columns
     are ignored; empty tables give no rows.
 
-    Item windows are broadcast only if there are at most ``broadcast_rows``;
+    Item probes are broadcast only if there are at most ``broadcast_rows``;
     otherwise hashes are joined by a shuffle and the texts fetched again.
     """
-    items = item_windows(benchmark, item_text, item_id, window)
+    if not 0 < stride <= window:
+        raise ValueError("stride must lie between 1 and window")
+    items = item_windows(benchmark, item_text, item_id, window, stride)
     small = items.limit(broadcast_rows + 1).count() <= broadcast_rows
     kept = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(kept).alias("fa"), F.xxhash64(kept, F.lit(1)).alias("fb"), raw_tokens(F.col(text)).alias("raw"))
@@ -89,9 +95,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     key = ["id", "fa", "fb"]
     toks = base.select(*key, tokens(F.col("raw")).alias("raw"), tokens(F.col("template")).alias("template"))
     if small:
-        hit = toks.withColumn("w", F.explode(window_hashes(F.col("template"), window, stride))).join(F.broadcast(items), F.col("w.h") == F.col("h"))
+        hit = toks.withColumn("w", F.explode(window_hashes(F.col("template"), window - stride + 1, stride))).join(F.broadcast(items), F.col("w.h") == F.col("h"))
     else:
-        found = toks.select(*key, F.explode(window_hashes(F.col("template"), window, stride)).alias("w")).join(items, F.col("w.h") == F.col("h"))
+        found = toks.select(*key, F.explode(window_hashes(F.col("template"), window - stride + 1, stride)).alias("w")).join(items, F.col("w.h") == F.col("h"))
         found = found.drop("h").withColumnsRenamed({k: f"_{k}" for k in key})
         same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
         hit = toks.dropDuplicates(key).join(found, same)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodestrata.llm.decontamination import decontaminate, matches
-from tests_llm_fixtures import text
+from tests_llm_fixtures import text, words
 
 ITEM = "a train leaves the old station at 15 km per hour and passes Paris after 3 hours with 120 people aboard it"
 
@@ -46,6 +46,14 @@ def test_all_positions_and_the_shuffled_way(spark, documents):
     assert sorted(near.collect()) == sorted(far.collect()) == [(k, 1) for k in range(9)]
 
 
+def test_short_runs_at_all_positions(spark, documents):
+    rng = random.Random(8)
+    wanted = {n: " ".join(words(rng, n)) for n in (8, 9, 10)}
+    docs = documents([(10 * n + k, " ".join([*text(rng, k + 1).split(), wanted[n], *text(rng, 9).split()])) for n in wanted for k in range(4)])
+    got = matches(docs, items(spark, list(wanted.items()))).select("doc_id", "item_id")
+    assert sorted(map(tuple, got.collect())) == [(10 * n + k, n) for n in wanted for k in range(4)]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_empty_tables(spark, documents, rows):
     assert matches(documents(rows), items(spark, [(1, ITEM)])).count() == 0
