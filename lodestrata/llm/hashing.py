@@ -1,37 +1,25 @@
 """Vectorised hashes of words and word windows.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. A word's hash
-is a polynomial over its bytes modulo 2**64, read off prefix sums; a window's
-hash is a polynomial over the hashes of its words. Both are finished with a
-bit mixer. Equal words and windows always get equal hashes.
+A word is a maximal run of bytes other than space and 0x09-0x0D. Its hash is the
+sum of random 64-bit numbers, one for each (place in the word, byte), so no two
+words collide by their structure, only by chance. A window's hash joins the hashes
+of its words pair by pair, each time through a bit mixer. Families are independent
+from the bytes on: equal values in two families are 128 bits of evidence. Equal
+words and windows always get equal hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
-BYTE_BASE = 0x9E3779B97F4A7C15
-WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 CHUNK = 1 << 20
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        rows = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=U)
-            p[0] = 1
-            rows.append(np.multiply.accumulate(p))
-        have = _tables[base] = (rows[0], rows[1])
-    return have
+PLACES = 64  # places in a word whose numbers are kept in a table
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -41,6 +29,16 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _numbers(codes: np.ndarray, family: int) -> np.ndarray:
+    """The random number of place * 256 + byte."""
+    return mix(mix(codes.astype(U), 11 + family) ^ U(0xD6E8FEB86659FD93), 5 + family)
+
+
+@cache
+def _table(family: int) -> np.ndarray:
+    return _numbers(np.arange(PLACES * 256), family)
+
+
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a byte array."""
     inside = np.zeros(len(buf) + 2, dtype=np.int8)
@@ -73,35 +71,57 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         yield group
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, one text after the other, and where each text's words begin (one more entry than texts)."""
-    hashes: list[np.ndarray] = []
+def word_hashes(texts: list[bytes], families: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each family the hashes of all words, one text after the other; where each text's words begin (one more entry than texts)."""
+    hashes: list[list[np.ndarray]] = [[] for _ in range(families)]
     counts = np.zeros(len(texts), dtype=np.int64)
     for group in _pieces(texts):
-        joined = b" ".join(p for _, p in group)
-        buf = np.frombuffer(joined, dtype=np.uint8)
+        buf = np.frombuffer(b" ".join(p for _, p in group), dtype=np.uint8)
         starts, ends = word_bounds(buf)
-        power, inverse = powers(BYTE_BASE, len(buf) + 1)
-        total = np.zeros(len(buf) + 1, dtype=U)
-        np.cumsum((buf.astype(U) + U(1)) * power[: len(buf)], out=total[1:])
-        hashes.append(mix((total[ends] - total[starts]) * inverse[starts]))
         edges = np.cumsum([0] + [len(p) + 1 for _, p in group])
-        per = np.diff(np.searchsorted(starts, edges))
-        np.add.at(counts, [k for k, _ in group], per)
+        np.add.at(counts, [k for k, _ in group], np.diff(np.searchsorted(starts, edges)))
+        if not len(starts):
+            continue
+        lengths = ends - starts
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+        codes = place * 256 + buf[place + np.repeat(starts, lengths)]
+        long = np.flatnonzero(place >= PLACES)
+        for family, out in enumerate(hashes):
+            values = _table(family).take(codes, mode="clip")
+            if len(long):
+                values[long] = _numbers(codes[long], family)
+            out.append(mix(np.add.reduceat(values, firsts), family))
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(counts, out=offsets[1:])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, dtype=U)), offsets
+    return [np.concatenate(h) if h else np.zeros(0, dtype=U) for h in hashes], offsets
 
 
-def window_hashes(words: np.ndarray, n: int, family: int = 0) -> np.ndarray:
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first family of ``word_hashes``."""
+    hashes, offsets = word_hashes(texts)
+    return hashes[0], offsets
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * U(0xD1342543DE82EF95) + (right ^ (right >> U(32))) * U(0xA0761D6478BD642F))
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; windows over a text's end are the caller's to leave out."""
-    if len(words) < n:
+    m = len(words) - n + 1
+    if m <= 0:
         return np.zeros(0, dtype=U)
-    w = words if family == 0 else mix(words, family)
-    power, inverse = powers(WINDOW_BASES[family], len(w) + 1)
-    total = np.zeros(len(w) + 1, dtype=U)
-    np.cumsum(w * power[: len(w)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * inverse[: len(w) - n + 1], family)
+    run, size, out, done = words, 1, None, 0
+    while True:  # runs of 1, 2, 4, ... words; those in n's binary digits make up the window
+        if n & size:
+            part = run[done : done + m]
+            out = part if out is None else _joined(out, part)
+            done += size
+        if done == n:
+            return mix(out, 1)
+        run = _joined(run[:-size], run[size:])
+        size *= 2
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -110,15 +130,23 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text, so that memory stays bounded by the longest text."""
+    at = batch.schema.get_field_index(column)
+    lengths = np.asarray(pa.compute.binary_length(batch.column(at)).fill_null(0), dtype=np.int64)
+    total = np.cumsum(lengths)
+    first = 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        stop = min(batch.num_rows, int(np.searchsorted(total, before + size)) + 1)
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def groups_of(batch: pa.RecordBatch, column: str = "text", size: int = 4 * CHUNK) -> Iterable[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with about ``size`` bytes of text, so that memory stays bounded by the longest text."""
-    texts = text_bytes(batch.column(batch.schema.get_field_index(column)))
-    at, total = 0, 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total >= size or k == len(texts) - 1:
-            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-            at, total = k + 1, 0
+    """``slices`` with the bytes of their texts."""
+    for part in slices(batch, column, size):
+        yield part, text_bytes(part.column(part.schema.get_field_index(column)))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

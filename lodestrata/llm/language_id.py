@@ -4,8 +4,14 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 word's likelihood is the sum, over all ways to cut it into pieces, of the product
 of their probabilities: one forward pass over the word. Piece probabilities are
 fitted with expectation maximisation (forward and backward sums) on a bounded
-sample of labelled texts. A text's score is the sum over its words; words are
-lower-cased runs of letters, those of over 48 letters are scored in stretches.
+sample of labelled texts. A text's score is the sum over its words, which are
+lower-cased runs of letters.
+
+Every piece has at least ``FLOOR`` divided by the vocabulary's size in every language; a
+letter that is no piece has ``UNKNOWN`` in all of them, and the mark of a word's beginning by
+itself ``FLOOR``: what no language was trained on speaks for none. Sums don't vanish: in words of up to ``SHORT`` letters each letter
+counts ``SCALE`` times, which the logarithm takes back; longer words are worked off
+letter by letter, and the sums are scaled whenever they get small.
 """
 
 from __future__ import annotations
@@ -17,23 +23,25 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .hashing import U, powers
+from . import sampling, worker
+from .columns import numbered, place
+from .hashing import U, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-LONGEST_WORD, LONGEST_PIECE = 48, 16
 BASE = 0xC2B2AE3D27D4EB4F
+SHORT = 48
+SCALE = 1e4
+FLOOR = 1e-3
+UNKNOWN = 1e-8
 UNDETERMINED = "und"
 
 
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if found and len(max(found, key=len)) > LONGEST_WORD:
-        found = [w[k : k + LONGEST_WORD] for w in found for k in range(0, len(w), LONGEST_WORD)]
-    return found
+    return WORD.findall(text.lower())
 
 
 def has_letter(words: list[str]) -> bool:
@@ -46,11 +54,21 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k).lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k))}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and WORD.fullmatch(p.removeprefix(MARK) or "a"))
+    return sorted(p for p in pieces if WORD.fullmatch(p.removeprefix(MARK) or "a"))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    rows = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, b, dtype=U)
+        p[:1] = 1
+        rows.append(np.multiply.accumulate(p))
+    return rows[0], rows[1]
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), length)
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), length)
 
 
 def _hash(pieces: list[str]) -> np.ndarray:
@@ -58,7 +76,7 @@ def _hash(pieces: list[str]) -> np.ndarray:
     by_length: dict[int, list[int]] = {}
     for k, p in enumerate(pieces):
         by_length.setdefault(len(p), []).append(k)
-    power, _ = powers(BASE, 64)
+    power, _ = powers(max(by_length))
     for n, at in by_length.items():
         out[at] = (_codes([pieces[k] for k in at], n).astype(U) * power[:n]).sum(axis=1, dtype=U)
     return out
@@ -79,27 +97,48 @@ class Lattice:
         order = np.argsort(h)
         return cls(h[order], order, len(pieces), max(map(len, pieces)))
 
+    def found(self, h: np.ndarray, length: int) -> np.ndarray:
+        k = np.searchsorted(self.keys, h)
+        k[k == self.size] = 0
+        return np.where(self.keys[k] == h, self.order[k], self.size if length == 1 else -1)
+
     def at(self, words: list[str]) -> list[list[tuple[int, np.ndarray]]]:
         """For each end j: (start i, piece numbers of word[i:j])."""
         length = len(words[0])
-        power, inverse = powers(BASE, 64)
+        power, inverse = powers(length + 1)
         total = np.zeros((len(words), length + 1), dtype=U)
         np.cumsum(_codes(words, length).astype(U) * power[:length], axis=1, out=total[:, 1:])
         out = []
         for j in range(1, length + 1):
             here = []
             for i in range(max(0, j - self.longest), j):
-                h = (total[:, j] - total[:, i]) * inverse[i]
-                k = np.searchsorted(self.keys, h)
-                k[k == self.size] = 0
-                found = np.where(self.keys[k] == h, self.order[k], self.size if j - i == 1 else -1)
+                found = self.found((total[:, j] - total[:, i]) * inverse[i], j - i)
                 if (found >= 0).any():
                     here.append((i, found))
             out.append(here)
         return out
 
-
-_live: dict[str, Model] = {}
+    def stretches(self, word: str, step: int = 4096) -> Iterator[np.ndarray]:
+        """For the ends of a long word, ``step`` at a time: numbers of the pieces of 1, 2, ... letters that end there."""
+        codes = _codes([word], len(word))[0].astype(U)
+        power, inverse = powers(step + self.longest + 1)
+        for first in range(0, len(word), step):
+            low, high = max(0, first - self.longest), min(len(word), first + step)
+            total = np.zeros(high - low + 1, dtype=U)
+            np.cumsum(codes[low:high] * power[: high - low], out=total[1:])
+            ends = np.arange(first + 1, high + 1) - low
+            out = np.full((len(ends), self.longest), -1, dtype=np.int64)
+            for n in range(1, self.longest + 1):
+                own = ends >= n
+                starts = ends[own] - n
+                out[own, n - 1] = self.found((total[ends[own]] - total[starts]) * inverse[starts], n)
+            yield out
+
+
+def scaled(pieces: list[str], probs: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces, the unknown letter and, as nought, no piece, times SCALE for each letter."""
+    letters = np.array([*(len(p) for p in pieces), 1], dtype=float)
+    return np.vstack([probs * SCALE ** letters[:, None], np.zeros(probs.shape[1])])
 
 
 @dataclass
@@ -107,53 +146,90 @@ class Model:
     languages: list[str]
     pieces: list[str]
     probs: np.ndarray  # pieces and the unknown letter, by language
-    cache_size: int = 400_000
+    cache_bytes: int = 48 << 20
     lattice: Lattice | None = None
-    cache: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    cache: dict[str, int] = field(default_factory=dict)
+    scores_of: np.ndarray | None = None
+    used: int = 0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def live(self) -> Model:
         """This worker's copy of the model, which keeps the words scored by earlier tasks."""
-        if self.name not in _live:
-            _live.clear()  # one model at a time
-            _live[self.name] = self
-        return _live[self.name]
+        return worker.keep(f"language {self.name}", lambda: self)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "table": None, "lattice": None}
+        return self.__dict__ | {"cache": {}, "used": 0, "scores_of": None, "lattice": None, "table": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word in each language."""
         if self.lattice is None:
             self.lattice = Lattice.of(self.pieces)
-        padded = np.vstack([self.probs, np.zeros(len(self.languages))])  # the row for -1
+            self.table = scaled(self.pieces, self.probs)
         out = np.zeros((len(words), len(self.languages)))
         for at in by_length(words):
+            length = len(words[at[0]]) + 1
+            if length > SHORT + 1:
+                out[at] = [self._long(MARK + words[k]) for k in at]
+                continue
             alpha = [np.ones((len(at), len(self.languages)))]
             for here in self.lattice.at([MARK + words[k] for k in at]):
-                alpha.append(sum(alpha[i] * padded[found] for i, found in here))
-            out[at] = np.log(alpha[-1])
+                alpha.append(sum(alpha[i] * self.table[found] for i, found in here))
+            out[at] = np.log(alpha[-1]) - length * np.log(SCALE)
         return out
 
+    def _long(self, word: str) -> np.ndarray:
+        """The same sum for a word of any length, scaled on the way; memory doesn't grow with the word."""
+        longest = self.lattice.longest
+        last = np.zeros((longest, len(self.languages)))  # the sums up to the last letters, the newest first
+        last[0] = 1.0
+        log = np.zeros(len(self.languages))
+        for found in self.lattice.stretches(word):
+            for probs in self.table[found]:
+                new = (last * probs).sum(axis=0)
+                last[1:] = last[:-1]
+                last[0] = new
+                if new.min() < 1e-60 or new.max() > 1e60:
+                    last /= new
+                    log += np.log(new)
+        return log + np.log(last[0]) - len(word) * np.log(SCALE)
+
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Log likelihood of each list of words in each language."""
+        cost = 160 + 12 * len(self.languages)  # of an entry, roughly, besides its letters
         missing = {w for words in texts for w in words if w not in self.cache}
-        if len(self.cache) + len(missing) > self.cache_size:
-            self.cache, self.table = {}, None
+        size = sum(map(len, missing)) * 2 + cost * len(missing)
+        if self.used + size > self.cache_bytes:
+            self.cache, self.scores_of, self.used = {}, None, 0
             missing = {w for words in texts for w in words}
+            size = sum(map(len, missing)) * 2 + cost * len(missing)
         if missing:
             new = list(missing)
             start = len(self.cache)
+            self.used += size
             self.cache.update(zip(new, range(start, start + len(new)), strict=True))
             scores = self.word_scores(new)
-            self.table = scores if self.table is None or not start else np.concatenate([self.table, scores])
+            self.scores_of = scores if self.scores_of is None or not start else np.concatenate([self.scores_of, scores])
         out = np.zeros((len(texts), len(self.languages)))
         for k, words in enumerate(texts):
             if words:
-                out[k] = self.table[np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                out[k] = self.scores_of[np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
         return out
 
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and posterior, with equal priors, of each text."""
+        words = [words_of(t) if t else [] for t in texts]
+        langs, scores = [], []
+        for own, logs in zip(words, self.scores(words) if self.languages else [None] * len(words), strict=True):
+            if logs is None or not has_letter(own):
+                langs.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
+            best = int(np.argmax(logs))
+            langs.append(self.languages[best])
+            scores.append(float(1 / np.exp(logs - logs[best]).sum()))
+        return langs, scores
+
 
 def by_length(words: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
     """Indexes of equally long words, ``most`` at a time."""
@@ -164,36 +240,40 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
             yield at[k : k + most]
 
 
-def train(texts: list[str], langs: list[str], pieces: list[str], rounds: int = 4, smoothing: float = 0.1) -> Model:
-    """Expectation maximisation over all segmentations, one language at a time."""
+def train(texts: list[str], langs: list[str], pieces: list[str], rounds: int = 4) -> Model:
+    """Expectation maximisation over all segmentations, one language at a time. Longer words are learned from in stretches of SHORT letters."""
     languages = sorted(set(langs))
     model = Model(languages, pieces, np.zeros((len(pieces) + 1, len(languages))))
     lattice = Lattice.of(pieces)
     counts = {lang: Counter() for lang in languages}
     for t, lang in zip(texts, langs, strict=True):
-        counts[lang].update(words_of(t))
+        counts[lang].update(w[k : k + SHORT] for w in words_of(t) for k in range(0, len(w), SHORT))
+    none = len(pieces) + 1
+    fixed = {pieces.index(MARK): FLOOR} if MARK in pieces else {}
     for column, lang in enumerate(languages):
         words = list(counts[lang])
         weight = np.array([counts[lang][w] for w in words], dtype=float)
         lattices = [(at, lattice.at([MARK + words[k] for k in at])) for at in by_length(words)]
-        probs = np.full(len(pieces) + 2, 1.0 / (len(pieces) + 1))
-        probs[-1] = 0  # the entry for -1
+        probs = np.append(np.full(len(pieces), 1.0 / len(pieces)), UNKNOWN)
         for _ in range(rounds):
-            expected = np.full(len(pieces) + 1, smoothing)
-            expected[-1] = 0.01  # an unknown letter stays unlikely
+            table = scaled(pieces, probs[:, None])[:, 0]
+            expected = np.zeros(none)
             for at, ends in lattices:
                 alpha = [np.ones(len(at))]
                 for here in ends:
-                    alpha.append(sum(alpha[i] * probs[found] for i, found in here))
+                    alpha.append(sum(alpha[i] * table[found] for i, found in here))
                 beta = [np.zeros(len(at)) for _ in alpha]
-                beta[-1] = weight[at] / np.maximum(alpha[-1], 1e-300)
+                beta[-1] = weight[at] / alpha[-1]
                 for j in range(len(ends), 0, -1):
                     for i, found in ends[j - 1]:
-                        flow = beta[j] * probs[found]
+                        flow = beta[j] * table[found]
                         beta[i] += flow
-                        expected += np.bincount(np.where(found < 0, len(pieces) + 1, found), alpha[i] * flow, len(pieces) + 2)[:-1]
-            probs[:-1] = expected / expected.sum()
-        model.probs[:, column] = probs[:-1]
+                        expected += np.bincount(np.where(found < 0, none, found), alpha[i] * flow, none + 1)[:-1]
+            expected[list(fixed)] = 0
+            total = expected[:-1].sum()
+            probs[:-1] = FLOOR / len(pieces) + (1 - FLOOR) * (expected[:-1] / total if total else 1 / len(pieces))
+            probs[list(fixed)] = list(fixed.values())
+        model.probs[:, column] = probs
     return model
 
 
@@ -201,64 +281,61 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, text: str, id_col: str, lang: str, per_language: int, max_bytes: int) -> tuple[list[str], list[str]]:
-    """The labelled rows to learn from: not held out, ``per_language`` of each language by their text's hash, at most ``max_bytes`` long."""
-    rows = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= max_bytes)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = rows.withColumn("n", first).filter(F.col("n") <= per_language).select("text", "lang").collect()  # bounded by the parameters
-    picked = sorted((r.text, r.lang) for r in picked)
-    return [t for t, _ in picked], [lang for _, lang in picked]
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` (all of them by default)."""
-    keep = docs.columns if keep is None else keep
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = model.live()
-        for frame in frames:
-            langs, scores = [], []
-            texts = frame["_text"].tolist()
-            at = 0
-            while at < len(texts):
-                group: list[list[str]] = []
-                total = 0
-                while at < len(texts) and total < 2_000_000:
-                    t = texts[at] if isinstance(texts[at], str) else ""
-                    group.append(words_of(t))
-                    total += len(t)
-                    at += 1
-                for words, logs in zip(group, own.scores(group) if own.languages else [None] * len(group), strict=True):
-                    if logs is None or not has_letter(words):
-                        langs.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    best = int(np.argmax(logs))
-                    langs.append(own.languages[best])
-                    scores.append(float(1 / np.exp(logs - logs[best]).sum()))
-            yield frame[names].assign(_lang_pred=langs, _score=scores)
-
-    names = [f"_{k}" for k in range(len(keep))]
-    schema = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).schema.add("_lang_pred", "string").add("_score", "double")
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("_text")).mapInPandas(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
-
-
-def fit(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = 300, max_bytes: int = 20_000) -> Model:
-    return train(*sample(docs, text, id_col, lang, per_language, max_bytes), pieces)
-
-
-def identify(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = 300, max_bytes: int = 20_000) -> DataFrame:
-    """Predicts the language of every whole text.
-
-    Learns from at most ``per_language`` labelled rows a language, of at most
-    ``max_bytes`` bytes, never from held-out rows (crc32 of the id as text is 0
-    modulo 5). Returns, per row: the id, held_out, lang_pred and score, the
-    posterior of lang_pred with equal priors. Null, empty and letterless texts are
-    ``und`` with score 0, as is everything where no row is labelled. Null ids are
-    not held out. Repeated rows are predicted alike; ties go to the first language
-    in the alphabet. An empty table gives no rows.
+def sample(docs: DataFrame, text: str, id_col: str, lang: str, per_language: int, max_languages: int, max_bytes: int) -> tuple[list[str], list[str]]:
+    """The labelled texts to learn from: not held out, ``per_language`` of each of the ``max_languages`` commonest languages by their hash, ``max_bytes`` in all."""
+    own = numbered(docs)
+    t = F.col(place(docs, text))
+    usable = own.filter(~held_out(place(docs, id_col)) & F.col(place(docs, lang)).isNotNull() & t.rlike(r"\p{L}"))
+    rows = usable.select(F.col(place(docs, lang)).alias("g"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"), t.alias("text"))
+    picked = sampling.chosen(rows.select("g", "h", "size"), per_language, max_languages, max_bytes)
+    found = sampling.fetched(rows, picked, "text") if picked else []
+    return [r.text for r in found], [r.g for r in found]
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with its columns named c0, c1, ..., and lang_pred and score."""
+    own = numbered(docs)
+    at = place(docs, text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = model.live()
+        for batch in batches:
+            for part in slices(batch, at, 2_000_000):
+                langs, scores = here.judge(part.column(part.schema.get_field_index(at)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+
+    return own.mapInArrow(run, own.limit(0).selectExpr("*", "'' AS lang_pred", "0D AS score").schema)
+
+
+def fit(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = 300, max_languages: int = 200, max_bytes: int = 32 << 20) -> Model:
+    return train(*sample(docs, text, id_col, lang, per_language, max_languages, max_bytes), pieces)
+
+
+def identify(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", **bounds) -> DataFrame:
+    """Predicts the language of every whole text, however long.
+
+    Learns from at most ``per_language`` (300) labelled texts of each of the
+    ``max_languages`` (200) commonest languages, ``max_bytes`` (32 MB) in all, never from held-out rows (crc32 of
+    the id as text is 0 modulo 5). Returns, per row: the id, held_out, lang_pred and
+    score, the posterior of lang_pred with equal priors. Null, empty and letterless
+    texts are ``und`` with score 0, as is everything where no row is labelled. Null
+    ids are not held out. Repeated rows are predicted alike; ties go to the first
+    language in the alphabet, so does a text in letters that no language was trained
+    on, with the score of a guess. Other columns are ignored, whatever their names.
+    An empty table gives no rows.
+    """
+    model = fit(docs, pieces, text, id_col, lang, **bounds)
+    own = numbered(docs)
+    k = place(docs, id_col)
+    rows = own.select(F.col(k).alias("id"), held_out(k).alias("held_out"), F.col(place(docs, text)).alias("text"))
+    return predict(rows, model).select(F.col("c0").alias(id_col), F.col("c1").alias("held_out"), "lang_pred", "score")
+
+
+def certain(docs: DataFrame, pieces: list[str], least: float, text: str = "text", id_col: str = "doc_id", lang: str = "lang", **bounds) -> DataFrame:
+    """The rows of ``docs`` whose language has a score of ``least`` or more, with all their columns.
+
+    Null, empty and letterless texts go; where no row is labelled, all rows go.
+    Null ids, repeated rows, long texts and an empty table are no trouble.
     """
-    model = fit(docs, pieces, text, id_col, lang, per_language, max_bytes)
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text).alias("text"))
-    return predict(rows, model, "text", ["id", "held_out"]).withColumnRenamed("id", id_col)
+    seen = predict(docs, fit(docs, pieces, text, id_col, lang, **bounds), text)
+    return seen.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)

@@ -1,9 +1,10 @@
 """Pairs within groups, without a row for each pair, and connected components.
 
 Members of one bucket are compared inside a task. A bucket of more than
-``block`` members is cut into chunks by a hash of the member, and each pair of
-chunks is a unit of its own, so no task ever holds more than two chunks of a
-bucket; what a unit reports grows with its members, not with its pairs.
+``block`` members, or of more weight than ``load``, is cut into chunks by a hash of
+the member, and each pair of chunks is a unit of its own, so no task ever holds more
+than two chunks of a bucket; what a unit reports grows with its members, not with
+its pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from .spans import runs
 UNIT = ["bucket", "low", "high"]
 
 
-def units(entries: DataFrame, scratch: Scratch, block: int = 512) -> DataFrame:
-    """Entries (bucket, member, ...) of buckets with two members or more, once for each unit: adds low, high and chunk."""
-    counts = scratch.save(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    dealt = entries.join(counts, "bucket").withColumn("chunks", F.ceil(F.col("n") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
+def units(entries: DataFrame, scratch: Scratch, block: int = 512, load: int | None = None) -> DataFrame:
+    """Entries (bucket, member, ...) of buckets with two members or more, once for each unit: adds low, high and chunk.
+
+    With ``load``, entries have a weight too, of which a chunk has about so much.
+    """
+    heavy = F.sum("weight") / load if load else F.lit(0)
+    counts = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block, heavy)).alias("chunks")).filter("n > 1")
+    counts = scratch.save(counts.select("bucket", F.least("chunks", "n").cast("int").alias("chunks")))
+    dealt = entries.join(counts, "bucket").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least("chunk", x).alias("low"), F.greatest("chunk", x).alias("high"))))
-    return dealt.withColumn("unit", unit).select("*", "unit.low", "unit.high").drop("unit", "n", "chunks")
+    return dealt.withColumn("unit", unit).select("*", "unit.low", "unit.high").drop("unit", "chunks")
 
 
 def by_unit(df: DataFrame) -> DataFrame:
@@ -73,7 +79,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of edges (a, b), root the smallest node that it reaches.
 
     Large-star and small-star steps in turn; each round is written to the shared
-    folder, and nothing but its size and a checksum comes to the driver.
+    folder, and nothing but its size and a checksum comes to the driver. Smallest
+    neighbours are written too: the join with them can then be split at a hub.
     """
 
     def star(links: DataFrame, both: bool) -> DataFrame:
@@ -81,7 +88,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         sides = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if both:
             sides = sides.unionByName(sides.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = scratch.save(sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        lows.append(low)
         joined = sides.join(low, "u")
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if both else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
@@ -92,8 +100,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     current = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     seen = state(current)
     while seen[0]:
-        following = scratch.save(star(star(current, True), False))
-        scratch.drop(current)
+        lows: list[DataFrame] = []
+        wide = scratch.save(star(current, True))
+        following = scratch.save(star(wide, False))
+        scratch.drop(current, wide, *lows)
         current, before, seen = following, seen, state(following)
         if seen == before:
             break

@@ -48,7 +48,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("row")
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("fa", "fb")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -26,24 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local["dir"]
 
 
+def _delete(context, *paths: str) -> None:
+    conf = context._jsc.hadoopConfiguration()
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def _delete_at_exit(context, path: str) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone
+        _delete(context, path)
+
+
 class Scratch:
     """Named Parquet tables of one operator run.
 
     Writing a table cuts lineage: lost executors make Spark recompute from the
     written files, not from the beginning. After a write the shuffle files
-    behind it are garbage, so the driver is asked to collect at once.
+    behind it are garbage, so the driver is asked to collect at once. What a result
+    still reads is deleted when the application ends; after a failed write all goes.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(_delete_at_exit, spark.sparkContext, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         schema = df.schema
-        df.write.parquet(path)
+        try:
+            df.write.parquet(path)
+        except BaseException:
+            _delete_at_exit(self.spark.sparkContext, self.root)
+            raise
         del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
@@ -53,8 +72,4 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            at = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            at.getFileSystem(conf).delete(at, True)
+        _delete(self.spark.sparkContext, *[t._scratch_path for t in tables])

@@ -5,8 +5,9 @@ the period V at which i + k and j + k are both cover positions (0, 1, 4, 14, 16
 modulo 21 is a perfect difference set). So only the anchors - A = W - V + 1
 words from each cover position on - are hashed for the whole corpus. Positions
 whose anchor occurs twice are the only ones near which a window can repeat;
-there the match is extended: the full windows are hashed with 128 bits, counted
-exactly, and the words of the repeated ones go.
+there the match is extended: the full windows are hashed in two independent families,
+128 bits, counted, and the words of the repeated ones go. Words collide by chance
+only (see ``hashing``): 10**12 windows make one false repeat with probability 10**-15.
 
 Rows are matched by their text's fingerprint, not by id, so null or repeated ids
 are no trouble. A text that occurs twice repeats as a whole; one of its copies
@@ -22,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .hashing import column, groups_of, hash_words, signed, text_bytes, window_hashes, word_bounds
+from . import worker
+from .hashing import column, groups_of, hash_words, signed, window_hashes, word_bounds, word_hashes
 from .scratch import Scratch
 
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -46,6 +48,7 @@ def _anchors(window: int):
     cover[list(COVER)] = True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.free()
         for batch in batches:
             for part, texts in groups_of(batch):
                 words, off = hash_words(texts)
@@ -65,11 +68,12 @@ def _windows(window: int):
     """128-bit hashes of the windows that contain a repeated anchor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.free()
         for batch in batches:
             for part, texts in groups_of(batch):
-                words, off = hash_words(texts)
+                (words, others), off = word_hashes(texts, 2)
                 counts = np.diff(off)
-                ha, hb = window_hashes(words, window, 0), window_hashes(words, window, 1)
+                ha, hb = window_hashes(words, window), window_hashes(others, window)
                 marks = np.zeros(len(words) + 1, dtype=np.int32)
                 for k, pos in enumerate(column(part, "anchors")):
                     # the windows from p - PERIOD + 1 to p begin close enough to an anchor at p
@@ -87,27 +91,28 @@ def _windows(window: int):
 
 def _cut(window: int, names: list[str], texts_out: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.free()
         for batch in batches:
-            texts = text_bytes(column(batch, "text"))
-            starts_col, copied = column(batch, "starts"), column(batch, "copied").to_pylist()
-            n, removed, kept = [], [], []
-            for k, t in enumerate(texts):
-                words = np.stack(word_bounds(np.frombuffer(t, dtype=np.uint8)), 1)
-                gone = np.zeros(len(words) + 1, dtype=np.int32)
-                if copied[k] and len(words) >= window:
-                    gone[0] = 1
-                elif starts_col[k].is_valid:
-                    p = np.unique(np.asarray(starts_col[k].as_py(), dtype=np.int64))
-                    gone[p] += 1
-                    np.add.at(gone, p + window, -1)
-                stay = words[np.cumsum(gone)[:-1] == 0]
-                n.append(len(words))
-                removed.append(len(words) - len(stay))
-                kept.append(b" ".join([t[a:b] for a, b in stay.tolist()]))
-            cols = [column(batch, c) for c in names] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-            if texts_out:
-                cols.append(pa.array([x.decode() for x in kept], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_sha256", *["kept"] * texts_out])
+            for part, texts in groups_of(batch):
+                starts_col, copied = column(part, "starts"), column(part, "copied").to_pylist()
+                n, removed, kept = [], [], []
+                for k, t in enumerate(texts):
+                    words = np.stack(word_bounds(np.frombuffer(t, dtype=np.uint8)), 1)
+                    gone = np.zeros(len(words) + 1, dtype=np.int32)
+                    if copied[k] and len(words) >= window:
+                        gone[0] = 1
+                    elif starts_col[k].is_valid:
+                        p = np.unique(starts_col[k].values.to_numpy().astype(np.int64))
+                        gone[p] += 1
+                        np.add.at(gone, p + window, -1)
+                    stay = words[np.cumsum(gone)[:-1] == 0]
+                    n.append(len(words))
+                    removed.append(len(words) - len(stay))
+                    kept.append(b" ".join([t[a:b] for a, b in stay.tolist()]))
+                cols = [column(part, c) for c in names] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+                if texts_out:
+                    cols.append(pa.array([x.decode() for x in kept], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_sha256", *["kept"] * texts_out])
 
     return run
 
@@ -118,8 +123,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Returns one row per row of ``docs``: the id, n_words, n_removed, kept_sha256
     and, with ``keep_text``, the kept words joined by one space as ``kept``.
     Null texts count as empty; texts shorter than a window lose nothing; repeated
-    rows are documents of their own, so long ones lose every word. Other columns
-    of ``docs`` are ignored, whatever their names. An empty table gives no rows.
+    rows are documents of their own, so long ones lose every word, as does every one
+    of several equal texts. A text of any length is worked off whole, by itself if
+    it is long. Other columns of ``docs`` are ignored, whatever their names. An
+    empty table gives no rows.
     """
     if window < PERIOD + 4:
         raise ValueError(f"a window must have {PERIOD + 4} words at least")

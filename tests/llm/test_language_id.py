@@ -46,7 +46,7 @@ def test_cache_doesnt_change_scores():
     model = D.train(texts, ["a"] * 5 + ["b"] * 5 + ["c"] * 5, language_pieces())
     words = [D.words_of(t) for t in texts]
     whole = model.scores(words)
-    small = D.Model(model.languages, model.pieces, model.probs, cache_size=10)
+    small = D.Model(model.languages, model.pieces, model.probs, cache_bytes=2000)
     assert np.allclose(whole, np.concatenate([small.scores([w]) for w in words]))
 
 
@@ -67,3 +67,58 @@ def test_held_out_accuracy(documents):
 def test_without_labels(documents, rows):
     got = D.identify(documents(rows), language_pieces()).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * len(rows)
+
+
+@pytest.fixture(scope="module")
+def trained():
+    rng = random.Random(6)
+    langs = ["de", "en", "fr"]
+    texts = [(text(rng, 40 + 30 * k, lang), lang) for k, lang in enumerate(langs) for _ in range(20)]
+    return D.train([t for t, _ in texts], [lang for _, lang in texts], language_pieces())
+
+
+def test_long_words_are_summed_alike(trained):
+    rng = random.Random(7)
+    words = ["".join(words_in(rng, 30))[:n] for n in (47, 48)]
+    trained.word_scores(words[:1])
+    for w in words:
+        assert np.allclose(trained._long(D.MARK + w), trained.word_scores([w])[0])
+    parts = np.concatenate(list(trained.lattice.stretches(words[0], 7)))
+    assert np.array_equal(parts, next(trained.lattice.stretches(words[0])))
+
+
+def words_in(rng, n):
+    return text(rng, n, "fr").lower().replace(".", "").split()
+
+
+@pytest.mark.parametrize("odd", ["語" * 48, "語" * 5000, "жшщыэ" * 20, "ไทย" * 40, "x" * 20_000, "語 " * 300])
+def test_unseen_letters_speak_for_no_language(trained, odd):
+    rng = random.Random(8)
+    for lang in ("de", "en", "fr"):
+        plain = text(rng, 12, lang)
+        (before, after), scores = trained.judge([plain, f"{plain} {odd}"])
+        assert all(0 <= s <= 1 for s in scores)
+        if "x" not in odd:
+            assert before == after == lang and scores[1] > 0.9
+    (_,), (alone,) = trained.judge([odd])
+    assert 0 <= alone <= 1 and ("x" in odd or alone < 0.5)
+
+
+def test_sample_is_bounded_and_the_same_for_all_partitions(documents):
+    rng = random.Random(9)
+    rows = [(k, text(rng, 8, "en"), "en") for k in range(300)] + [(1000 + k, "the same text", "en") for k in range(200)] + [(2000 + k, text(rng, 8, "fr"), f"l{k % 7}") for k in range(70)]
+    docs = documents(rows)
+    got = D.sample(docs, "text", "doc_id", "lang", 20, 4, 1 << 20)
+    assert got == D.sample(docs.repartition(5), "text", "doc_id", "lang", 20, 4, 1 << 20)
+    assert got[1].count("en") == 20 and len(set(got[1])) == 4 and len(set(got[0])) == len(got[0])
+    assert sum(len(t) for t in D.sample(docs, "text", "doc_id", "lang", 20, 4, 500)[0]) <= 500
+
+
+def test_certain_keeps_columns_of_any_name(documents):
+    rng = random.Random(10)
+    rows = [(k, text(rng, 30, lang), lang) for k, lang in enumerate(["en", "fr", "de"] * 20)] + [(900, None, "en"), (901, "12", "en"), (901, "12", "en")]
+    docs = documents(rows, _lang_pred="a", _score=1.0, c0=3, c1="x")
+    kept = D.certain(docs, language_pieces(), 0.5)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert all(r._lang_pred == "a" and r.lang_pred == "zz" and r.score == 0.5 and r.c0 == 3 for r in kept.collect())
+    assert D.certain(docs.limit(0), language_pieces(), 0.5).count() == 0

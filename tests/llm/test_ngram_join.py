@@ -71,3 +71,56 @@ def test_signatures_estimate_similarity():
 
     truth = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs((minima(x) == minima(y)).mean() - truth) < 0.17
+
+
+@pytest.mark.parametrize("load", [50, 400_000])
+def test_units_are_bounded_by_weight(documents, load):
+    rng = random.Random(21)
+    base = text(rng, 400)
+    rows = [(k, changed(rng, base, k % 9)) for k in range(30)]
+    got = N.ngram_join(documents(rows), load=load).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)[0]
+
+
+@pytest.fixture
+def resplit(spark, monkeypatch):
+    """Reads of files are split otherwise after each written table, as when executors come and go."""
+    from lodestrata.llm.scratch import Scratch
+
+    key, save = "spark.sql.files.minPartitionNum", Scratch.save
+
+    def changing(self, df):
+        out = save(self, df)
+        spark.conf.set(key, {"4": "2", "2": "7"}.get(spark.conf.get(key), "4"))
+        return out
+
+    spark.conf.set(key, "4")
+    monkeypatch.setattr(Scratch, "save", changing)
+    yield
+    spark.conf.unset(key)
+
+
+def test_reads_may_be_split_otherwise(spark, documents, tmp_path, resplit):
+    rng = random.Random(22)
+    rows = []
+    for k in range(200):
+        t = text(rng, 60)
+        rows += [(2 * k, t), (2 * k + 1, changed(rng, t, 1))]
+    rows += [(1000, rows[0][1]), (1000, rows[0][1]), (None, None), (None, None)]
+    documents(rows).repartition(6).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = N.ngram_join(docs).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)[0]
+    kept = N.one_of_each(docs)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2 * k for k in range(200)] + [None, None], key=str)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark, documents):
+    rng = random.Random(23)
+    same = text(rng, 30)
+    rows = [(3, same), (3, same), (3, same), (5, same), (7, ""), (7, ""), (None, "a b c d e f g"), (None, "a b c d e f g"), (9, "x " * 30_000), (8, "x " * 30_000)]
+    docs = documents(rows, _id=1, _row=2, _fa=3, fa=4, fb=5, kept="k", class_id=9, c0=1)
+    got = N.one_of_each(docs).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([3, 7, 7, None, 8], key=str)
+    assert all((r._id, r._row, r._fa, r.kept) == (1, 2, 3, "k") for r in got) and N.one_of_each(docs).columns == docs.columns
+    assert N.one_of_each(docs.limit(0)).count() == 0

@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
 
 from lodestrata.llm.substring_dedup import COVER, PERIOD, substring_dedup
-from tests_llm_fixtures import corpus
+from tests_llm_fixtures import corpus, text
 
 WINDOW = 35
 
@@ -43,3 +44,12 @@ def test_small_tables(documents, rows):
 def test_narrow_windows_are_refused(documents):
     with pytest.raises(ValueError):
         substring_dedup(documents([]), window=10)
+
+
+def test_words_that_a_power_sum_confuses(documents):
+    from test_hashing import thue_morse
+
+    rng = random.Random(12)
+    around = text(rng, 40).split(" ")
+    rows = [(k, " ".join([*around[:20], w, *around[20:]])) for k, w in enumerate(thue_morse(10))]
+    assert [(r.n_words, r.n_removed) for r in substring_dedup(documents(rows)).collect()] == [(41, 0), (41, 0)]
