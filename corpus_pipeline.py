@@ -7,7 +7,7 @@ are no trouble; of exact repeats of a row, one stays after the near-duplicate st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import decontamination, language_id, ngram_join, packing, pii
 from lodestrata.llm.queries import language_pieces, packing_tokenizer, table
@@ -18,19 +18,13 @@ LEAST_CERTAINTY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go."""
-    model = language_id.fit(docs, language_pieces())
-    seen = language_id.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
-    kept = seen.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    """Documents without a letter, or of no clear language, go; so do null and empty texts. Repeated rows and null ids stay as they are."""
+    return language_id.certain(docs, language_pieces(), LEAST_CERTAINTY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram join stays, that with the smallest id."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = ngram_join.ngram_join(docs).filter("kept").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
-    joined = numbered.join(kept, "_row")
-    return joined.filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    """One document of each class of the n-gram join stays, that with the smallest id, null ids last; of repeated rows one stays."""
+    return ngram_join.one_of_each(docs)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
