@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -13,3 +13,8 @@ def numbered(df: DataFrame) -> DataFrame:
 def place(df: DataFrame, name: str) -> str:
     """The name that ``numbered`` gives a column."""
     return f"c{df.columns.index(name)}"
+
+
+def fingerprint(value: Column) -> tuple[Column, Column]:
+    """128 bits for a value. The second hash begins with another seed; hashing a number after the value would only rehash the first."""
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)

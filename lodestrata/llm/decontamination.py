@@ -1,66 +1,113 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so an item whose figures or
-persons were changed keeps its template. Runs of ``window - stride + 1`` template tokens are hashed,
-at every position of an item and at every ``stride``-th of a document: any run of
-``window`` tokens holds one of these, wherever it stands. A hit says where in the document
-the item would lie; there the templates are compared token by token, and the
-placeholders must be filled consistently: one value of the item stands for one
-value of the document, and the other way round.
+Numbers, names and measures (a number and its unit) become typed placeholders, each
+one token however many words it has, so an item whose figures or persons were changed
+keeps its template. Windows of ``window`` template tokens are hashed, at every position
+of an item and of a document, and joined. A hit says where in the document the item
+would lie; there the templates are compared token by token. Where a part of the item
+lies a few tokens off, its own hits count too. The placeholders must be filled
+consistently: one value of the item stands for one value of the document, and the
+other way round.
+
+Windows of little but placeholders say nothing, and items shorter than a window have
+none. Such items are looked for verbatim besides, by windows of their plain tokens, of
+their own length if they are short.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import fingerprint, numbered, place
+from .scratch import Scratch
+
 # Units of measure that follow a number or are written with it.
 UNITS = ["mm", "cm", "m", "km", "mi", "ft", "in", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "meters", "metres", "pounds", "dollars", "euros", "percent", "degrees", "mph", "kmh", "kw", "kwh", "w", "v", "hz"]
 
-MARK = "\u0001"
+MARK, JOINT = "\u0001", "\u0002"
 NAME = r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})"
 EDGES = r"(?<=^|[\s\x01])[^\p{L}\p{N}\s$€£%+<>\x01-]+|[^\p{L}\p{N}\s$€£%+<>\x01-]+(?=\s|$)"
-NUMBER = r"(?<= |^)[+-]?[$€£]?\p{N}[\p{N}.,:/-]*%?(?= |$)"
-MEASURE = rf"(?<= |^)[+-]?\p{{N}}[\p{{N}}.,]*(?:{'|'.join(UNITS)})(?= |$)"
-UNIT = rf"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)"
-SLOTS = ["<num>", "<name>", "<unit>", "<measure>"]
+FIGURE = r"(?<= |^)[+-]?[$€£]?\p{N}[\p{N}.,:/-]*"
+AMOUNT = rf"(?i)({FIGURE}) \x01?(?=(?:{'|'.join(UNITS)})(?: |$))"
+NAMES = r"(\x01\S+) (?=\x01)"
+NUMBER = rf"{FIGURE}%?(?= |$)"
+MEASURE = rf"{FIGURE}\x02?(?:{'|'.join(UNITS)})(?= |$)"
+SLOTS = ["<num>", "<name>", "<measure>"]
+TEMPLATE, PLAIN = 0, 1
+NEAR = 32  # parts of an item at places that differ by up to half of this belong together
+LEAST = 3  # items of fewer plain tokens count only as a whole text
+PROBE_BYTES = 96  # of a probe in a broadcast table, all columns being numbers
 
 
 def raw_tokens(text: Column) -> Column:
-    """White-space tokens without punctuation at their edges; names - capitals after a lower-case word - carry a mark."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK)
-    bare = F.regexp_replace(marked, EDGES, "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """White-space tokens without punctuation at their edges, joined by spaces; names - capitals after a lower-case word - carry a mark, and the words of a name, a figure and its unit, are one token."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK)
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, EDGES, ""), r"\s+", " "))
+    t = F.when(t.rlike(r"\p{N} "), F.regexp_replace(t, AMOUNT, "$1" + JOINT)).otherwise(t)
+    return F.regexp_replace(t, NAMES, "$1" + JOINT)
 
 
 def template(raw: Column) -> Column:
     """The same number of tokens, lower-cased, with placeholders."""
     t = F.lower(F.regexp_replace(raw, r"\x01\S+", "<name>"))
-    t = F.when(t.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, NUMBER, "<num>"), MEASURE, "<measure>"), UNIT, "<unit>")).otherwise(t)
-    return t
+    return F.when(t.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(t, MEASURE, "<measure>"), NUMBER, "<num>")).otherwise(t)
+
+
+def plain(raw: Column) -> Column:
+    """The lower-cased words without marks."""
+    return F.translate(F.lower(raw), JOINT + MARK, " ")
 
 
 def tokens(joined: Column) -> Column:
-    return F.filter(F.split(joined, " "), lambda x: x != "")
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+
+
+def _starts(toks: Column, length: Column | int) -> Column:
+    return F.when(F.size(toks) >= length, F.sequence(F.lit(0), F.size(toks) - length)).otherwise(F.array().cast("array<int>"))
+
+
+def window_hash(kind: int, toks: Column, start: Column, length: Column | int) -> Column:
+    part = F.slice(toks, start + 1, F.lit(length) if isinstance(length, int) else length)
+    return F.xxhash64(part) if kind == TEMPLATE else F.xxhash64(F.lit(PLAIN), part)
 
 
-def window_hashes(toks: Column, window: int, stride: int) -> Column:
-    """(hash, position) of windows at every ``stride``-th position; none if there are fewer tokens than a window."""
-    at = F.when(F.size(toks) >= window, F.sequence(F.lit(0), F.size(toks) - window, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(toks, i + 1, F.lit(window))).alias("h"), i.alias("at")))
+def _before(toks: Column, start: Column) -> Column:
+    """Hash of the token before a window."""
+    return F.xxhash64(F.get(toks, start - 1))
 
 
-def item_windows(benchmark: DataFrame, text: str, id_col: str, window: int, stride: int) -> DataFrame:
-    """One row per probe, the run of tokens that is hashed: h, item_at, item_id, n_items, item_raws, item_template. Items with one template count as one, with all their different texts."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), raw_tokens(F.col(text)).alias("raw")).withColumn("template", template(F.col("raw")))
+def item_entries(benchmark: DataFrame, text: str, id_col: str, window: int) -> DataFrame:
+    """What is looked for: tid, kind, item_id (the smallest with that template), n_items, it (tokens), raws (for each text, its tokens with marks) and at (where its probes begin).
+
+    Items with one template are one entry with all their different texts. A text whose
+    template has too few tokens, or a window of mostly placeholders, is an entry of plain tokens besides.
+    """
+    items = benchmark.select(F.col(id_col).alias("item_id"), raw_tokens(F.col(text)).alias("raw")).filter("raw != ''").withColumn("template", template(F.col("raw")))
     items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"))
-    items = items.select("item_id", "n_items", F.transform("raws", tokens).alias("item_raws"), tokens(F.col("template")).alias("item_template"))
-    toks, probe = F.col("item_template"), window - stride + 1
-    starts = F.when(F.size(toks) >= window, F.sequence(F.lit(0), F.size(toks) - window)).otherwise(F.array().cast("array<int>"))
-    # a window of little but placeholders says nothing; each other one has a probe at every offset that a document's stride can meet
-    plain = F.filter(starts, lambda i: F.size(F.filter(F.slice(toks, i + 1, F.lit(window)), lambda x: ~x.isin(SLOTS))) * 2 >= window)
-    at = F.array_distinct(F.flatten(F.transform(plain, lambda i: F.sequence(i, i + stride - 1))))
-    probes = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(toks, i + 1, F.lit(probe))).alias("h"), i.alias("at")))
-    return items.withColumn("w", F.explode(probes)).select(F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), "item_id", "n_items", "item_raws", "item_template")
+    items = items.withColumn("it", tokens(F.col("template")))
+    words = lambda i: F.size(F.filter(F.slice("it", i + 1, F.lit(window)), lambda x: ~x.isin(SLOTS)))
+    items = items.withColumn("at", F.filter(_starts(F.col("it"), window), lambda i: words(i) * 2 >= window))
+    whole = items.filter(F.size("at") > 0).select(F.xxhash64("template").alias("tid"), F.lit(TEMPLATE).alias("kind"), "item_id", "n_items", "it", F.transform("raws", tokens).alias("raws"), "at")
+    rest = items.filter((F.size("it") < window) | (F.size("at") < F.size("it") - window + 1)).select("template", "item_id", "n_items", F.explode(F.array_distinct(F.transform("raws", plain))).alias("plain"))
+    rest = rest.withColumn("it", tokens(F.col("plain")))
+    verbatim = rest.select(F.xxhash64("template", "plain").alias("tid"), F.lit(PLAIN).alias("kind"), "item_id", "n_items", "it", F.array("it").alias("raws"), _starts(F.col("it"), F.least(F.size("it"), F.lit(window))).alias("at"))
+    return whole.unionByName(verbatim)
+
+
+def probes(entries: DataFrame, window: int) -> DataFrame:
+    """One row per hashed window of an entry, numbers only: h, kind, tid, n (tokens), length, item_at and prev, the hash of the token before if the window one before is a probe too."""
+    it, at = F.col("it"), F.col("item_at")
+    rows = entries.select("kind", "tid", "it", F.size("it").alias("n"), F.least(F.size("it"), F.lit(window)).alias("length"), "at", F.explode("at").alias("item_at"))
+    h = F.when(F.col("kind") == TEMPLATE, window_hash(TEMPLATE, it, at, window)).otherwise(window_hash(PLAIN, it, at, F.col("length")))
+    return rows.select(h.alias("h"), "kind", "tid", "n", "length", "item_at", F.when(F.array_contains("at", at - 1), _before(it, at)).alias("prev"))
+
+
+def document_windows(window: int, lengths: list[int]) -> Column:
+    """(kind, length, h, at, prev) of a document's windows: of template tokens, and of plain tokens where ``lengths`` asks for them."""
+    def of(kind: int, toks: Column, length: int) -> Column:
+        return F.transform(_starts(toks, length), lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(length).alias("length"), window_hash(kind, toks, i, length).alias("h"), i.alias("at")))
+
+    return F.concat(of(TEMPLATE, F.col("template"), window), *(of(PLAIN, F.col("plain"), n) for n in lengths))
 
 
 def _consistent(pairs: Column) -> Column:
@@ -69,57 +116,88 @@ def _consistent(pairs: Column) -> Column:
     return (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))) & (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = 8, stride: int = 4, coverage: float = 0.6, broadcast_rows: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = 8, coverage: float = 0.6, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Documents that hold benchmark items: one row per pair.
 
     Returns the id, fa and fb (fingerprint of the text), item_id (the smallest with
-    that template), n_items, coverage (share of the item's template found at its
+    that template), n_items, coverage (share of the item's tokens found at its
     best place), n_slots and changed (placeholders there whose value differs from
     the nearest text with that template). A pair counts from ``coverage`` on if the
-    placeholders are consistent with any of these texts. Null and
-    short texts, items of fewer tokens than a window, and windows with more
-    placeholders than other tokens, match nothing. Repeated
-    rows match alike; equal (id, text) rows give one row per item. Other columns
-    are ignored; empty tables give no rows.
-
-    Item probes are broadcast only if there are at most ``broadcast_rows``;
-    otherwise hashes are joined by a shuffle and the texts fetched again.
+    placeholders are consistent with any of these texts. Every run of ``window``
+    template tokens that an item and a document share is found, wherever it stands,
+    if half of them are no placeholders; of other items, and of those too short for a
+    window, every verbatim run of ``window`` plain tokens, or the whole item. Items of one or
+    two plain tokens match only a text that is nothing else. Null and empty texts match nothing.
+    Long texts are worked off whole. Repeated rows match alike; equal (id, text) rows
+    give one row per item; of equally good places that with fewer changed values counts. Other
+    columns are ignored, whatever their names; empty tables give no rows.
+
+    Probes, rows of a few numbers, are broadcast only if they take at most
+    ``broadcast_bytes``; otherwise hashes are joined by a shuffle and the texts fetched again.
     """
-    if not 0 < stride <= window:
-        raise ValueError("stride must lie between 1 and window")
-    items = item_windows(benchmark, item_text, item_id, window, stride)
-    small = items.limit(broadcast_rows + 1).count() <= broadcast_rows
-    kept = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(kept).alias("fa"), F.xxhash64(kept, F.lit(1)).alias("fb"), raw_tokens(F.col(text)).alias("raw"))
-    base = base.withColumn("template", template(F.col("raw")))
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    items = numbered(benchmark)
+    entries = scratch.save(item_entries(items, place(benchmark, item_text), place(benchmark, item_id), window))
+    looked = scratch.save(probes(entries, window))
+    n, *_ = looked.agg(F.count("*")).first()
+    lengths = sorted(r.length for r in looked.filter(F.col("kind") == PLAIN).select("length").distinct().collect())  # at most ``window`` numbers
+
+    own = numbered(docs)
+    t = F.coalesce(F.col(place(docs, text)), F.lit(""))
+    fa, fb = fingerprint(t)
+    base = own.select(F.col(place(docs, id_col)).alias("id"), fa.alias("fa"), fb.alias("fb"), raw_tokens(t).alias("raw"))
     key = ["id", "fa", "fb"]
-    toks = base.select(*key, tokens(F.col("raw")).alias("raw"), tokens(F.col("template")).alias("template"))
-    if small:
-        hit = toks.withColumn("w", F.explode(window_hashes(F.col("template"), window - stride + 1, stride))).join(F.broadcast(items), F.col("w.h") == F.col("h"))
+    split = [tokens(F.col("raw")).alias("raw"), tokens(template(F.col("raw"))).alias("template"), *([tokens(plain(F.col("raw"))).alias("plain")] if lengths else [])]
+    toks = base.select(*key, *split)
+    of_kind = lambda a, b: F.when(F.col("kind") == PLAIN, F.col(a)).otherwise(F.col(b)) if lengths else F.col(b)
+    size, prev = F.size(of_kind("plain", "template")), _before(of_kind("plain", "template"), F.col("at"))
+    seen = toks.withColumn("w", F.explode(document_windows(window, lengths))).select(*toks.columns, "w.*")
+    # of a run of hits only the first counts; a very short item must be the whole text
+    first = F.col("prev").isNull() | (F.col("at") == 0) | (F.col("before") != F.col("prev"))
+    fits = (F.col("n") >= LEAST) | (F.col("size") == F.col("n"))
+    if n * PROBE_BYTES <= broadcast_bytes:
+        hit = seen.join(F.broadcast(looked), ["h", "kind", "length"]).withColumns({"before": prev, "size": size}).filter(first & fits)
     else:
-        found = toks.select(*key, F.explode(window_hashes(F.col("template"), window - stride + 1, stride)).alias("w")).join(items, F.col("w.h") == F.col("h"))
-        found = found.drop("h").withColumnsRenamed({k: f"_{k}" for k in key})
+        hashes = seen.select(*key, "h", "kind", "length", "at", prev.alias("before"), size.alias("size"))
+        found = hashes.join(looked, ["h", "kind", "length"]).filter(first & fits).drop("h", "length", "before", "size").withColumnsRenamed({k: f"_{k}" for k in key})
         same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
-        hit = toks.dropDuplicates(key).join(found, same)
-    shift = F.col("w.at") - F.col("item_at")
-    skipped = F.greatest(-shift, F.lit(0))  # tokens of the item before the document's first
-    length = F.size("item_template") - skipped
-    start = F.greatest(shift, F.lit(0)) + 1
-    cut = hit.select(
-        *key, "item_id", "n_items", F.size("item_template").alias("n"),
-        F.slice("item_template", skipped + 1, length).alias("it"), F.col("item_raws"), skipped.alias("skipped"), F.slice("template", start, length).alias("dt"), F.slice("raw", start, length).alias("dr"),
-    )
-    # windows are joined once for each template; every text with it is judged by itself
-    cut = cut.withColumn("item_raw", F.explode("item_raws")).withColumn("ir", F.slice("item_raw", F.col("skipped") + 1, F.size("it")))
-    zipped = F.filter(F.arrays_zip("it", "ir", "dt", "dr"), lambda z: z["it"] == z["dt"])
-    judged = cut.withColumn("same", zipped).withColumn("slots", F.transform(F.filter("same", lambda z: z["it"].isin(SLOTS)), lambda z: F.struct(z["ir"].alias("a"), z["dr"].alias("b"))))
-    judged = judged.select(*key, "item_id", "n_items", (F.size("same") / F.col("n")).alias("coverage"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("changed"), _consistent(F.col("slots")).alias("consistent"))
-    best = judged.filter((F.col("coverage") >= coverage) & F.col("consistent")).groupBy(*key, "item_id").agg(F.max("n_items").alias("n_items"), F.max(F.struct("coverage", (-F.col("changed")).alias("less"), "n_slots")).alias("best"))
+        hit = toks.join(found, same)
+    hit = hit.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("skipped", F.greatest(-F.col("shift"), F.lit(0)))  # tokens of the item before the document's first
+    there = lambda c: F.slice(c, F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n") - F.col("skipped"))
+    hit = hit.select(*key, "tid", "shift", "skipped", "item_at", there(of_kind("plain", "template")).alias("dt"), there(of_kind("plain", "raw")).alias("dr"))
+    places = hit.groupBy(*key, "tid", "shift", "skipped").agg(F.collect_set("item_at").alias("ats"), F.any_value("dt").alias("dt"), F.any_value("dr").alias("dr"))
+    placed = places.join(entries.drop("at", "kind"), "tid")
+    at = F.sequence(F.lit(0), F.size("it") - 1)
+    here = lambda c, i: F.get(F.col(c), i - F.col("skipped"))
+    same_at = lambda i: F.coalesce(F.get("it", i) == here("dt", i), F.lit(False))
+    placed = placed.withColumns(
+        {
+            "same": F.transform(F.filter(at, same_at), lambda i: F.struct(i.alias("pos"), F.get("it", i).isin(SLOTS).alias("slot"), here("dr", i).alias("b"))),
+            "other": F.concat(F.filter(at, lambda i: ~same_at(i)), F.array(F.size("it"))),
+        }
+    )
+    runs = F.flatten(F.transform("ats", lambda a: F.sequence(a, F.array_min(F.filter("other", lambda m: m > a)) - 1)))
+    placed = placed.withColumn("runs", runs)
+    # any two places that differ by up to half of NEAR share a cell of one grid or the other
+    cell = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("shift") + g * NEAR // 2) / NEAR).alias("cell")) for g in (0, 1)]))
+    part = F.struct(F.size("same").alias("size"), (-F.col("shift")).alias("shift"), "same", "runs")
+    cells = placed.withColumn("c", cell).groupBy(*key, "tid", "c").agg(F.sort_array(F.collect_list(part), asc=False).alias("parts"))  # at most NEAR parts
+    own_part = F.transform("parts", lambda x, i: F.when(i == 0, x["same"]).otherwise(F.filter(x["same"], lambda e: F.array_contains(x["runs"], e["pos"]))))
+    merged = F.aggregate(F.slice(own_part, 2, NEAR), F.get(own_part, F.lit(0)), lambda acc, x: F.concat(acc, F.filter(x, lambda e: ~F.exists(acc, lambda a: a["pos"] == e["pos"]))))
+    cells = cells.select(*key, "tid", merged.alias("same")).join(entries.select("tid", "item_id", "n_items", F.size("it").alias("n"), "raws"), "tid")
+    # templates are joined once; every text with one is judged by itself
+    judged = cells.filter(F.size("same") >= coverage * F.col("n") - 1e-9).withColumn("ir", F.explode("raws"))
+    judged = judged.withColumn("slots", F.transform(F.filter("same", lambda e: e["slot"]), lambda e: F.struct(F.get("ir", e["pos"]).alias("a"), e["b"].alias("b"))))
+    judged = judged.filter(_consistent(F.col("slots"))).select(*key, "item_id", "n_items", (F.size("same") / F.col("n")).alias("coverage"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("changed"))
+    best = judged.groupBy(*key, "item_id").agg(F.max("n_items").alias("n_items"), F.max(F.struct("coverage", (-F.col("changed")).alias("less"), "n_slots")).alias("best"))
     return best.select(F.col("id").alias(id_col), "fa", "fb", "item_id", "n_items", "best.coverage", "best.n_slots", (-F.col("best.less")).alias("changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Null and empty texts stay; repeated rows stay or go together."""
     found = matches(docs, benchmark, text, id_col, **options).select(F.col(id_col).alias("_id"), F.col("fa").alias("_fa"), F.col("fb").alias("_fb")).distinct()
-    kept = F.coalesce(F.col(text), F.lit(""))
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(kept) == F.col("_fa")) & (F.xxhash64(kept, F.lit(1)) == F.col("_fb")), "left_anti")
+    own = numbered(docs)
+    t = F.coalesce(F.col(place(docs, text)), F.lit(""))
+    fa, fb = fingerprint(t)
+    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_id")) & (fa == F.col("_fa")) & (fb == F.col("_fb"))
+    return own.join(found, same, "left_anti").toDF(*docs.columns)

@@ -294,6 +294,7 @@ def sample(docs: DataFrame, text: str, id_col: str, lang: str, per_language: int
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with its columns named c0, c1, ..., and lang_pred and score."""
+    worker.small_batches(docs.sparkSession)
     own = numbered(docs)
     at = place(docs, text)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import worker
-from .columns import numbered, place
+from .columns import fingerprint, numbered, place
 from .hashing import U, column, groups_of, hash_words, mix, window_hashes
 from .pairs import UNIT, by_unit, components, each_unit, forest, pair_indexes, units
 from .scratch import Scratch
@@ -253,7 +253,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int =
     kind = docs.schema[id_col].dataType.simpleString()
     own = numbered(docs)
     kept_text = F.coalesce(F.col(place(docs, text)), F.lit(""))
-    base = own.select(F.col(place(docs, id_col)).alias("id"), F.xxhash64(kept_text).alias("fa"), F.xxhash64(kept_text, F.lit(1)).alias("fb"), kept_text.alias("text"))
+    fa, fb = fingerprint(kept_text)
+    base = own.select(F.col(place(docs, id_col)).alias("id"), fa.alias("fa"), fb.alias("fb"), kept_text.alias("text"))
     signed = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(signatures(n, bands), f"row long, id {kind}, fa long, fb long, set binary, size int, sig binary")
     rows = scratch.save(signed)
     first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
@@ -300,7 +301,8 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
     kept = scratch.save(seen.groupBy(*key).agg(F.count("*").alias("n"), F.sum("k").alias("k")).filter("k > 0").select(*key, (F.col("n") > F.col("k")).alias("repeated")))
     own = numbered(docs)
     t = F.coalesce(F.col(place(docs, text)), F.lit(""))
-    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_id")) & (F.xxhash64(t) == F.col("_fa")) & (F.xxhash64(t, F.lit(1)) == F.col("_fb"))
+    fa, fb = fingerprint(t)
+    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_id")) & (fa == F.col("_fa")) & (fb == F.col("_fb"))
     out = own.join(kept.filter("not repeated"), same, "left_semi")
     if kept.filter("repeated").limit(1).count():
         several = own.join(kept.filter("repeated"), same)

@@ -11,8 +11,10 @@ rank within their length.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
@@ -23,6 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import worker
+from .columns import numbered, place
 from .scratch import Scratch
 
 
@@ -135,77 +139,74 @@ def _byte_chars() -> dict[int, str]:
 
 
 BYTE_CHARS = _byte_chars()
-_caches: dict[str, WordCache] = {}
 
 
-class WordCache:
-    """Token ids of whole texts, word by word.
+class WordCache(dict):
+    """Token ids (little-endian unsigned 32-bit) of words, each worked out when it is first asked for.
 
     The tokenizer drops white space, so its ids of a text are those of the parts
-    between spaces and line feeds, one after the other; each part is encoded once.
+    between spaces and line feeds, one after the other. The cache takes up about ``most``
+    bytes at most; then it begins anew. The tokenizer ignores case, so a text in Latin-1,
+    where that is a matter of single characters, is lower-cased first. A word of letters
+    has the ids that the merges alone give, and marks at its end are tokens of their own.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b"", ".": self._ids(["."])[0], ",": self._ids([","])[0]}
+        self.most, self.used = most, 0
         self.model = self.tokenizer.model
-        # only if the tokenizer is of the kind for which the short way is the same
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        # only if the tokenizer is of the kind for which the short ways are the same
         trial = ["word", "Words", "THE", "straße", "Über", "élan", "ÑANDÚ", "a", "internationalisation"]
-        self.short = [self._merged(w) for w in trial] == self._ids(trial)
+        self.short = all(self._merged(w.lower()) == self._ids(w) and self._ids(f"{w}.)#") == self._ids(w) + self._ids(".)#") for w in trial)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    @staticmethod
+    def of(path: str) -> WordCache:
+        """This worker's cache for a tokenizer; it outlasts the task."""
+        return worker.keep(f"tokens {path}", lambda: WordCache(path))
 
-    def _plain(self, part: str) -> bool:
-        """Letters whose lower case and composition are a matter of single characters."""
-        return part.isalpha() and max(part) <= "\u024f" and "\u0130" not in part
+    def _ids(self, part: str) -> bytes:
+        return b"".join([self.id_bytes[k] for k in self.tokenizer.encode(part, add_special_tokens=False).ids])
 
     def _merged(self, part: str) -> bytes:
-        """Ids of a plain word from the merges alone, without the steps that find words in a text."""
-        part = part.lower()
+        """Ids of a plain word in lower case from the merges alone, without the steps that find words in a text."""
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(BYTE_CHARS)
-        return np.asarray([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
-
-    @staticmethod
-    def of(path: str) -> WordCache:
-        """This worker's cache for a tokenizer; it outlasts the task."""
-        if path not in _caches:
-            _caches[path] = WordCache(path)
-        return _caches[path]
-
-    @staticmethod
-    def _split(part: str) -> tuple[str, str]:
-        """A closing full stop or comma after letters is a token of its own."""
-        if part[-1] in ".," and part[:-1].isalpha():
-            part, mark = part[:-1], part[-1]
+        own = self.id_bytes
+        return b"".join([own[t.id] for t in self.model.tokenize(part)])
+
+    def __missing__(self, part: str) -> bytes:
+        if self.used > self.most:
+            self.clear()
+            self.used = 0
+        self.used += 230 + 6 * len(part)
+        core = part.rstrip(string.punctuation) if self.short else ""
+        # letters whose lower case and composition are a matter of single characters
+        plain = core.isalpha() and (core.isascii() or (max(core) <= "\u024f" and "\u0130" not in core))
+        if not plain:
+            ids = self._ids(part)
+        elif core == part:
+            ids = self._merged(core.lower())
         else:
-            mark = ""
-        return (part.lower() if part.isascii() else part), mark
+            ids = self[core] + self[part[len(core) :]]
+        self[part] = ids
+        return ids
+
+    def _parts(self, text: str) -> list[str]:
+        if self.short:
+            with contextlib.suppress(UnicodeEncodeError):
+                if text.isascii() or text.encode("latin-1"):
+                    text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {p for own in parts for p in own if p not in self.words}
-        if len(self.words) + len(missing) > self.most:
-            self.words = {"": b""}
-            self.cores = {k: self.cores[k] for k in ("", ".", ",")}
-            missing = {p for own in parts for p in own if p}
-        if missing:
-            split = {p: self._split(p) for p in missing}
-            new = {core for core, _ in split.values() if core not in self.cores}
-            plain = {core for core in new if self._plain(core)} if self.short else set()
-            self.cores.update((core, self._merged(core)) for core in plain)
-            rest = list(new - plain)
-            self.cores.update(zip(rest, self._ids(rest), strict=True))
-            self.words.update((p, self.cores[core] + self.cores[mark]) for p, (core, mark) in split.items())
-        get = self.words.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+        """Ids of each text."""
+        get = self.__getitem__
+        return [b"".join(map(get, self._parts(t))) for t in texts]
 
 
 def pieces_of(docs: DataFrame, tokenizer: Callable[[], str], capacity: int, end_id: int = 1, text: str = "text", id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -242,9 +243,11 @@ def pieces_of(docs: DataFrame, tokenizer: Callable[[], str], capacity: int, end_
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at = stop
 
+    worker.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    rows = numbered(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text)).alias("text"))
+    return rows.mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, blocks: int = 256) -> DataFrame:

@@ -9,9 +9,11 @@ others. A token gets a kind of its own if its posterior is high enough and a ski
 link supports it, so a number once written as +44 20 7946 0958 is also found where
 it reads 020 7946 0958.
 
-Potentials are fitted on a bounded sample: node weights by logistic regression on
-shape features, edge weights from how often linked tokens share a kind. Tokens that
-resemble an entity but match no pattern are latent there, not negative examples.
+All potentials - node weights of shape features, chain and skip tables - are fitted
+together on a bounded sample of texts that the patterns label, by the gradient of the
+pseudo-likelihood: each token's label given its neighbours'. Tokens that resemble an
+entity but match no pattern are latent: in turns their posteriors come from message
+passing and the potentials from the gradient.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import sampling, worker
+from .columns import numbered, place
+from .hashing import column, slices
 from .pairs import forest
 
 KINDS = ("email", "ip", "card", "phone")
@@ -83,7 +87,7 @@ class Graph:
 
     spans: list[tuple[int, int]]
     observed: np.ndarray
-    features: list[list[int]]
+    features: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
     words: list[str]
@@ -155,7 +159,7 @@ def graph(text: str, base: list[Span]) -> Graph:
                 skip.append((last[key], i))
             last[key] = i
     pairs = lambda x: np.array(sorted(set(x)), dtype=np.int64).reshape(-1, 2)
-    return Graph(spans, np.array(observed, dtype=np.int64), features, pairs(chain), pairs(skip), words)
+    return Graph(spans, np.array(observed, dtype=np.int64), np.array(features, dtype=np.int64).reshape(len(spans), -1), pairs(chain), pairs(skip), words)
 
 
 @dataclass
@@ -168,7 +172,7 @@ class Model:
     def posteriors(self, g: Graph) -> np.ndarray:
         """Marginals of loopy sum-product message passing with damping."""
         n, k = len(g.spans), len(LABELS)
-        node = np.stack([self.weights[f].sum(axis=0) for f in g.features]) + self.weights[-1]
+        node = self.weights[g.features].sum(axis=1) + self.weights[-1]
         seen = g.observed >= 0
         node[seen] = -50.0
         node[seen, g.observed[seen]] = 0.0
@@ -194,50 +198,74 @@ class Model:
         return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
 
 
-def train(texts: list[str], steps: int = 200, rate: float = 0.5) -> Model:
-    """Node weights by softmax regression, edge weights as smoothed log ratios."""
+def union(graphs: list[Graph]) -> Graph:
+    """Several documents' graphs as one."""
+    starts = np.cumsum([0] + [len(g.spans) for g in graphs])
+    moved = lambda name: np.concatenate([getattr(g, name) + k for g, k in zip(graphs, starts, strict=False)])
+    return Graph([s for g in graphs for s in g.spans], np.concatenate([g.observed for g in graphs]), np.concatenate([g.features for g in graphs]), moved("chain"), moved("skip"), [w for g in graphs for w in g.words])
+
+
+def gradient(model: Model, g: Graph, label: np.ndarray, known: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean log pseudo-likelihood of the known tokens' labels, and its gradient by weights, chain and skip. ``label`` has a distribution a token."""
+    (ca, cb), (sa, sb) = g.chain.T, g.skip.T
+    z = model.weights[g.features].sum(axis=1) + model.weights[-1]
+    for at, add in ((cb, label[ca] @ model.chain), (ca, label[cb] @ model.chain.T), (sa, label[sb] @ model.skip), (sb, label[sa] @ model.skip)):
+        np.add.at(z, at, add)
+    log = z - np.logaddexp.reduce(z, axis=1, keepdims=True)
+    n = max(1, int(known.sum()))
+    pull = np.where(known[:, None], label - np.exp(log), 0.0) / n
+    weights = np.empty_like(model.weights)
+    for c in range(label.shape[1]):
+        weights[:-1, c] = np.bincount(g.features.ravel(), np.repeat(pull[:, c], g.features.shape[1]), len(weights) - 1)
+    weights[-1] = pull.sum(axis=0)
+    chain = label[ca].T @ pull[cb] + pull[ca].T @ label[cb]
+    skip = label[sb].T @ pull[sa] + label[sa].T @ pull[sb]
+    return float((label * log)[known].sum() / n), [weights, chain, (skip + skip.T) / 2]
+
+
+AGREE = 4.0  # prior mean of the skip potential: linked tokens tend to be of one kind
+
+
+def train(texts: list[str], rounds: int = 4, steps: int = 60, rate: float = 0.1, penalty: float = 1e-3) -> Model:
+    """Fits all potentials together. A skip link says how far two tokens of one kind agree, a number for each kind.
+
+    In the first round latent tokens don't count; then each round takes their posteriors for labels.
+    Without a candidate token the potentials keep their prior.
+    """
     k = len(LABELS)
-    features, labels = [], []
-    chain, skip = np.ones((k, k)), np.ones((k, k))
-    for t in texts:
-        g = graph(t, base_spans(t))
-        if not len(g.spans):
-            continue
-        linked = np.zeros(len(g.spans), dtype=bool)
-        for a, b in g.skip:
-            linked[a] |= g.observed[b] >= 0
-            linked[b] |= g.observed[a] >= 0
-        latent = linked & (g.observed < 0)
-        label = np.where(g.observed < 0, 0, g.observed)
-        for a, b in g.chain:
-            if not (latent[a] or latent[b]):
-                chain[label[a], label[b]] += 1
-        for a, b in g.skip:
-            if not (latent[a] or latent[b]):
-                skip[label[a], label[b]] += 1
-                skip[label[b], label[a]] += 1
-        for f, y, hidden in zip(g.features, label, latent, strict=True):
-            if not hidden:
-                features.append(f)
-                labels.append(y)
-    weights = np.zeros((FEATURES + 1, k))
-    if labels:
-        x, y = np.array(features), np.eye(k)[labels]
-        for _ in range(steps):
-            z = weights[x].sum(axis=1) + weights[-1]
-            p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-            pull = (y - p) / len(labels)
-            grad = np.zeros_like(weights)
-            for c in range(x.shape[1]):
-                np.add.at(grad, x[:, c], pull)
-            grad[-1] = pull.sum(axis=0)
-            weights += rate * 10 * (grad - 1e-4 * weights)
-    ratio = lambda m: np.log(m / m.sum()) - np.log(m.sum(1) / m.sum())[:, None] - np.log(m.sum(0) / m.sum())[None]
-    agree = ratio(skip + 20 * np.eye(k))  # repeats agree even where the sample has few
-    return Model(weights, np.clip(ratio(chain), -1.5, 1.5), np.clip(agree, -6, 6))
-
-
-def added_spans(text: str, base: list[Span], model: Model, least: float = 0.9) -> list[Span]:
+    model = Model(np.zeros((FEATURES + 1, k)), np.zeros((k, k)), AGREE * np.eye(k))
+    graphs = [g for t in texts if len((g := graph(t, base_spans(t))).spans)]
+    if not graphs:
+        return model
+    g = union(graphs)
+    seen = g.observed >= 0
+    linked = np.zeros(len(seen), dtype=bool)
+    linked[g.skip[:, 0]] |= seen[g.skip[:, 1]]
+    linked[g.skip[:, 1]] |= seen[g.skip[:, 0]]
+    known = seen | ~linked
+    label = np.eye(k)[np.where(seen, g.observed, 0)]
+    label[~known] = 0  # no message to their neighbours yet
+    clamped = Graph(g.spans, np.where(known, np.maximum(g.observed, 0), -1), g.features, g.chain, g.skip, g.words)
+    parts, prior = [model.weights, model.chain, model.skip], [0.0, 0.0, AGREE * np.eye(k)]
+    counts = known.copy()
+    for _ in range(rounds):
+        first, second = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
+        for step in range(1, steps + 1):
+            _, grads = gradient(model, g, label, counts)
+            grads[2] *= np.eye(k)
+            for x, d, m, v, mean in zip(parts, grads, first, second, prior, strict=True):
+                d -= penalty * (x - mean)
+                m += 0.1 * (d - m)
+                v += 0.001 * (d * d - v)
+                x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if known.all():
+            break
+        label[~known] = model.posteriors(clamped)[~known]
+        counts[:] = True
+    return model
+
+
+def added_spans(text: str, base: list[Span], model: Model, least: float = 0.7) -> list[Span]:
     """Spans of tokens outside base spans that a skip link ties to an entity and whose posterior for one kind is ``least`` or more."""
     if not base:
         return []
@@ -288,67 +316,78 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit(docs: DataFrame, text: str = "text", max_rows: int = 2000, max_bytes: int = 20_000) -> Model:
-    """Learns from at most ``max_rows`` texts with a digit or an @, chosen by their hash, of at most ``max_bytes`` bytes."""
-    usable = docs.filter(F.col(text).rlike("[0-9@]") & (F.octet_length(text) <= max_bytes))
-    rows = usable.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # hashes are chosen first; only the chosen rows' texts travel
-    chosen = rows.select("h").distinct().orderBy("h").limit(max_rows)
-    picked = sorted(rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text").collect())
-    return train([r.text for r in picked])
+def fit(docs: DataFrame, text: str = "text", max_rows: int = 2000, max_bytes: int = 32 << 20) -> Model:
+    """Learns from at most ``max_rows`` different texts with a digit or an @, which the patterns label; chosen by their hash, ``max_bytes`` bytes in all."""
+    t = F.col(place(docs, text))
+    rows = numbered(docs).filter(t.rlike("[0-9@]")).select(F.lit(0).alias("g"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"), t.alias("text"))
+    picked = sampling.chosen(rows.select("g", "h", "size"), max_rows, 1, max_bytes)
+    return train([r.text for r in sampling.fetched(rows, picked, "text")] if picked else [])
+
 
+def spans_of(text: str | None, model: Model, least: float) -> tuple[list[Span], list[Span]]:
+    """Base spans, and those that the field adds."""
+    base = ordered(base_spans(text)) if text else []
+    return base, added_spans(text, base, model, least) if base else []
 
-def find_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = 0.9, max_rows: int = 2000, max_bytes: int = 20_000, keep_text: bool = False) -> DataFrame:
-    """Personal data in every whole text.
+
+def find_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = 0.7, max_rows: int = 2000, max_bytes: int = 32 << 20, keep_text: bool = False) -> DataFrame:
+    """Personal data in every whole text, however long.
 
     Returns, per row: the id, n_email, n_ip, n_card, n_phone (base spans), base_sha256
     of the base spans as kind:start:end, spans (base and added ones, written alike;
     code points, end exclusive), n_added and, with ``keep_text``, redacted (the text
     with all spans replaced; null stays null). Null texts count as empty. Null ids, repeated rows
-    and ties are rows like others; an empty table gives no rows.
+    and ties are rows like others; other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    worker.small_batches(docs.sparkSession)
     model = fit(docs, text, max_rows, max_bytes)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for t in frame["text"]:
-                own = t if isinstance(t, str) else ""
-                base = ordered(base_spans(own))
-                more = added_spans(own, base, model, least)
-                spans = ordered(base + more) if more else base
-                rows.append((*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(more), *([redact(own, spans) if isinstance(t, str) else None] if keep_text else [])))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *["redacted"] * keep_text])
-            out.insert(0, "id", frame["id"].to_numpy())
-            yield out
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.free()
+        for batch in batches:
+            for part in slices(batch):
+                counts, digests, all_spans, n_added, texts = [], [], [], [], []
+                for t in column(part, "text").to_pylist():
+                    base, more = spans_of(t, model, least)
+                    spans = ordered(base + more) if more else base
+                    counts.append([sum(s[0] == k for s in base) for k in KINDS])
+                    digests.append(hashlib.sha256(written(base).encode()).hexdigest())
+                    all_spans.append(written(spans))
+                    n_added.append(len(more))
+                    texts.append(redact(t, spans) if spans else t)
+                cols = [column(part, "id"), *(pa.array(c, pa.int64()) for c in np.array(counts).reshape(-1, len(KINDS)).T), pa.array(digests), pa.array(all_spans, pa.string()), pa.array(n_added, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(texts, pa.string())] * keep_text], names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *["redacted"] * keep_text])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long" + ", redacted string" * keep_text
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    rows = numbered(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text)).alias("text"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
 
+def redacted(docs: DataFrame, model: Model, measures: dict | None = None, text: str = "text", least: float = 0.7) -> DataFrame:
+    """``docs`` with all spans of ``text`` replaced; ``measures`` names columns to compute anew from a changed text.
 
-def redacted(docs: DataFrame, model: Model, measures: dict | None = None, text: str = "text", least: float = 0.9) -> DataFrame:
-    """``docs`` with all spans of ``text`` replaced; ``measures`` names columns to compute anew from a changed text."""
-    measures = {c: f for c, f in (measures or {}).items() if c in docs.columns}
+    Null texts stay null; all other columns, whatever their names, and all rows stay as they are.
+    """
+    worker.small_batches(docs.sparkSession)
+    measures = {docs.columns.index(c): f for c, f in (measures or {}).items() if c in docs.columns}
+    at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.free()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            changed: dict[int, str] = {}
-            texts = batch.column(at).to_pylist()
-            for k, t in enumerate(texts):
-                if t and (base := ordered(base_spans(t))):
-                    changed[k] = redact(t, ordered(base + added_spans(t, base, model, least)))
-            columns = batch.columns
-            if changed:
-                columns[at] = pa.array([changed.get(k, t) for k, t in enumerate(texts)], columns[at].type)
-                for c, f in places.items():
-                    values = columns[c].to_pylist()
-                    columns[c] = pa.array([f(changed[k]) if k in changed else v for k, v in enumerate(values)], columns[c].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    places = {docs.columns.index(c): f for c, f in measures.items()}
-    names = ["text" if c == text else f"_{k}" for k, c in enumerate(docs.columns)]
-    inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    out = inner.mapInArrow(run, inner.schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+            for part in slices(batch, f"c{at}"):
+                columns, texts = part.columns, part.column(at).to_pylist()
+                changed: dict[int, str] = {}
+                for k, t in enumerate(texts):
+                    base, more = spans_of(t, model, least)
+                    if base:
+                        changed[k] = redact(t, ordered(base + more))
+                if changed:
+                    columns[at] = pa.array([changed.get(k, t) for k, t in enumerate(texts)], columns[at].type)
+                    for c, f in measures.items():
+                        columns[c] = pa.array([f(changed[k]) if k in changed else v for k, v in enumerate(columns[c].to_pylist())], columns[c].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    own = numbered(docs)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

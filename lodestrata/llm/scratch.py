@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import worker
+
 _local: dict[str, str] = {}
 
 
@@ -49,6 +51,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        worker.small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0

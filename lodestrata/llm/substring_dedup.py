@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import worker
+from .columns import fingerprint, numbered, place
 from .hashing import column, groups_of, hash_words, signed, window_hashes, word_bounds, word_hashes
 from .scratch import Scratch
 
@@ -31,11 +32,6 @@ COVER, PERIOD = (0, 1, 4, 14, 16), 21
 KEY = ["fa", "fb"]
 
 
-def _fingerprint(texts: DataFrame, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return texts.withColumns({"fa": F.xxhash64(t), "fb": F.xxhash64(t, F.lit(1))})
-
-
 def _inside(counts: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For all windows of the joined words: number in the document, words left from there on."""
     at = np.arange(int(counts.sum())) - np.repeat(starts, counts)
@@ -132,7 +128,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         raise ValueError(f"a window must have {PERIOD + 4} words at least")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    base = _fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
+    fa, fb = fingerprint(F.coalesce(F.col(place(docs, text)), F.lit("")))
+    base = numbered(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text)).alias("text"), fa.alias("fa"), fb.alias("fb"))
 
     anchors = base.select("text", *KEY).mapInArrow(_anchors(window), "h long, fa long, fb long, pos int")
     repeated = scratch.save(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))

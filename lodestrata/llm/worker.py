@@ -11,6 +11,11 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 _kept: dict[str, Any] = {}
 
 
@@ -32,3 +37,11 @@ def free() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library; it gives memory back in its own way
         pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand whole texts over in batches of BATCH_BYTES, if it is set to larger ones; a longer text is a batch by itself."""
+    now = spark.conf.get(BATCH, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if not 0 < int(now.rstrip("kmg")) << unit <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))

@@ -65,8 +65,8 @@ def test_messages_agree_with_enumeration():
 
     rng = np.random.default_rng(1)
     model = pii.Model(rng.normal(size=(pii.FEATURES + 1, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)), rounds=200)
-    g = pii.Graph([(0, 1), (2, 3), (4, 5)], np.array([-1, 2, -1]), [[1], [2], [3]], np.array([[0, 1]]), np.array([[1, 2]]), ["a", "b", "c"])
-    node = np.stack([model.weights[f].sum(axis=0) for f in g.features]) + model.weights[-1]
+    g = pii.Graph([(0, 1), (2, 3), (4, 5)], np.array([-1, 2, -1]), np.array([[1], [2], [3]]), np.array([[0, 1]]), np.array([[1, 2]]), ["a", "b", "c"])
+    node = model.weights[g.features].sum(axis=1) + model.weights[-1]
     total = np.zeros((3, 5))
     for y in itertools.product(range(5), repeat=3):
         if y[1] == 2:
@@ -79,3 +79,58 @@ def test_messages_agree_with_enumeration():
 def test_redaction():
     assert pii.redact("a b c", [("ip", 2, 3)]) == "a <ip> c"
     assert pii.redact("abcdef", [("card", 0, 4), ("phone", 2, 6)]) == "<card>"
+
+
+def test_gradient_by_finite_differences():
+    import numpy as np
+
+    texts = ["call +44 20 7946 0958 or 020 7946 0958 now", "ip 10.0.0.1 then 10.0.0.1 and 17 or 18", "a@b.org 5 a@b.org"]
+    g = pii.union([pii.graph(t, pii.base_spans(t)) for t in texts])
+    rng = np.random.default_rng(2)
+    skip = rng.normal(size=(5, 5))
+    model = pii.Model(rng.normal(size=(pii.FEATURES + 1, 5)), rng.normal(size=(5, 5)), skip + skip.T)
+    label = rng.dirichlet(np.ones(5), len(g.spans))
+    known = np.arange(len(g.spans)) % 4 != 1
+    _, grads = pii.gradient(model, g, label, known)
+    for part, grad, at in ((model.weights, grads[0], (g.features[0, 0], 2)), (model.weights, grads[0], (-1, 1)), (model.chain, grads[1], (0, 4)), (model.chain, grads[1], (4, 4)), (model.skip, grads[2], (4, 0))):
+        places = {at, at[::-1]} if part is model.skip else {at}
+        values = []
+        for step in (1e-6, -1e-6):
+            for p in places:
+                part[p] += step
+            values.append(pii.gradient(model, g, label, known)[0])
+            for p in places:
+                part[p] -= step
+        assert abs((values[0] - values[1]) / 2e-6 - len(places) * grad[at]) < 1e-6
+
+
+def brute_query(texts, model, least=0.7):
+    """Spans by the definition: patterns, then message passing, for every text by itself."""
+    out = []
+    for t in texts:
+        base = brute(t or "")
+        out.append(",".join("%s:%d:%d" % s for s in pii.ordered(base + (pii.added_spans(t, base, model, least) if base else []))))
+    return out
+
+
+def test_the_query_against_the_definition(documents):
+    texts = [f"call +44 20 7946 {n:04d} or 020 7946 {n:04d} at noon; year 1999" for n in range(950, 970)] + CASES + [None, "word " * 50_000 + "ip 10.1.2.3 x@y.org"]
+    docs = documents([(k, t) for k, t in enumerate(texts)], g=1, h=2, c0=3)
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_query(texts, pii.fit(docs))
+
+
+def test_the_field_tells_linked_tokens_apart(documents):
+    """An order number that ends like a phone number is linked to it, but stands where order numbers stand."""
+    rng = __import__("random").Random(5)
+    texts = []
+    for _ in range(200):
+        n = rng.randint(10_000_000, 99_999_999)
+        texts.append(f"phone +4420{n} today, then phone 020{n} later; order 88{rng.randint(1000000, 9999999)} came")
+        texts.append(f"phone +4420{n} soon, order 990{n} came")
+    texts += [f"order 99{rng.randint(1000000, 9999999)} came" for _ in range(300)]
+    model = pii.train(texts)
+    found = [[t[a:b] for _, a, b in pii.added_spans(t, pii.base_spans(t), model)] for t in texts[:400]]
+    phones = sum(any(x.startswith("020") for x in f) for f in found)
+    orders = sum(any(x.startswith("99") for x in f) for f in found)
+    assert phones > 180 and orders < 20

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -53,10 +54,71 @@ def test_offending_sentences_are_found(scored):
 
 
 def test_noisy_or(spark):
-    model = toxicity.Model(-2.0, {"bad ": 3.0})
-    p = [1 / (1 + np.exp(-z)) for z in (-2.0, 1.0)]
-    got = toxicity.score(spark.createDataFrame([(1, "fine. bad one")], "doc_id long, text string"), model).first()
-    assert got.score == pytest.approx(1 - (1 - p[0]) * (1 - p[1])) and got.sentences == "5:13"
+    model = toxicity.Model(-2.0, -1.0, {"bad ": 3.0, "sad ": -0.5})
+    leak, bad, sad = (1 / (1 + np.exp(-z)) for z in (-2.0, 2.0, -1.5))
+    got = toxicity.score(spark.createDataFrame([(1, "fine. bad one! sad")], "doc_id long, text string"), model).first()
+    assert got.score == pytest.approx(1 - (1 - leak) * (1 - bad) * (1 - sad)) and got.sentences == "5:13"
+
+
+def test_gradient_by_finite_differences():
+    rng = random.Random(7)
+    rows = labelled(rng, 60)
+    bags = [toxicity.bag(t) for _, t, _ in rows]
+    y = [v for _, _, v in rows]
+    data = toxicity.Bags.of(bags, y, ["idiot ", "moro", "the", "clown "])
+    theta = np.array([1.0, 0.4, -0.3, 0.7, -1.2, -2.5])
+    value, grad = data.likelihood(theta, 1e-3)
+    # the likelihood by its definition
+    brute = 0.0
+    for own, label in zip(bags, y, strict=True):
+        none = 1 - 1 / (1 + np.exp(2.5))
+        for words in own:
+            z = [w for f, w in zip(["idiot ", "moro", "the", "clown "], theta, strict=False) for x in words for g in toxicity.features(x) if g == f]
+            if z:
+                none *= 1 - 1 / (1 + np.exp(1.2 - sum(z)))
+        brute += np.log(1 - none) if label else np.log(none)
+    assert value == pytest.approx(brute / len(y) - 1e-3 * (theta[:4] @ theta[:4]) / 2)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((data.likelihood(theta + step, 1e-3)[0] - data.likelihood(theta - step, 1e-3)[0]) / 2e-6, abs=1e-6)
+
+
+def test_the_query_against_the_definition(spark, documents, scored):
+    """Scores worked out sentence by sentence, from the model that the same sample gives."""
+    rows, got = scored
+    usable = sorted((t, y) for k, t, y in rows if not next(r.held_out for r in got if r.doc_id == k))
+    docs = documents([(k, t) for k, t, _ in rows])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, "text", "doc_id", "toxic", 6000, 1 << 20)
+    assert sorted(zip(texts, y, strict=True)) == usable
+    model = toxicity.train(texts, y)
+    for r in toxicity.toxicity(docs, labels).collect():
+        none = 1 - 1 / (1 + np.exp(-model.leak))
+        for sentence in re.split(r"[.!?\n]+", dict((k, t) for k, t, _ in rows)[r.doc_id]):
+            own = [model.weights[f] for w in re.findall(r"\w+", sentence.lower()) for f in toxicity.features(w) if f in model.weights]
+            if own:
+                none *= 1 - 1 / (1 + np.exp(-model.bias - sum(own)))
+        assert r.score == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_long_clean_texts_stay_clean(spark, documents):
+    rng = random.Random(11)
+    rows = labelled(rng, 400)
+    docs = documents([(k, t) for k, t, _ in rows] + [(1000, text(rng, 200_000)), (1001, " ".join(text(rng, 12) for _ in range(20_000))), (1002, text(rng, 100_000) + " you idiot. " + text(rng, 1000))])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert [got[k].predicted for k in (1000, 1001, 1002)] == [0, 0, 1] and got[1002].sentences.count(":") == 1
+
+
+def test_sample_is_bounded(spark, documents):
+    rng = random.Random(12)
+    rows = labelled(rng, 200)
+    docs = documents([(k, t) for k, t, _ in rows] * 3, c0=1, label=2, g=3)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, "text", "doc_id", "toxic", 50, 1 << 20)
+    assert len(texts) == len(set(texts)) == 50 and set(y) == {0, 1}
+    assert (texts, y) == toxicity.sample(docs.repartition(7), labels, "text", "doc_id", "toxic", 50, 1 << 20)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 1, None)]])
