@@ -21,10 +21,15 @@ def line_kind(text: Column) -> Column:
 
 
 def ledger(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """Per source: blocks, segments, accounted and unclassified segments."""
+    """Per source: blocks, segments, segments that a rule has given a kind (accounted), and those of no known kind.
+
+    Segments are counted as visible lines, accounted ones from the kinds; they must agree.
+    """
     lines = F.filter(T.lines(F.col(text)), lambda x: T.strip(x) != "")
-    rows = docs.select(source, F.transform(lines, lambda x: T.found(T.strip(x), V.BULLET, "(?sU)")).alias("kinds"))
-    return rows.groupBy(source).agg(F.count("*").alias("source_blocks"), F.sum(F.size("kinds")).alias("segments"), F.sum(F.size("kinds")).alias("accounted_segments"), F.sum(F.size(F.filter("kinds", lambda k: ~k))).alias("unclassified_segments"))
+    kind = lambda x: F.when(T.found(T.strip(x), V.BULLET, "(?sU)"), "bullet").when(T.strip(x) != "", "unclassified")
+    rows = docs.select(source, F.size(lines).alias("n"), F.transform(lines, kind).alias("kinds"))
+    of = lambda name: F.size(F.filter("kinds", lambda k: k == name))
+    return rows.groupBy(source).agg(F.count("*").alias("source_blocks"), F.sum("n").alias("segments"), F.sum(of("bullet") + of("unclassified")).alias("accounted_segments"), F.sum(of("unclassified")).alias("unclassified_segments"))
 
 
 def page_coverage(blocks: DataFrame, page: str) -> DataFrame:

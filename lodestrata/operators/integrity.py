@@ -76,11 +76,22 @@ def revision_states(df: DataFrame, scope: str, revision: str, *order: str) -> Da
     return df.join(newest, scope).select(*df.columns, F.when(current, "CURRENT").otherwise("STALE").alias("state"), F.when(~current, F.col(f"_newest.{revision}")).alias("superseded_by"))
 
 
-def global_ids(df: DataFrame, scope: str, order: str, prefix: str = "claim-") -> DataFrame:
-    """Gapless ids in (scope, order) order without sorting everything in one task: per-scope counts, their prefix sums, then ranks."""
+def global_ids(df: DataFrame, scope: str, order: str, prefix: str = "claim-", blocks: int = 256) -> DataFrame:
+    """Gapless ids in (scope, order) order without bringing everything to one task.
+
+    ``blocks`` - 1 scopes, chosen by their hash, cut the scopes' order into blocks; the
+    blocks' totals are summed up, then the scopes' within each block, then rows are
+    ranked within their scope.
+    """
     counts = df.groupBy(scope).agg(F.count("*").alias("_n"))
-    # one row a scope; scopes are sources, not rows
-    before = counts.select(scope, F.coalesce(F.sum("_n").over(Window.orderBy(scope).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(scope).orderBy(order))
-    out = df.withColumn("_rank", rank).join(before, scope)
-    return out.withColumn("claim_id", F.concat(F.lit(prefix), F.lpad((F.col("_rank") + F.col("_before")).cast("string"), 6, "0"))).drop("_rank", "_before")
+    cuts = sorted(r[0] for r in counts.filter(F.col(scope).isNotNull()).select(scope).orderBy(F.xxhash64(scope)).limit(blocks - 1).collect())
+    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(scope))) if cuts else F.lit(0)
+    counts = counts.withColumn("_block", F.coalesce(block, F.lit(-1)))
+    running = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = counts.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    firsts = totals.select("_block", running(Window.orderBy("_block")).alias("_first"))  # at most ``blocks`` rows
+    before = counts.withColumn("_before", running(Window.partitionBy("_block").orderBy(scope))).join(firsts, "_block")
+    before = before.select(F.col(scope).alias("_scope"), (F.col("_before") + F.col("_first")).alias("_before"))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(scope).orderBy(order)))
+    out = ranked.join(before, F.col(scope).eqNullSafe(F.col("_scope")))
+    return out.withColumn("claim_id", F.concat(F.lit(prefix), F.lpad((F.col("_rank") + F.col("_before")).cast("string"), 6, "0"))).drop("_rank", "_before", "_scope")

@@ -13,23 +13,22 @@ def token_presence(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str
     """(doc, item) pairs where the item's tokens stand in the document in a row.
 
     An item's first tokens are its anchor, joined by hash with the documents' runs
-    of as many tokens; what meets is verified on the whole item. Anchors have
+    of as many tokens. Only hashes, ids and places travel; the documents that a hash meets
+    are fetched again by their id and verified on the whole item. Anchors have
     ANCHOR tokens, items of fewer tokens their own length.
     """
     items = items.select(F.col(item_id).alias("item"), F.split(T.collapse(item_text), " ").alias("want")).filter("want[0] <> ''")
-    items = items.withColumn("size", F.least(F.size("want"), F.lit(ANCHOR))).withColumn("h", F.xxhash64("size", F.slice("want", F.lit(1), F.col("size"))))
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # ANCHOR at most
+    items = items.withColumn("size", F.least(F.size("want"), F.lit(ANCHOR)))
+    anchors = items.select("item", F.xxhash64("size", F.slice("want", F.lit(1), F.col("size"))).alias("h"))
     docs = docs.select(F.col(doc_id).alias("doc"), F.split(T.collapse(doc_text), " ").alias("have"))
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # ANCHOR at most
 
     def runs(size: int):
         at = F.when(F.size("have") >= size, F.sequence(F.lit(0), F.size("have") - size)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(size), F.slice("have", i + 1, F.lit(size))).alias("h"), i.alias("at")))
 
-    found = None
-    for size in sizes:
-        hits = docs.withColumn("run", F.explode(runs(size))).join(items.filter(F.col("size") == size), F.col("run.h") == F.col("h"))
-        hits = hits.filter(F.slice("have", F.col("run.at") + 1, F.size("want")) == F.col("want")).select("doc", "item")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.join(items, F.lit(False)).select("doc", "item")
-    return found.distinct().select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+    found = docs.select("doc", F.explode(F.concat(F.array().cast("array<struct<h:bigint,at:int>>"), *[runs(n) for n in sizes])).alias("run"))
+    met = found.select("doc", "run.h", "run.at").join(anchors, "h").select(F.col("doc").alias("_doc"), "at", "item")
+    hits = docs.join(met, F.col("doc").eqNullSafe(F.col("_doc"))).join(items.select("item", "want"), "item")
+    hits = hits.filter(F.slice("have", F.col("at") + 1, F.size("want")) == F.col("want"))
+    return hits.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()

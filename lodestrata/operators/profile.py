@@ -124,6 +124,16 @@ def has_placeholder(value: str) -> bool:
     return bool(PLACEHOLDER.search(value)) or any(m in value for m in ROLE_MARKERS)
 
 
+def placeholder_in(value: Column | str) -> Column:
+    """``has_placeholder`` as a column."""
+    v = T.col(value)
+    marked = [F.contains(v, F.lit(m)) for m in ROLE_MARKERS]
+    out = T.found(v, V.PLACEHOLDER)
+    for m in marked:
+        out = out | m
+    return out
+
+
 def skeleton(role: str, language: str) -> dict:
     """An empty profile with a role's sections."""
     sections = [{"id": key, "title": V.SECTION_TITLES[key][language == "en"], "entries": []} for key in V.ROLE_TEMPLATES[role][2]]

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as Y
 
-from ..functions import matching, values as X
+from ..functions import matching, text as T, values as X
 
 # TeX escapes, the draft notice, section icons.
 TEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
@@ -100,3 +100,42 @@ def evidence_markdown(claims: DataFrame, scope: str = "source_id") -> DataFrame:
     quoted = F.concat(F.lit("> "), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), r"([\\`*_{}\[\]()#+.!|\-])", r"\\$1"))
     item = F.concat_ws("\n", F.concat(F.lit("## "), "claim_id"), F.lit(""), quoted, F.lit(""), F.concat(F.lit("- "), "block_id", F.lit(" · "), "interpretation", F.lit(" · "), "status"), F.lit(""))
     return claims.groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", item.alias("item")))), lambda x: x["item"]), "\n").alias("markdown"))
+
+
+def quotation(c: Column) -> Column:
+    """Source text as a Markdown quotation: every line stays data."""
+    safe = c
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(char), F.lit(entity))
+    safe = F.regexp_replace(safe, r"([\\`*_{}\[\]()#+.!|\-])", r"\\$1")
+    return F.array_join(F.transform(F.split(safe, r"\R"), lambda x: F.concat(F.lit("> "), x)), "\n")
+
+
+def review_markdown(improvements: DataFrame, stories: DataFrame, directions: DataFrame) -> DataFrame:
+    """Per doc_id the coaching results as one Markdown text: asks in order, story material, directions, each with its quotes and sources.
+
+    A document is in the result if it has an improvement, and every one has.
+    """
+    sources = F.when(F.size("fact_ids") > 0, F.concat(F.lit("Sources: "), F.array_join("fact_ids", ", ")))
+    block = lambda *parts: F.concat_ws("\n\n", *parts)
+    told = lambda quotes: F.array_join(F.transform(quotes, quotation), "\n\n")
+    title = lambda level, c: F.concat(F.lit("#" * level + " "), c)
+
+    def gathered(df: DataFrame, text: Column, name: str) -> DataFrame:
+        return df.select("doc_id", "rank", text.alias("t")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), "\n\n").alias(name))
+
+    numbered = title(2, F.concat(F.col("rank").cast("string"), F.lit(". "), F.regexp_replace("kind", "_", " ")))
+    asks = gathered(improvements, block(numbered, "ask", quotation(F.col("quote")), sources), "asks")
+    heading = F.when(F.coalesce("heading", F.lit("")) == "", F.lit("Candidate experience")).otherwise(T.md_escape("heading"))
+    told_stories = gathered(stories, block(title(3, heading), told("quotes"), sources), "stories")
+    roles = gathered(directions, block(title(3, F.col("role")), told("quotes"), sources), "directions")
+    both = asks.join(told_stories, "doc_id", "left").join(roles, "doc_id", "left")
+    text = block(
+        F.lit("# Review of imported material: nothing here is confirmed"),
+        F.col("asks"),
+        F.lit("## Story material"),
+        F.coalesce("stories", F.lit("No work was found to tell of.")),
+        F.lit("## Directions to explore"),
+        F.coalesce("directions", F.lit("No clue was found.")),
+    )
+    return both.select("doc_id", F.concat(text, F.lit("\n")).alias("markdown"))

@@ -27,20 +27,22 @@ def paragraphs(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return rows.select(*keep, (F.col("at") + 1).alias("paragraph"), F.col("gap.a").alias("line_start"), F.col("gap.b").alias("line_end"), T.strip(F.array_join(F.slice("lines", F.col("gap.a"), F.col("gap.b") - F.col("gap.a") + 1), "\n")).alias("text"))
 
 
-def lookahead_headers(docs: DataFrame, id_col: str, text: str = "text", short: int = 140) -> DataFrame:
-    """Lines that a date range heads, alone or within the next two short lines: id, line, reach (0, 1 or 2)."""
-    rows = docs.select(id_col, T.lines(F.col(text)).alias("lines"))
-    dated = F.transform("lines", lambda x: T.date_header(x) & (F.length(x) <= 220))
-    rows = rows.select(id_col, "lines", dated.alias("dated"))
+def lookahead_headers(docs: DataFrame, id_col: str, text: str = "text", short: int = 140, long: int = 220) -> DataFrame:
+    """Lines that a date range heads, alone or within the next two short lines: id, line, reach (0, 1 or 2).
+
+    A dated line that has a heading of its own completes no line before it, and a
+    line that mentions a date in a sentence is no part of a header.
+    """
+    look = lambda x: F.struct(T.date_header(x).alias("dated"), (T.date_span(x) != "").alias("has_date"), (T.entry_heading(x) == "").alias("bare"), ((F.length(x) <= short) & T.heading_fragment(x)).alias("part"), F.length(x).alias("n"))
+    rows = docs.select(id_col, F.transform(T.lines(F.col(text)), look).alias("l"))
 
     def reach(i):
-        line = F.get("lines", i)
-        follows = lambda k: F.get("dated", i + k) & (F.length(F.get("lines", i + k)) <= short)
-        open_ = (F.length(line) <= short) & T.heading_fragment(line) & ~F.get("dated", i)
-        between = (F.length(F.get("lines", i + 1)) <= short) & T.heading_fragment(F.get("lines", i + 1))
-        return F.when(F.get("dated", i), 0).when(open_ & follows(1), 1).when(open_ & between & follows(2), 2)
+        at = lambda k: F.get("l", i + k)
+        closes = lambda k: at(k)["dated"] & at(k)["bare"] & at(k)["part"]
+        opens = lambda k: at(k)["part"] & ~at(k)["has_date"]
+        return F.when(at(0)["dated"] & (at(0)["n"] <= long), 0).when(opens(0) & closes(1), 1).when(opens(0) & opens(1) & closes(2), 2)
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct((i + 1).alias("line"), reach(i).alias("reach"))), lambda s: s["reach"].isNotNull())
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.struct((i + 1).alias("line"), reach(i).alias("reach"))), lambda s: s["reach"].isNotNull())
     return rows.select(id_col, F.explode(found).alias("s")).select(id_col, "s.line", "s.reach")
 
 

@@ -8,16 +8,13 @@ not at all.
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
-from pathlib import Path
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import assemble, classify, coaching
+from ..operators import assemble, classify, coaching, integrity
 from ..sources import reader
 
 UNUSABLE = ("needs_dependency", "unsupported", "error")
@@ -80,39 +77,64 @@ def start(found: DataFrame, warnings: DataFrame, role: str | None = None, target
     return {"improvements": coaching.improvements(bullets, claims, reports), "stories": coaching.stories(bullets, claims), "directions": coaching.directions(bullets, claims, reports)}
 
 
+class Folder:
+    """A folder on the file system that the driver and the executors share, by Hadoop's own calls."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def is_free(self) -> bool:
+        """Not there, or an empty folder and no link."""
+        if not self.fs.exists(self.at):
+            return True
+        return self.fs.getFileStatus(self.at).isDirectory() and not self.fs.listStatus(self.at) and not (self.fs.supportsSymlinks() and self.fs.getFileLinkStatus(self.at).isSymlink())
+
+    def delete(self) -> None:
+        self.fs.delete(self.at, True)
+
+    def move_to(self, other: Folder) -> None:
+        if not self.fs.rename(self.at, other.at):
+            raise OSError(f"{self.at} could not be moved to {other.at}")
+
+
 def import_sources(spark: SparkSession, paths: list[str], out: str, language: str | None = None, role: str | None = None, target: str | None = None, most_sources: int = 10) -> None:
-    """Imports files as one draft into a new folder. Sources that can't be used stop it; nothing is published then.
+    """Imports files as one draft into a new folder. Sources that can't be used, or that change meanwhile, stop it; nothing is published then.
 
-    ``out`` is on a file system that the driver and the executors share.
+    ``out`` is a path on a file system that the driver and the executors share. All is written
+    to a folder beside it, which takes its name when it is complete.
     """
     if not 1 <= len(paths) <= most_sources or len(set(paths)) < len(paths):
         raise ValueError(f"from 1 to {most_sources} different sources")
-    home = Path(out)
-    if home.is_symlink() or home.exists() and (not home.is_dir() or any(home.iterdir())):
+    home = Folder(spark, out.rstrip("/"))
+    if not home.is_free():
         raise ValueError("the output folder must be new or empty")
     blocks = reader.read_files(spark, paths).withColumn("import_id", F.lit("import")).cache()
-    if bad := blocks.filter(F.col("status").isin(*UNUSABLE)).select("path", "status", "warnings").limit(5).collect():
-        raise ValueError("; ".join(f"{r.path}: {r.status} {r.warnings}" for r in bad))
-    spoken = languages(blocks.filter("text is not null")) if language is None else blocks.select("import_id", F.lit(language).alias("language")).distinct()
-    found = ledgers(blocks.join(spoken, "import_id"), role).cache()
-    if wrong := found.filter("error is not null or segments <> accounted").select("error").limit(1).collect():
-        raise ValueError(wrong[0].error or "claims and segments differ in number")
-    warned = blocks.groupBy("import_id").agg(F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("warnings"))
-    tables = {"blocks": blocks, "claims": claims_of(found), "ledger": found} | start(found, warned, role, target)
-    home.parent.mkdir(parents=True, exist_ok=True)
-    staged = tempfile.mkdtemp(dir=home.parent, prefix=".import-")
+    staged = Folder(spark, f"{out.rstrip('/')}.staged-{uuid.uuid4().hex}")
     try:
-        for name, table in tables.items():
-            table.write.parquet(f"{staged}/{name}")
-        if home.exists():
-            home.rmdir()
-        os.replace(staged, home)
+        if bad := blocks.filter(F.col("status").isin(*UNUSABLE)).select("path", "status", "warnings").limit(5).collect():
+            raise ValueError("; ".join(f"{r.path}: {r.status} {r.warnings}" for r in bad))
+        if integrity.duplicate_ids(blocks.filter("seq is not null"), "source_id", "block_id").limit(1).count():
+            raise ValueError("a block id occurs twice in a source")
+        spoken = languages(blocks.filter("text is not null")) if language is None else blocks.select("import_id", F.lit(language).alias("language")).distinct()
+        found = ledgers(blocks.join(spoken, "import_id"), role)
+        warned = blocks.groupBy("import_id").agg(F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("warnings"))
+        write = lambda name, table: table.write.parquet(f"{staged.at}/{name}")
+        write("ledger", found)
+        found = spark.read.parquet(f"{staged.at}/ledger")  # the parts that follow read what was written
+        if wrong := found.filter("error is not null or segments <> accounted").select("error").limit(1).collect():
+            raise ValueError(wrong[0].error or "claims and segments differ in number")
+        for name, table in ({"blocks": blocks, "claims": claims_of(found)} | start(found, warned, role, target)).items():
+            write(name, table)
+        if changed := integrity.stale(digests(blocks), digests(reader.read_files(spark, paths)), "path", "sha256").limit(5).collect():
+            raise ValueError("; ".join(f"{r.path}: {r.state} during the import" for r in changed))
+        home.delete()
+        staged.move_to(home)
     except BaseException:
-        shutil.rmtree(staged, ignore_errors=True)
+        staged.delete()
         raise
     finally:
         blocks.unpersist()
-        found.unpersist()
 
 
 def digests(blocks: DataFrame) -> DataFrame:

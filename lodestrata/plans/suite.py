@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, values as X, vocabulary as V
 from ..operators import conflicts, coverage, integrity, presence, scoring, segments as S
 from ..sources import html
+from . import cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return ORACLES | cases.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +197,11 @@ def turn_contiguity(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT conv_id, turn, left(text, 24) AS quote FROM conversations), s AS (SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user')
+    """WITH q AS (SELECT conv_id, turn, text AS quote FROM conversations), s AS (SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user')
     SELECT q.conv_id, q.turn, q.quote, coalesce(trim(q.quote) <> '' AND contains(s.text, q.quote), false) AS contained FROM q LEFT JOIN s USING (conv_id, turn)"""
 )
 def quote_in_turn(t: Tables) -> DataFrame:
-    quotes = t.conversations.select("conv_id", "turn", F.left("text", F.lit(24)).alias("quote"))
+    quotes = t.conversations.select("conv_id", "turn", F.col("text").alias("quote"))
     texts = t.conversations.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
     return integrity.quotes_in(quotes, texts, ["conv_id", "turn"], "quote", "text")
 
@@ -218,7 +219,7 @@ def carry_forward_section(t: Tables) -> DataFrame:
       SELECT *, lead(n, 1) OVER (PARTITION BY doc_id ORDER BY line) AS next_n, lead(n, 2) OVER (PARTITION BY doc_id ORDER BY line) AS after_n FROM l)
     SELECT doc_id, line, CAST(n AS INT) AS n, CAST(next_n AS INT) AS next_n, CAST(after_n AS INT) AS after_n FROM w WHERE n <= 40"""
 )
-def lookahead_header(t: Tables) -> DataFrame:
+def short_line_pairs(t: Tables) -> DataFrame:
     return S.short_line_pairs(t.documents, "doc_id")
 
 
@@ -250,11 +251,11 @@ def weighted_score(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT c_nationkey AS k, count(*) AS given FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY 1), r AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3)
+    """WITH g AS (SELECT c_nationkey AS k, count(*) AS given FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY 1), r AS (SELECT n_nationkey AS k FROM nation UNION SELECT s_nationkey FROM supplier)
     SELECT CASE WHEN given IS NULL THEN 'missing' WHEN r.k IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem, coalesce(r.k, g.k) AS nation FROM r FULL JOIN g ON r.k = g.k WHERE given IS NULL OR r.k IS NULL OR given > 1"""
 )
 def mapping_exhaustive(t: Tables) -> DataFrame:
-    required = t.nation.filter("n_regionkey < 3").select(F.col("n_nationkey").alias("nation"))
+    required = t.nation.select(F.col("n_nationkey").alias("nation")).unionByName(t.supplier.select(F.col("s_nationkey").alias("nation")))
     given = t.customer.select(F.col("c_nationkey").alias("nation"), "c_mktsegment").distinct()
     return integrity.exhaustive(required, given, "nation")
 

@@ -151,34 +151,43 @@ def numbering(paragraph: Element, styles: Styles) -> dict:
     return {}
 
 
-TOKEN = re.compile(r'"((?:[^"\\]|\\.)*)"|(\S+)')
+# The switches of a HYPERLINK field that take a value, and the formats that change nothing.
+VALUED = {"\\l": "bookmark", "\\o": "tip", "\\t": "window", "\\*": "format"}
+FORMATS = ("mergeformat", "charformat")
+#: A word, or a text in quotes, in which a backslash stands for a quote; each up to white space.
+WORDS = re.compile(r'''\s*(?:"((?:\\"|[^"\\]|\\(?!"))*)"|([^\s"]+))(?=\s|$)''')
 
 
 def hyperlink(instruction: str) -> str | None:
-    """Target of a static HYPERLINK field; anything else is None, and is never evaluated."""
-    tokens = [(m[1].replace('\\"', '"').replace("\\\\", "\\"), True) if m[1] is not None else (m[2], False) for m in TOKEN.finditer(instruction)]
-    if not tokens or tokens[0][0].upper() != "HYPERLINK":
+    """Target of a static HYPERLINK field; anything else is None, and is never evaluated.
+
+    The grammar: HYPERLINK, then in any order one target and valued switches; a bookmark
+    at most once, which replaces the target's fragment; an unfinished quote, another switch or
+    a value that is empty or looks like a switch is no such field.
+    """
+    words, at = [], 0
+    while m := WORDS.match(instruction, at):
+        words.append((m[1].replace('\\"', '"'), True) if m[1] is not None else (m[2], False))
+        at = m.end()
+    if instruction[at:].strip() or not words or words[0][0].casefold() != "hyperlink":
         return None
-    target, fragment, at = None, None, 1
-    while at < len(tokens):
-        word, quoted = tokens[at]
-        switch_ = "" if quoted else word.lower()
-        if switch_ in ("\\l", "\\o", "\\t", "\\*"):
-            if at + 1 >= len(tokens):
-                return None
-            if switch_ == "\\l":
-                fragment = tokens[at + 1][0]
-            at += 2
-        elif switch_ in ("\\n", "\\m", "\\h"):
-            at += 1
-        elif target is None and (quoted or not word.startswith("\\")):
-            target = word
-            at += 1
-        else:
+    rest = iter(words[1:])
+    targets, given = [], {name: [] for name in VALUED.values()}
+    for word, quoted in rest:
+        if quoted or not word.startswith("\\"):
+            targets.append(word)
+            continue
+        value, in_quotes = next(rest, ("", False))
+        if word.casefold() not in VALUED or not value or (value.startswith("\\") and not in_quotes):
             return None
-    if fragment:
-        return f"{target or ''}#{fragment}"
-    return target
+        given[VALUED[word.casefold()]].append(value)
+    well_formed = len(targets) <= 1 and all(targets) and len(given["bookmark"]) <= 1 and all(f.casefold() in FORMATS for f in given["format"])
+    if not well_formed:
+        return None
+    target = targets[0] if targets else ""
+    if given["bookmark"]:
+        target = target.partition("#")[0] + "#" + given["bookmark"][0]
+    return target or None
 
 
 class Content:

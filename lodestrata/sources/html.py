@@ -14,6 +14,8 @@ BLOCKS = frozenset("address article aside blockquote body dd details dialog div
 HIDDEN = frozenset("script style head template noscript iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MOST_SPAN = 1000
+# Links that run something, and characters that no link may hold.
+UNREADABLE = re.compile(r"\A\s*(?:javascript|data|vbscript):|[\x00-\x1f]", re.I)
 
 
 @dataclass
@@ -35,10 +37,23 @@ class Block:
 
 @dataclass
 class Frame:
-    """An open element: what it is, and whether it hides its content."""
+    """An open element: what it is, whether it hides its content, and, of an item, its list and number."""
 
     tag: str
     hidden: bool
+    item: tuple[int, int, int] | None = None  # list, depth, number
+
+
+@dataclass
+class Anchor:
+    target: str
+    start: int
+    line: int
+    fresh: bool = True  # no block has ended since it was opened, or it has shown an image since
+
+    def worth(self, end: int) -> bool:
+        """It labels something here: text, an image, or, never broken off, nothing at all."""
+        return self.fresh or end > self.start
 
 
 class Table:
@@ -75,8 +90,9 @@ class VisibleText(HTMLParser):
         self.tables: list[Table] = []
         self.n_tables = self.n_lists = 0
         self.lists: list[list[int]] = []  # list number, items so far
-        self.anchors: list[tuple[str, int]] = []
-        self.links: list[tuple[str, int, int]] = []
+        self.anchors: list[Anchor] = []
+        self.links: list[tuple[str, int, int, bool]] = []  # the last: closed
+        self.link_line = 0
 
     # the text run
 
@@ -89,27 +105,38 @@ class VisibleText(HTMLParser):
     def _invisible(self) -> bool:
         return bool(self.open) and self.open[-1].hidden
 
+    def _item(self) -> tuple[int, int, int] | None:
+        """The item that the innermost open ``li`` stands for."""
+        return next((f.item for f in reversed(self.open) if f.tag == "li"), None)
+
+    def _edge(self, tag: str) -> None:
+        """A block element begins or ends. Within a list item that is a line break, not another item."""
+        if self._item() and tag not in ("li", "ul", "ol"):
+            if self.parts and not self.parts[-1].endswith("\n"):
+                self.parts.append("\n")
+        else:
+            self.flush()
+
     def flush(self) -> None:
         raw = "".join(self.parts)
-        spans = self.links + [(target, start, len(raw)) for target, start in self.anchors if start < len(raw)]
-        lead = len(raw) - len(raw.lstrip())
-        text = raw.strip()
-        if text:
-            block = Block(text, self.first_line, self.last_line)
+        spans = self.links + [(a.target, a.start, len(raw), False) for a in self.anchors]
+        lead, text = len(raw) - len(raw.lstrip()), raw.strip()
+        clip = lambda k: min(max(k - lead, 0), len(text))
+        links = [(target, clip(a), clip(b), text[clip(a) : clip(b)]) for target, a, b, closed in spans if closed or clip(a) < clip(b)]
+        if text or links:
+            first = self.first_line if text else self.link_line
+            block = Block(text, first, self.last_line if text else first, links=links)
             if self.tables:
                 t = self.tables[-1]
                 block.table, block.row, block.column = t.number, max(t.row, 1), max(t.column, 1)
                 block.column_span, block.row_span = t.spans
-            if self.lists:
-                block.list_id, block.item_index = self.lists[-1]
-                block.list_depth, block.list_item = len(self.lists), any(f.tag == "li" for f in self.open)
-            for target, start, end in spans:
-                a, b = min(max(start - lead, 0), len(text)), min(max(end - lead, 0), len(text))
-                if a < b:
-                    block.links.append((target, a, b, text[a:b]))
+            if item := self._item():
+                block.list_id, block.list_depth, block.item_index = item
+                block.list_item = True
             self.blocks.append(block)
         self.parts, self.links = [], []
-        self.anchors = [(target, 0) for target, _ in self.anchors]
+        for a in self.anchors:
+            a.start, a.fresh = 0, False
 
     # events
 
@@ -117,10 +144,11 @@ class VisibleText(HTMLParser):
         self.tags += 1
         given = {k: v or "" for k, v in attrs}
         style = re.sub(r"\s+", "", given.get("style", "")).lower()
+        item = None
         hidden = self._invisible() or tag in HIDDEN or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         if not hidden:
             if tag in BLOCKS:
-                self.flush()
+                self._edge(tag)
             if tag == "br":
                 self.parts.append("\n")
             elif tag == "table":
@@ -133,12 +161,21 @@ class VisibleText(HTMLParser):
             elif tag in ("ul", "ol"):
                 self.n_lists += 1
                 self.lists.append([self.n_lists, 0])
-            elif tag == "li" and self.lists:
-                self.lists[-1][1] += 1
-            elif tag == "a" and given.get("href", "").strip():
-                self.anchors.append((given["href"].strip(), self._length()))
+            elif tag == "li":
+                if not self.lists:  # an item of no list is a list of its own
+                    self.n_lists += 1
+                number, before = self.lists[-1] if self.lists else (self.n_lists, 0)
+                item = number, max(1, len(self.lists)), before + 1
+                if self.lists:
+                    self.lists[-1][1] += 1
+            elif tag == "a" and given.get("href", "").strip() and not UNREADABLE.search(given["href"]):
+                self.anchors.append(Anchor(given["href"].strip(), self._length(), self.getpos()[0]))
+                self.link_line = self.link_line if self.links else self.getpos()[0]
+            elif tag == "img":
+                for a in self.anchors:
+                    a.fresh = True
         if tag not in VOID:
-            self.open.append(Frame(tag, hidden))
+            self.open.append(Frame(tag, hidden, item))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,15 +189,15 @@ class VisibleText(HTMLParser):
         hidden = self.open[at].hidden
         if not hidden:
             if tag in BLOCKS:
-                self.flush()
+                self._edge(tag)
             if tag == "table" and self.tables:
                 self.tables.pop()
             elif tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
             elif tag == "a" and self.anchors:
-                target, start = self.anchors.pop()
-                if start < self._length():
-                    self.links.append((target, start, self._length()))
+                a, end = self.anchors.pop(), self._length()
+                if a.worth(end):
+                    self.links.append((a.target, a.start, end, True))
         del self.open[at:]
 
     def handle_data(self, data: str) -> None:

@@ -70,26 +70,40 @@ def workspace():
     }
 
 
-def test_workspace():
-    out = W.Workspace(workspace()).versions(final=True)[0]
-    assert out["resume"]["sections"][0]["entries"][0]["bullets"][0] == "Led 3 people" and out["summary"] == ["Led it"]
-    assert out["basis"][0]["resume_paths"] == ["sections[0].entries[0].bullets[0]"] and [f["id"] for f in out["facts"]] == ["part", "team"]
+def compiled(spark, data, final=True):
+    rows = [(k, json.dumps(w)) for k, w in enumerate(data)]
+    return W.compile_workspaces(spark.createDataFrame(rows, "id int, workspace string"), final=final)
+
+
+def test_workspace(spark):
     changed = altered(lambda w: (w["facts"][0].update(value=2), w["facts"][1].update(value="contributor")), workspace())
-    assert W.Workspace(changed).versions()[0]["resume"]["sections"][0]["entries"][0]["bullets"][0] == "Helped 2 people"
+    done = compiled(spark, [workspace(), changed])
+    assert done.breaches.collect() == []
+    out, other = done.versions.orderBy("id").collect()
+    assert json.loads(out.resume)["sections"][0]["entries"][0]["bullets"][0] == "Led 3 people" and out.summary == ["Led it"]
+    assert out.basis[0].resume_paths == ["sections[0].entries[0].bullets[0]"] and out.basis[0].evidence == "3 people" and [f.fact_id for f in out.facts] == ["part", "team"]
+    assert json.loads(other.resume)["sections"][0]["entries"][0]["bullets"][0] == "Helped 2 people"
+    draft = compiled(spark, [workspace()], final=False).versions.first()
+    assert json.loads(draft.resume)["facts_confirmed"] is False and draft.version_id == "v1"
+
+
+WRONG = [
+    (lambda w: w["facts"][0].update(value=True), "a string nor an integer"), (lambda w: w["facts"][0].update(status="maybe"), "confirmed nor pending"), (lambda w: w["facts"].append(w["facts"][0]), "the id team more than once"), (lambda w: w["facts"][1].update(value="boss"), "no expression"),
+    (lambda w: w["versions"][0]["bindings"][0]["refs"].update(x="team"), "unused reference"), (lambda w: w["versions"][0]["bindings"][0]["refs"].update(n="none"), "unknown fact none"), (lambda w: w["versions"][0]["bindings"][0].update(path="nowhere"), "no visible field"),
+    (lambda w: w["versions"][0]["bindings"].append(w["versions"][0]["bindings"][0]), "bound more than once"), (lambda w: w["facts"][0].update(status="pending"), "unconfirmed facts: team"), (lambda w: w["versions"][0]["summary"][0].update(template="{who} TODO"), "placeholder"),
+    (lambda w: w["facts"][0]["expressions"].update(en="{value:d}"), "named tokens"), (lambda w: w.update(extra=1), "known field"), (lambda w: w["versions"][0]["resume"].update(language="zh"), "isn't expressed in zh"), (lambda w: w.pop("facts"), "is missing"), (lambda w: w["versions"][0].update(summary=[]), "list of 1 or more"),
+]
 
 
-@pytest.mark.parametrize(
-    ("change", "said"),
-    [
-        (lambda w: w["facts"][0].update(value=True), "string or integer"), (lambda w: w["facts"][0].update(status="maybe"), "confirmed or pending"), (lambda w: w["facts"].append(w["facts"][0]), "duplicate id"), (lambda w: w["facts"][1].update(value="boss"), "no expression"),
-        (lambda w: w["versions"][0]["bindings"][0]["refs"].update(x="team"), "unused reference"), (lambda w: w["versions"][0]["bindings"][0]["refs"].update(n="none"), "unknown fact"), (lambda w: w["versions"][0]["bindings"][0].update(path="nowhere"), "non-visible"),
-        (lambda w: w["versions"][0]["bindings"].append(w["versions"][0]["bindings"][0]), "conflicting binding"), (lambda w: w["facts"][0].update(status="pending"), "unconfirmed facts: team"), (lambda w: w["versions"][0]["summary"][0].update(template="{who} TODO"), "placeholder"),
-        (lambda w: w["facts"][0]["expressions"].update(en="{value:d}"), "named tokens"), (lambda w: w.update(extra=1), "unknown field"), (lambda w: w["versions"][0]["resume"].update(language="zh"), "language expression is missing"),
-    ],
-)
-def test_workspace_rules(change, said):
-    with pytest.raises(W.WorkspaceError, match=said):
-        W.Workspace(altered(change, workspace())).versions(final=True)
+def test_workspace_rules(spark):
+    done = compiled(spark, [altered(change, workspace()) for change, _ in WRONG])
+    found = {}
+    for r in done.breaches.collect():
+        found.setdefault(r.id, []).append(r.rule)
+    for k, (_, said) in enumerate(WRONG):
+        assert any(said in rule for rule in found[k]), (k, found[k])
+    assert done.versions.count() == 0
+    assert W.compile_workspaces(spark.createDataFrame([(1, "{"), (2, None)], "id int, workspace string")).breaches.count() == 2
 
 
 def test_references_as_a_join(spark):
@@ -155,9 +169,9 @@ def record():
 @pytest.mark.parametrize(
     ("change", "said"),
     [
-        (lambda r: r["facts"][0].update(source_quote="never said"), "quote must occur"), (lambda r: r["turns"][0]["claims"][0].update(fact_ids=["F3"]), "future fact"), (lambda r: r["turns"][2]["claims"][0].update(fact_ids=["F2"]), "superseded fact"), (lambda r: r["turns"][1].update(number=5), "contiguous"),
-        (lambda r: r["facts"][2].update(source_turn=1, source_quote="u1"), "must follow"), (lambda r: r["facts"][1].update(superseded_by=None), "reciprocal"), (lambda r: r["deliverables"].update(jd_mappings=[]), "every supplied JD requirement"), (lambda r: r["deliverables"]["assessments"][0].update(assessed_score=70), "weighted score"),
-        (lambda r: r["deliverables"]["assessments"][0]["dimensions"][5].update(level=0), "without PDF execution"), (lambda r: r["deliverables"]["versions"][0]["claims"][0].update(fact_ids=["F9"]), "unknown fact F9"), (lambda r: r.update(turns=3), "malformed"), (lambda r: r["execution"].update(blind=True), "boundary"), (lambda r: r["turns"][0].update(questions=["Why?"] * 4), "more than three"),
+        (lambda r: r["facts"][0].update(source_quote="never said"), "quotes what"), (lambda r: r["turns"][0]["claims"][0].update(fact_ids=["F3"]), "before it was said"), (lambda r: r["turns"][2]["claims"][0].update(fact_ids=["F2"]), "was corrected"), (lambda r: r["turns"][1].update(number=5), "count of turns"),
+        (lambda r: r["facts"][2].update(source_turn=1, source_quote="u1"), "no later than"), (lambda r: r["facts"][1].update(superseded_by=None), "point back"), (lambda r: r["deliverables"].update(jd_mappings=[]), "each requirement once"), (lambda r: r["deliverables"]["assessments"][0].update(assessed_score=70), "sums the scores"),
+        (lambda r: r["deliverables"]["assessments"][0]["dimensions"][5].update(level=0), "never rendered"), (lambda r: r["deliverables"]["versions"][0]["claims"][0].update(fact_ids=["F9"]), "unknown fact F9"), (lambda r: r.update(turns=3), "malformed"), (lambda r: r["execution"].update(blind=True), "leaves a boundary"), (lambda r: r["turns"][0].update(questions=["Why?"] * 4), "over 3 questions"),
     ],
 )
 def test_record_rules(change, said):
@@ -186,3 +200,6 @@ def test_coaching(spark):
     assert [(s.heading, s.quotes, s.fact_ids) for s in told] == [("Acme", ["Helped with SQL reports", "Led 3 users to code"], ["claim-000001", "claim-000002"]), ("", ["No SQL; wrote API tests"], ["claim-000003"])]
     roles = [(r.doc_id, r.role) for r in coaching.directions(bullets, claims, reports).orderBy("doc_id", "rank").collect()]
     assert roles == [(1, "software"), (1, "data"), (1, "product")]
+    shown = {r.doc_id: r.markdown for r in render.review_markdown(coaching.improvements(bullets, claims, reports), coaching.stories(bullets, claims), coaching.directions(bullets, claims, reports)).collect()}
+    assert set(shown) == {1, 2, 3}
+    assert "> Led 3 users to code" in shown[1] and "### Acme" in shown[1] and "Sources: claim-000002" in shown[1] and "No clue was found." in shown[3]

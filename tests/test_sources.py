@@ -134,3 +134,50 @@ def test_files_to_claims(spark, tmp_path):
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert json.loads(blocks.filter("seq = 1").first().locator)["line_end"] == 3
+
+
+LINKS = [
+    ('HYPERLINK "https://a.b/c"', "https://a.b/c"), ('hyperlink a.b \\o "tip" \\t _blank', "a.b"), ('HYPERLINK "a#x" \\l "y"', "a#y"), ('HYPERLINK \\l "top"', "#top"), ('HYPERLINK "a" \\* MERGEFORMAT', "a"), ('HYPERLINK "a \\"b\\""', 'a "b"'),
+    ('HYPERLINK "a" \\n', None), ('HYPERLINK "a" \\l "x" \\l "y"', None), ('HYPERLINK "u', None), ('HYPERLINK "a" \\* Evil', None), ('HYPERLINK "a" \\l \\o', None), ('HYPERLINK "a" "b"', None), ("HYPERLINK", None), ('HYPERLINK ""', None), ('HYPERLINK "a"b', None), ('HYPERLINK a"b', None), ('QUOTE "a"', None), ("", None),
+]
+
+
+@pytest.mark.parametrize(("field", "target"), LINKS)
+def test_hyperlink_grammar(field, target):
+    assert hyperlink(field) == target
+
+
+def seen(html):
+    return [(b.text, b.item_index, b.list_depth, [(x[0], x[3]) for x in b.links]) for b in visible_blocks(html)]
+
+
+def test_html_items_are_one_block_each():
+    assert seen("<ul><li>one<p>two<br>three</p></li><li>four<ul><li>five</li></ul></li></ul><p>six</p>") == [("one\ntwo\nthree", 1, 1, []), ("four", 2, 1, []), ("five", 1, 2, []), ("six", None, None, [])]
+
+
+def test_html_links_without_text():
+    assert seen('<p><a href="mailto:a@b.co"><img src="x"></a></p>') == [("", None, None, [("mailto:a@b.co", "")])]
+    icon = visible_blocks('<p>Contact: <a href="mailto:a@b.co"><img src="x"></a></p>')[0]
+    assert icon.links == [("mailto:a@b.co", 8, 8, "")]
+    assert seen('<div>before<a href="https://a.b/w"><div>label</div></a>after</div>') == [("before", None, None, []), ("label", None, None, [("https://a.b/w", "label")]), ("after", None, None, [])]
+    assert seen('<p><a href="java&#x09;script:alert(1)">x</a> <a href="javascript:y">y</a></p>') == [("x y", None, None, [])]
+    assert seen('<p hidden><a href="https://a.b">z</a></p><p>t</p>') == [("t", None, None, [])]
+
+
+def test_scanned_pages():
+    head = "page   num  type   width height color comp bpc  enc interp  object ID x-ppi y-ppi size ratio\n" + "-" * 40
+    rows = ["   1     0 image    1654  2339  rgb     3   8  jpeg   no        10  0   200   200  100K 1.0%", "   2     1 image     100   100  rgb     3   8  jpeg   no        11  0   200   200  100K 1.0%", "   3     2 smask    1654  2339  rgb     3   8  jpeg   no        12  0   200   200  100K 1.0%", "   4     3 image    1654  2339  rgb     3   8  jpeg   no        13  0     x   200  100K 1.0%"]
+    assert reader.image_pages("\n".join([head, *rows]), reader.A4_AREA) == {1}
+    long = "a page with enough text to stand for itself, surely"
+    assert [reader.page_kind(t, c) for t, c in [(long, False), (long, True), ("Page 1", False), (" \n", True)]] == ["text", "mixed_or_sparse", "mixed_or_sparse", "no_text"]
+
+
+def test_program_output_is_bounded(monkeypatch):
+    import sys
+
+    assert reader.command([sys.executable, "-c", "print('x' * 100)"]) == b"x" * 100 + b"\n"
+    monkeypatch.setattr(reader, "MOST_OUTPUT", 50)
+    with pytest.raises(ReadError, match="more than the limit"):
+        reader.command([sys.executable, "-c", "print('x' * 100)"])
+    with pytest.raises(ReadError, match="failed"):
+        reader.command([sys.executable, "-c", "import sys; sys.exit('no')"])
