@@ -42,7 +42,7 @@ def contact_candidate(value: str) -> bool:
 
 
 def extra_heading(value: str) -> bool:
-    return bool(EXTRA.fullmatch(value)) or value in V.EXTRA_HEADING_ZH
+    return bool(EXTRA.fullmatch(value))
 
 
 def unknown_heading(value: str) -> bool:

@@ -54,7 +54,7 @@ def heading_key(c: C) -> Column:
 
 
 def extra_heading(c: C) -> Column:
-    return found(c, rf"\A(?:{V.EXTRA_HEADING})\z") | col(c).isin(V.EXTRA_HEADING_ZH)
+    return found(c, rf"\A(?:{V.EXTRA_HEADING})\z")
 
 
 def unknown_heading(c: C) -> Column:

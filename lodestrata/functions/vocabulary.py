@@ -37,15 +37,10 @@ CJK_NAME = "[\u4e00-\u9fff]{2,6}"
 LATIN_NAME_WORD = r"[A-Z][A-Za-z’'\-]*"
 
 # Headings outside the known sections.
-EXTRA_HEADING = (
-    r"(?:Other |Additional )?(?:Awards(?:\s+(?:and|&)\s+Honou?rs)?|Honou?rs(?:\s+(?:and|&)\s+Awards)?|Publications|Interests|Languages|References|"
-    r"Activities|Notes|Original Notes|Volunteer Activities)"
-)
-EXTRA_HEADING_ZH = ["其他说明", "其他信息", "获奖经历", "兴趣爱好", "志愿经历", "学术成果", "发表论文"]
+EXTRA_HEADING = r"(?:Other |Additional )?(?:Awards(?:\s+(?:and|&)\s+Honou?rs)?|Honou?rs(?:\s+(?:and|&)\s+Awards)?|Publications|Interests|Languages|References|Activities|Notes|Original Notes|Volunteer Activities)|其他说明|其他信息|获奖经历|兴趣爱好|志愿经历|学术成果|发表论文"
 
 # Dates and bullets.
-MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-DATE_ATOM = r"(?:(?:19|20)\d{2}(?:[./\-]\d{1,2}|年\d{1,2}月)?年?|" + MONTH + r"\.?\s+(?:19|20)\d{2})"
+DATE_ATOM = r"(?:(?:19|20)\d{2}(?:[./\-]\d{1,2}|年\d{1,2}月)?年?|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s+(?:19|20)\d{2})"
 DATE_SPAN = "(" + DATE_ATOM + r")\s*(?:[-–—~至到]|\bto\b)\s*(" + DATE_ATOM + "|present|now|至今)"
 DATE_CUE = r"\b(?:from|during|between|in|over)\s*$"
 DATE_CUE_ZH_BEFORE = r"(?:在|于|从|自)\s*$"
