@@ -1,8 +1,9 @@
 """A corpus pipeline: documents in, packed token sequences out.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the
-columns of ``docs``. Rows are told apart by id and text, so null or repeated ids
-are no trouble; of exact repeats of a row, one stays after the near-duplicate stage.
+columns of ``docs``. What holds for all of them: other columns than doc_id, text, lang and
+n_chars are carried along, whatever their names; null and repeated ids are ids like others;
+texts of any length are worked off whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,27 +19,44 @@ LEAST_CERTAINTY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go; so do null and empty texts. Repeated rows and null ids stay as they are."""
+    """Documents without a letter, or of no clear language, go.
+
+    So do null and empty texts; repeated rows stay or go together. A tie of two
+    languages is no clear language. Where no row is labelled, no language is known and all go.
+    """
     return language_id.certain(docs, language_pieces(), LEAST_CERTAINTY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram join stays, that with the smallest id, null ids last; of repeated rows one stays."""
+    """One document of each class of the n-gram join stays, that with the smallest id, null ids last.
+
+    Of repeated rows, and of rows that tie for the smallest id, one stays. Null and blank texts
+    resemble nothing and stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or one with other figures or names, go."""
+    """Documents that hold a benchmark item, or one with other figures or names, go.
+
+    Null and empty texts stay; repeated rows stay or go together; without items all stay.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All spans of personal data are replaced by their kind; n_chars follows the text."""
+    """All spans of personal data are replaced by their kind; n_chars follows the text.
+
+    No row goes. Null texts stay null; of overlapping spans the first kind is written.
+    """
     return pii.redacted(docs, pii.fit(docs), {"n_chars": len})
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids."""
+    """Token sequences of at most 4096 ids, one row per piece of a document.
+
+    Null and empty texts are the end id alone; repeated rows are packed each on its own.
+    """
     return packing.pack_documents(docs, packing_tokenizer)
 
 
