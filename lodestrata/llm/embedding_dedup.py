@@ -92,7 +92,7 @@ def settings_for(dim: int, threshold: float, recall: float) -> list[Setting]:
         own = directions(dim, pivots)
         ranks = [np.argsort(np.argsort(-(v @ own.T), axis=1, kind="stable"), axis=1, kind="stable") for v in (x, y)]
         worse = np.maximum(*ranks)  # a pivot is shared from this prefix on
-        for shared in range(1, MOST_SHARED + 1):
+        for shared in range(2, MOST_SHARED + 1):
             needed = np.sort(worse, axis=1)[:, shared - 1] + 1
             prefix = int(np.sort(needed)[math.ceil(recall * len(needed)) - 1])
             if prefix < pivots and math.comb(prefix, shared) <= MOST_LISTS:
@@ -266,3 +266,24 @@ def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str =
     out = rows.select("id", *key).join(labelled, key, "left")
     component = F.when(F.col("fa").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+#: For vectors with ids of their own, as the table has.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b
+), c AS (
+  SELECT node AS vec_id, min(root) AS component_id FROM r GROUP BY node
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

@@ -309,3 +309,28 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **o
         # repeated rows may differ in other columns: the first that the shuffle brings stays
         out = out.unionByName(several.dropDuplicates(key).select(*own.columns))
     return out.toDF(*docs.columns)
+
+
+#: For documents with ids of their own, as the table has.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) END AS s FROM d
+), x AS (
+  SELECT doc_id, unnest(s) AS t FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b USING (t) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE n >= CAST(0.8 AS DOUBLE) * (len(ga.s) + len(gb.s) - n) - 1e-9
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, root) AS (
+  SELECT doc_id, doc_id FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b
+), c AS (
+  SELECT node AS doc_id, min(root) AS class_id FROM r GROUP BY node
+), n AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat_formatting.ORACLE_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op6_ngram_join": ngram_join.ORACLE_SQL,
+        "op7_chat_formatting": chat_formatting.ORACLE_SQL,
+        "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    }

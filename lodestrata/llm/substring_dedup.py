@@ -152,3 +152,17 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return out.mapInArrow(_cut(window, ["id"], keep_text), schema).withColumnRenamed("id", id_col)
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), h AS (
+  SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS k FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)
+), removed AS (
+  SELECT r, count(*) AS n_removed FROM gone GROUP BY r
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS t FROM (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d) ANTI JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
