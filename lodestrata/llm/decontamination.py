@@ -3,7 +3,9 @@
 Numbers, names and measures (a number and its unit) become typed placeholders, each
 one token however many words it has, so an item whose figures or persons were changed
 keeps its template. Windows of ``window`` template tokens are hashed, at every position
-of an item and of a document, and joined. A hit says where in the document the item
+of an item and of a document, and joined. Where the items' windows can be broadcast, a document's
+window is hashed only if it has the anchor of an item's window - its token that the fewest items
+have - in its place, which any equal window has. A hit says where in the document the item
 would lie; there the templates are compared token by token. Where a part of the item
 lies a few tokens off, its own hits count too. The placeholders must be filled
 consistently: one value of the item stands for one value of the document, and the
@@ -36,29 +38,31 @@ SLOTS = ["<num>", "<name>", "<measure>"]
 TEMPLATE, PLAIN = 0, 1
 NEAR = 32  # parts of an item at places that differ by up to half of this belong together
 LEAST = 3  # items of fewer plain tokens count only as a whole text
-PROBE_BYTES = 96  # of a probe in a broadcast table, all columns being numbers
+PROBE_BYTES = 96  # of a probe in a broadcast table, besides its anchor
 
 
-def raw_tokens(text: Column) -> Column:
-    """White-space tokens without punctuation at their edges, joined by spaces; names - capitals after a lower-case word - carry a mark, and the words of a name, a figure and its unit, are one token."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, MARK)
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, EDGES, ""), r"\s+", " "))
-    t = F.when(t.rlike(r"\p{N} "), F.regexp_replace(t, AMOUNT, "$1" + JOINT)).otherwise(t)
-    return F.regexp_replace(t, NAMES, "$1" + JOINT)
+def tokenised(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds raw, template and plain: the tokens of a text, joined by spaces, each in one form.
 
-
-def template(raw: Column) -> Column:
-    """The same number of tokens, lower-cased, with placeholders."""
-    t = F.lower(F.regexp_replace(raw, r"\x01\S+", "<name>"))
-    return F.when(t.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(t, MEASURE, "<measure>"), NUMBER, "<num>")).otherwise(t)
-
-
-def plain(raw: Column) -> Column:
-    """The lower-cased words without marks."""
-    return F.translate(F.lower(raw), JOINT + MARK, " ")
+    raw: white-space tokens without punctuation at their edges; names - capitals after a
+    lower-case word - carry a mark, and the words of a name, a figure and its unit, are one
+    token. template: the same tokens, lower-cased, with placeholders. plain: the lower-cased
+    words without marks. Steps are columns of their own, so that none is worked out twice.
+    """
+    at = lambda c: F.col(f"_{c}")
+    rows = rows.withColumn("_named", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), NAME, MARK))
+    rows = rows.withColumn("_bare", F.trim(F.regexp_replace(F.regexp_replace(at("named"), EDGES, ""), r"\s+", " ")))
+    rows = rows.withColumn("_joined", F.when(at("bare").rlike(r"\p{N} "), F.regexp_replace(at("bare"), AMOUNT, "$1" + JOINT)).otherwise(at("bare")))
+    rows = rows.withColumn("raw", F.regexp_replace(at("joined"), NAMES, "$1" + JOINT))
+    rows = rows.withColumn("_lower", F.lower(F.regexp_replace("raw", r"\x01\S+", "<name>")))
+    slots = F.regexp_replace(F.regexp_replace(at("lower"), MEASURE, "<measure>"), NUMBER, "<num>")
+    rows = rows.withColumn("template", F.when(at("lower").rlike(r"\p{N}"), slots).otherwise(at("lower")))
+    rows = rows.withColumn("plain", F.translate(F.lower("raw"), JOINT + MARK, " "))
+    return rows.drop(*[f"_{c}" for c in ("named", "bare", "joined", "lower")])
 
 
 def tokens(joined: Column) -> Column:
+    """Of a column, which is read twice."""
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
@@ -66,9 +70,8 @@ def _starts(toks: Column, length: Column | int) -> Column:
     return F.when(F.size(toks) >= length, F.sequence(F.lit(0), F.size(toks) - length)).otherwise(F.array().cast("array<int>"))
 
 
-def window_hash(kind: int, toks: Column, start: Column, length: Column | int) -> Column:
-    part = F.slice(toks, start + 1, F.lit(length) if isinstance(length, int) else length)
-    return F.xxhash64(part) if kind == TEMPLATE else F.xxhash64(F.lit(PLAIN), part)
+def window_hash(words: Column | str) -> Column:
+    return F.xxhash64(F.col("kind"), words)
 
 
 def _before(toks: Column, start: Column) -> Column:
@@ -82,32 +85,32 @@ def item_entries(benchmark: DataFrame, text: str, id_col: str, window: int) -> D
     Items with one template are one entry with all their different texts. A text whose
     template has too few tokens, or a window of mostly placeholders, is an entry of plain tokens besides.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), raw_tokens(F.col(text)).alias("raw")).filter("raw != ''").withColumn("template", template(F.col("raw")))
-    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"))
+    items = tokenised(benchmark.select(F.col(id_col).alias("item_id"), F.col(text).alias("text"))).filter("raw != ''")
+    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"), F.collect_set("plain").alias("plains"))
     items = items.withColumn("it", tokens(F.col("template")))
     words = lambda i: F.size(F.filter(F.slice("it", i + 1, F.lit(window)), lambda x: ~x.isin(SLOTS)))
     items = items.withColumn("at", F.filter(_starts(F.col("it"), window), lambda i: words(i) * 2 >= window))
     whole = items.filter(F.size("at") > 0).select(F.xxhash64("template").alias("tid"), F.lit(TEMPLATE).alias("kind"), "item_id", "n_items", "it", F.transform("raws", tokens).alias("raws"), "at")
-    rest = items.filter((F.size("it") < window) | (F.size("at") < F.size("it") - window + 1)).select("template", "item_id", "n_items", F.explode(F.array_distinct(F.transform("raws", plain))).alias("plain"))
+    rest = items.filter((F.size("it") < window) | (F.size("at") < F.size("it") - window + 1)).select("template", "item_id", "n_items", F.explode("plains").alias("plain"))
     rest = rest.withColumn("it", tokens(F.col("plain")))
     verbatim = rest.select(F.xxhash64("template", "plain").alias("tid"), F.lit(PLAIN).alias("kind"), "item_id", "n_items", "it", F.array("it").alias("raws"), _starts(F.col("it"), F.least(F.size("it"), F.lit(window))).alias("at"))
     return whole.unionByName(verbatim)
 
 
 def probes(entries: DataFrame, window: int) -> DataFrame:
-    """One row per hashed window of an entry, numbers only: h, kind, tid, n (tokens), length, item_at and prev, the hash of the token before if the window one before is a probe too."""
+    """One row per hashed window of an entry: h, kind, tid, n (tokens), length, item_at, prev - the hash of the token before if the window one before is a probe too - and words."""
     it, at = F.col("it"), F.col("item_at")
     rows = entries.select("kind", "tid", "it", F.size("it").alias("n"), F.least(F.size("it"), F.lit(window)).alias("length"), "at", F.explode("at").alias("item_at"))
-    h = F.when(F.col("kind") == TEMPLATE, window_hash(TEMPLATE, it, at, window)).otherwise(window_hash(PLAIN, it, at, F.col("length")))
-    return rows.select(h.alias("h"), "kind", "tid", "n", "length", "item_at", F.when(F.array_contains("at", at - 1), _before(it, at)).alias("prev"))
-
+    rows = rows.withColumn("words", F.slice(it, at + 1, F.col("length")))
+    return rows.select(window_hash("words").alias("h"), "kind", "tid", "n", "length", "item_at", F.when(F.array_contains("at", at - 1), _before(it, at)).alias("prev"), "words")
 
-def document_windows(window: int, lengths: list[int]) -> Column:
-    """(kind, length, h, at, prev) of a document's windows: of template tokens, and of plain tokens where ``lengths`` asks for them."""
-    def of(kind: int, toks: Column, length: int) -> Column:
-        return F.transform(_starts(toks, length), lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(length).alias("length"), window_hash(kind, toks, i, length).alias("h"), i.alias("at")))
 
-    return F.concat(of(TEMPLATE, F.col("template"), window), *(of(PLAIN, F.col("plain"), n) for n in lengths))
+def anchors(looked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(kind, tok, spots): for each anchor the lengths of the windows that it stands for, and its offset in them."""
+    often = entries.select("kind", "tid", F.explode(F.array_distinct("it")).alias("tok")).groupBy("kind", "tok").agg(F.count("*").alias("often"))
+    words = looked.select("kind", "tid", "item_at", "length", F.posexplode("words").alias("offset", "tok")).filter((F.col("kind") == PLAIN) | ~F.col("tok").isin(SLOTS))
+    best = words.join(often, ["kind", "tok"]).groupBy("kind", "tid", "item_at").agg(F.min(F.struct("often", (-F.length("tok")).alias("short"), "tok", "offset", "length")).alias("a"))
+    return best.groupBy("kind", F.col("a.tok").alias("tok")).agg(F.collect_set(F.struct("a.length", "a.offset")).alias("spots"))
 
 
 def _consistent(pairs: Column) -> Column:
@@ -132,39 +135,54 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     give one row per item; of equally good places that with fewer changed values counts. Other
     columns are ignored, whatever their names; empty tables give no rows.
 
-    Probes, rows of a few numbers, are broadcast only if they take at most
-    ``broadcast_bytes``; otherwise hashes are joined by a shuffle and the texts fetched again.
+    Probes, rows of a few numbers, and anchors are broadcast only if they take at most
+    ``broadcast_bytes``; otherwise all windows' hashes are joined by a shuffle and the texts fetched again.
     """
     scratch = Scratch(docs.sparkSession, "benchmark")
     items = numbered(benchmark)
     entries = scratch.save(item_entries(items, place(benchmark, item_text), place(benchmark, item_id), window))
-    looked = scratch.save(probes(entries, window))
-    n, *_ = looked.agg(F.count("*")).first()
-    lengths = sorted(r.length for r in looked.filter(F.col("kind") == PLAIN).select("length").distinct().collect())  # at most ``window`` numbers
+    looked = probes(entries, window)
+    marked = scratch.save(anchors(looked, entries))
+    looked = scratch.save(looked.drop("words"))
+    kinds = {(r.kind, r.length): r.n for r in looked.groupBy("kind", "length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` + 1 rows
+    tokens_bytes = marked.agg(F.coalesce(F.sum(F.octet_length("tok") + F.size("spots") * 24), F.lit(0))).first()[0]
+    small = sum(kinds.values()) * PROBE_BYTES + tokens_bytes <= broadcast_bytes
 
     own = numbered(docs)
     t = F.coalesce(F.col(place(docs, text)), F.lit(""))
     fa, fb = fingerprint(t)
-    base = own.select(F.col(place(docs, id_col)).alias("id"), fa.alias("fa"), fb.alias("fb"), raw_tokens(t).alias("raw"))
+    base = tokenised(own.select(F.col(place(docs, id_col)).alias("id"), fa.alias("fa"), fb.alias("fb"), t.alias("text")))
     key = ["id", "fa", "fb"]
-    split = [tokens(F.col("raw")).alias("raw"), tokens(template(F.col("raw"))).alias("template"), *([tokens(plain(F.col("raw"))).alias("plain")] if lengths else [])]
-    toks = base.select(*key, *split)
-    of_kind = lambda a, b: F.when(F.col("kind") == PLAIN, F.col(a)).otherwise(F.col(b)) if lengths else F.col(b)
-    size, prev = F.size(of_kind("plain", "template")), _before(of_kind("plain", "template"), F.col("at"))
-    seen = toks.withColumn("w", F.explode(document_windows(window, lengths))).select(*toks.columns, "w.*")
+    # dw: the tokens that are compared; dr: those that fill the slots
+    toks = base.select(*key, F.lit(TEMPLATE).alias("kind"), tokens(F.col("template")).alias("dw"), tokens(F.col("raw")).alias("dr"))
+    if any(kind == PLAIN for kind, _ in kinds):
+        both = base.select(*key, F.explode_outer(F.array(F.struct(F.lit(TEMPLATE).alias("kind"), F.col("template").alias("w"), F.col("raw").alias("r")), F.struct(F.lit(PLAIN).alias("kind"), F.col("plain").alias("w"), F.col("plain").alias("r")))).alias("k"))
+        toks = both.select(*key, "k.*").select(*key, "kind", tokens(F.col("w")).alias("dw"), tokens(F.col("r")).alias("dr"))
     # of a run of hits only the first counts; a very short item must be the whole text
     first = F.col("prev").isNull() | (F.col("at") == 0) | (F.col("before") != F.col("prev"))
     fits = (F.col("n") >= LEAST) | (F.col("size") == F.col("n"))
-    if n * PROBE_BYTES <= broadcast_bytes:
-        hit = seen.join(F.broadcast(looked), ["h", "kind", "length"]).withColumns({"before": prev, "size": size}).filter(first & fits)
+    on = ["h", "kind", "length"]
+    if small:
+        # an inner generator would have Spark test the array's size first, and work all tokens out again for that
+        met = toks.select("*", F.posexplode_outer("dw").alias("pos", "tok")).join(F.broadcast(marked), ["kind", "tok"])
+        seen = met.select(*toks.columns, "pos", F.explode("spots").alias("s")).select(*toks.columns, (F.col("pos") - F.col("s.offset")).alias("at"), F.col("s.length").alias("length"))
+        seen = seen.filter((F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.size("dw")))
+    else:
+        lengths = F.array(*[F.struct(F.lit(kind).alias("of"), F.lit(n).alias("length")) for kind, n in kinds])
+        seen = toks.select("*", F.explode(lengths).alias("l")).filter((F.col("l.of") == F.col("kind")) & (F.size("dw") >= F.col("l.length")))
+        seen = seen.select(*toks.columns, F.col("l.length").alias("length"), F.explode_outer(F.sequence(F.lit(0), F.size("dw") - F.col("l.length"))).alias("at"))
+    seen = seen.withColumn("h", window_hash(F.slice("dw", F.col("at") + 1, F.col("length"))))
+    before, size = _before(F.col("dw"), F.col("at")), F.size("dw")
+    if small:
+        hit = seen.join(F.broadcast(looked), on).withColumns({"before": before, "size": size}).filter(first & fits)
     else:
-        hashes = seen.select(*key, "h", "kind", "length", "at", prev.alias("before"), size.alias("size"))
-        found = hashes.join(looked, ["h", "kind", "length"]).filter(first & fits).drop("h", "length", "before", "size").withColumnsRenamed({k: f"_{k}" for k in key})
-        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb"))
+        hashes = seen.select(*key, *on, "at", before.alias("before"), size.alias("size"))
+        found = hashes.join(looked, on).filter(first & fits).drop("h", "length", "before", "size").withColumnsRenamed({k: f"_{k}" for k in [*key, "kind"]})
+        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("kind") == F.col("_kind"))
         hit = toks.join(found, same)
     hit = hit.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("skipped", F.greatest(-F.col("shift"), F.lit(0)))  # tokens of the item before the document's first
     there = lambda c: F.slice(c, F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("n") - F.col("skipped"))
-    hit = hit.select(*key, "tid", "shift", "skipped", "item_at", there(of_kind("plain", "template")).alias("dt"), there(of_kind("plain", "raw")).alias("dr"))
+    hit = hit.select(*key, "tid", "shift", "skipped", "item_at", there("dw").alias("dt"), there("dr").alias("dr"))
     places = hit.groupBy(*key, "tid", "shift", "skipped").agg(F.collect_set("item_at").alias("ats"), F.any_value("dt").alias("dt"), F.any_value("dr").alias("dr"))
     placed = places.join(entries.drop("at", "kind"), "tid")
     at = F.sequence(F.lit(0), F.size("it") - 1)
