@@ -96,7 +96,7 @@ def directions(bullets: DataFrame, claims: DataFrame, reports: DataFrame) -> Dat
     The report's own role comes first, then roles by the number of claims, ties in
     the clues' order. A clause with a negation gives no clue.
     """
-    rows = work_rows(bullets).select("doc_id", "path", "ord", "text", F.explode(roles_of(F.col("text"))).alias("role"))
+    rows = work_rows(bullets).select("doc_id", "path", "ord", "text", F.explode_outer(roles_of(F.col("text"))).alias("role")).filter("role is not null")
     quotes = rows.groupBy("doc_id", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("quotes"))
     facts = cited(rows, claims, "path", ["doc_id", "role"])
     order = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(V.ROLE_CLUES) for x in (r, k)]), F.col("role"))

@@ -48,7 +48,7 @@ def exclusive_coverage(rows: DataFrame, keep: list[str]) -> DataFrame:
 def violations(df: DataFrame, rules: dict[str, Column], *names: Column) -> DataFrame:
     """One row per broken rule, all rules in one pass: the names and the rule."""
     broken = F.filter(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]), lambda r: r.isNotNull())
-    return df.select(*names, F.explode(broken).alias("rule"))
+    return df.select(*names, F.explode_outer(broken).alias("rule")).filter("rule is not null")
 
 
 def budgets(docs: DataFrame, source: str, text: str, most_blocks: int = 10_000, most_chars: int = 2_000_000, most_bytes: int = 10 * 1024 * 1024) -> DataFrame:

@@ -27,7 +27,7 @@ def token_presence(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str
         at = F.when(F.size("have") >= size, F.sequence(F.lit(0), F.size("have") - size)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(size), F.slice("have", i + 1, F.lit(size))).alias("h"), i.alias("at")))
 
-    found = docs.select("doc", F.explode(F.concat(F.array().cast("array<struct<h:bigint,at:int>>"), *[runs(n) for n in sizes])).alias("run"))
+    found = docs.select("doc", F.explode_outer(F.concat(F.array().cast("array<struct<h:bigint,at:int>>"), *[runs(n) for n in sizes])).alias("run"))
     met = found.select("doc", "run.h", "run.at").join(anchors, "h").select(F.col("doc").alias("_doc"), "at", "item")
     hits = docs.join(met, F.col("doc").eqNullSafe(F.col("_doc"))).join(items.select("item", "want"), "item")
     hits = hits.filter(F.slice("have", F.col("at") + 1, F.size("want")) == F.col("want"))

@@ -57,7 +57,7 @@ def visible_fields(profiles: DataFrame, profile: str = "profile", keep: list[str
 
     head = F.array(pair(F.lit("name"), p["name"]), pair(F.lit("headline"), p["headline"]))
     everything = F.concat(head, numbered(F.lit("contacts"), p["contacts"]), F.flatten(F.transform(F.coalesce(p["sections"], F.array().cast(Y.ArrayType(SECTION))), section)))
-    return profiles.select(*keep, F.posexplode(everything).alias("ord", "f")).select(*keep, "ord", "f.path", "f.value")
+    return profiles.select(*keep, F.posexplode_outer(everything).alias("ord", "f")).filter("ord is not null").select(*keep, "ord", "f.path", "f.value")
 
 
 class Check:

@@ -29,7 +29,7 @@ def top_directions(df: DataFrame, scope: str, text: str, requested: Column | Non
     """Per scope the ``most`` roles with most evidence, the requested one first, ties in the clues' order: scope, rank, role, n."""
     clues = clues or V.ROLE_CLUES
     order = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(clues) for x in (r, k)]), F.col("role"))
-    counts = df.select(scope, F.explode(roles_of(F.col(text), clues)).alias("role")).groupBy(scope, "role").agg(F.count("*").alias("n"))
+    counts = df.select(scope, F.explode_outer(roles_of(F.col(text), clues)).alias("role")).filter("role is not null").groupBy(scope, "role").agg(F.count("*").alias("n"))
     asked = F.lit(0) if requested is None else (~F.col("role").eqNullSafe(requested)).cast("int")
     rank = F.row_number().over(Window.partitionBy(scope).orderBy(asked, F.desc("n"), order))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select(scope, "rank", "role", "n")

@@ -68,3 +68,22 @@ def test_global_ids_and_temporal_rules(spark):
     assert got == [(1, 1, "valid"), (1, 3, "superseded"), (2, 1, "future"), (9, 3, "unknown")]
     entries = spark.createDataFrame([("Acme  Co", "2019-2021"), ("ACME CO", "2019 – 2021"), ("acme co", "2018-2021"), ("Solo", "2019-2021"), ("Solo", "2019 to 2021"), (None, "x")], "heading string, date string")
     assert [(r.heading, r["values"]) for r in conflicts.entry_date_conflicts(entries).collect()] == [("acme co", ["2018-2021", "2019 – 2021", "2019-2021"])]
+
+
+def test_global_ids_over_blocks_and_null_scopes(spark):
+    from lodestrata.operators import integrity
+
+    rows = [(s, o) for s in [None, *"dbeca"] for o in (2, 1)]
+    got = integrity.global_ids(spark.createDataFrame(rows, "s string, o int"), "s", "o", blocks=3).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted((r.claim_id, r.s, r.o) for r in got) == [(f"claim-{k:06d}", *r) for k, r in enumerate(want, 1)]
+
+
+def test_presence_needs_whole_runs(spark):
+    from lodestrata.operators import presence
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f x h"), (3, None), (4, ""), (5, "b  c\nd")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g"), (2, "b c d"), (3, ""), (4, None)], "item_id int, text string")
+    got = presence.token_presence(docs, items, "doc_id", "text", "item_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 2), (5, 2)]
+    assert presence.token_presence(docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
