@@ -146,7 +146,7 @@ class Model:
     languages: list[str]
     pieces: list[str]
     probs: np.ndarray  # pieces and the unknown letter, by language
-    cache_bytes: int = 48 << 20
+    cache_bytes: int = 32 << 20
     lattice: Lattice | None = None
     table: np.ndarray | None = None
     cache: dict[str, int] = field(default_factory=dict)

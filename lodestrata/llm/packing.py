@@ -151,7 +151,7 @@ class WordCache(dict):
     has the ids that the merges alone give, and marks at its end are tokens of their own.
     """
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 48 << 20):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -291,9 +291,10 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], capacity: int
     ``tokenizer`` returns the tokenizer file's path and is called on executors. A
     document is its ids, then ``end_id``; only longer ones are cut. Returns one row
     per piece: the id, piece, start, length, ids_crc32, sequence_id, offset. Null
-    and empty texts are the end id alone. Null ids and repeated rows are packed like
-    all others, each on its own; other columns are ignored; an empty table gives no
-    rows.
+    and empty texts are the end id alone; texts of any length are tokenised whole and
+    cut into pieces. Null ids and repeated rows are packed like all others, each on its
+    own; which of equally long pieces goes where follows the order in which rows are
+    read. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     out = pack(pieces_of(docs, tokenizer, capacity, end_id, text, id_col, keep_ids), capacity)
     return out.withColumnRenamed("id", id_col)

@@ -19,13 +19,12 @@ def chosen(rows: DataFrame, per_group: int, max_groups: int, max_bytes: int) ->
     ``max_bytes`` is passed over. At most about 2 * per_group * max_groups hashes come
     to the driver.
     """
-    sizes = rows.groupBy("g").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "g").limit(max_groups).collect()
+    sizes = rows.filter("g is not null").groupBy("g").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "g").limit(max_groups).collect()
     if not sizes:
         return []
     cut = lambda n: min(SPAN // 2 - 1, -SPAN // 2 + SPAN * (2 * per_group + 64) // max(n, 1))
-    kind = rows.schema["g"].dataType.simpleString()
-    cuts = rows.sparkSession.createDataFrame([(r.g, cut(r.n)) for r in sizes], f"g {kind}, cut long")
-    near = rows.join(F.broadcast(cuts), "g").filter("h <= cut").groupBy("g", "h").agg(F.max("size").alias("size")).collect()
+    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r.g, cut(r.n))])  # one entry a group, max_groups at most
+    near = rows.filter(F.col("g").isNotNull() & (F.col("h") <= F.element_at(cuts, F.col("g")))).groupBy("g", "h").agg(F.max("size").alias("size")).collect()
     out, left = [], max_bytes
     taken: dict = {}
     # smallest hashes first in all groups alike, so that no group eats up the bytes

@@ -11,10 +11,11 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _kept: dict[str, Any] = {}
 
@@ -24,11 +25,13 @@ def keep(name: str, make: Callable[[], Any]) -> Any:
     if name not in _kept:
         free()
         _kept[name] = make()
+    pa.default_memory_pool().release_unused()
     return _kept[name]
 
 
 def free() -> None:
-    """Gives the memory of what is kept back to the system."""
+    """Gives the memory of what is kept, and what Arrow holds in reserve, back to the system."""
+    pa.default_memory_pool().release_unused()
     if not _kept:
         return
     _kept.clear()
