@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_formatting, decontamination, embedding_dedup, language_id, ngram_join, packing, pii, resharding, substring_dedup, toxicity
+from . import chat_formatting, decontamination, embedding_dedup, fill_in_middle, language_id, ngram_join, packing, pii, resharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), language_pieces())
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -77,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": ngram_join.ORACLE_SQL,
         "op7_chat_formatting": chat_formatting.ORACLE_SQL,
         "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
