@@ -1,17 +1,19 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
-Identical texts are grouped by their SHA-256 and byte length. For each distinct text the
-byte offsets at which its code points begin are kept once, as an Elias-Fano list: about two
-bits a code point in plain ASCII, where a table of offsets takes eight bytes. Documents travel without
-their texts; they are joined back to the index, and both ends of a document's seeded cut are
-selected from the list, so no text is walked to find them.
+Identical texts are grouped by their SHA-256 and byte length, and each distinct text travels
+once. Documents travel without their texts and are joined back to it; the join brings the
+documents of one text one after the other. For each distinct text the byte offsets at which its code points
+begin are worked out once, as an Elias-Fano list: about two bits a code point in plain ASCII,
+where a table of offsets takes eight bytes. Both ends of a document's seeded cut are selected from the list.
 
-Texts with very many copies are cut off from the rest: their few index rows are repeated
+Texts with very many copies are cut off from the rest: their few rows are repeated
 for shares of the copies, so that no task gets all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as Y
@@ -73,14 +75,35 @@ def boundary_list(text: str) -> bytes:
     return elias_fano(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
 
 
-@F.pandas_udf(Y.BinaryType())
-def boundaries(text: pd.Series) -> pd.Series:
-    return text.map(boundary_list)
+class Lists(dict):
+    """Boundary lists of the distinct texts met last, by key; about ``most`` bytes of them."""
+
+    def __init__(self, most: int = 8 << 20):
+        super().__init__()
+        self.most, self.used = most, 0
+
+    def of(self, key: bytes, text: str) -> bytes:
+        coded = self.get(key)
+        if coded is None:
+            coded = boundary_list(text)
+            if self.used > self.most:
+                self.clear()
+                self.used = 0
+            self.used += len(coded) + 200
+            self[key] = coded
+        return coded
 
 
 @F.pandas_udf(Y.StructType([Y.StructField("a", Y.LongType()), Y.StructField("b", Y.LongType())]))
-def offsets(coded: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"a": [select(c, k) for c, k in zip(coded, low, strict=True)], "b": [select(c, k) for c, k in zip(coded, high, strict=True)]}, dtype="int64")
+def offsets(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Byte offsets of the code points ``low`` and ``high`` of a text, from the one list of its key."""
+    lists = Lists()
+    for keys, texts, lows, highs in batches:
+        found = []
+        for key, text, low, high in zip(keys, texts, lows, highs, strict=True):
+            coded = lists.of(bytes(key), text)
+            found.append((select(coded, low), select(coded, high)))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def draws(id_col: Column, seed: int) -> list[Column]:
@@ -107,7 +130,7 @@ def fill_in_middle(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Other columns are ignored, whatever their names; an empty table gives no rows.
 
     A text with more than ``share`` copies, and more than one in MOST_HOT of all
-    rows, gets an index row for each ``share`` of them, or that many.
+    rows, gets a row of the index for each ``share`` of them, or that many.
     """
     spark = docs.sparkSession
     worker.small_batches(spark)
@@ -120,17 +143,15 @@ def fill_in_middle(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     hot = rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*key, F.ceil(F.col("n") / most).cast("int").alias("shares"))
     hot = spark.createDataFrame(hot.collect(), hot.schema)  # fewer than MOST_HOT keys, since each has more than that share of the rows
 
-    def index(of: DataFrame) -> DataFrame:
-        """One row per distinct text, with its list."""
-        found = of.groupBy(*key).agg(F.first("text").alias("text"))
-        return found.select("*", boundaries("text").alias("coded"))
+    def distinct(of: DataFrame) -> DataFrame:
+        return of.groupBy(*key).agg(F.first("text").alias("text"))
 
     small = F.broadcast(hot)
-    few = rows.join(small, key, "left_anti").join(index(base.join(F.broadcast(hot.select(*key)), key, "left_anti")), key)
+    few = rows.join(small, key, "left_anti").join(distinct(base.join(F.broadcast(hot.select(*key)), key, "left_anti")), key)
     many = rows.join(small, key).withColumn("part", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
-    spread = index(base.join(F.broadcast(hot.select(*key)), key, "left_semi")).join(small, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    spread = distinct(base.join(F.broadcast(hot.select(*key)), key, "left_semi")).join(small, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     again = many.drop("shares").join(spread.drop("shares"), [*key, "part"]).drop("part")
-    joined = few.unionByName(again).drop("row", *key)
+    joined = few.unionByName(again).drop("row", "size")
 
     joined = joined.withColumn("n", F.length("text").cast("long"))
     h1, h2, h3, h4 = draws(F.col("id"), seed)
@@ -138,7 +159,7 @@ def fill_in_middle(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     marked = F.exists(F.array(*[F.lit(m) for m in MARKS]), lambda m: F.contains(F.col("text"), m))
     plain = (F.col("n") == 0) | marked | (h3 % 100 >= rate)
     joined = joined.withColumns({"low": F.least(cut(h1), cut(h2)), "high": F.greatest(cut(h1), cut(h2)), "form": F.when(plain, "plain").when(h4 % 100 < spm, "spm").otherwise("psm")})
-    joined = joined.withColumn("at", offsets("coded", "low", "high")).withColumn("raw", F.col("text").cast("binary"))
+    joined = joined.withColumn("at", offsets("key", "text", "low", "high")).withColumn("raw", F.col("text").cast("binary"))
     piece = lambda a, b: F.substring(F.col("raw"), (a + 1).cast("int"), (b - a).cast("int")).cast("string")
     prefix, middle, suffix = piece(F.lit(0), F.col("at.a")), piece(F.col("at.a"), F.col("at.b")), piece(F.col("at.b"), F.octet_length("raw"))
     output = F.when(F.col("form") == "plain", F.col("text")).when(F.col("form") == "psm", F.concat(F.lit(P), prefix, F.lit(S), suffix, F.lit(M), middle)).otherwise(F.concat(F.lit(S), suffix, F.lit(P), prefix, F.lit(M), middle))
