@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_formatting, decontamination, embedding_dedup, fill_in_middle, language_id, ngram_join, packing, periodic_runs, pii, resharding, substring_dedup, toxicity
+from . import chat_formatting, decontamination, embedding_dedup, fill_in_middle, language_id, ngram_join, packing, periodic_runs, pii, resharding, retrieval_packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), language_pieces())
 
 
+def retrieval_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack_by_retrieval(table(spark, sf_dir, "documents"), retrieval_tokenizer)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_periods(table(spark, sf_dir, "documents"))))
 
