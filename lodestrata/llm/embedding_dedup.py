@@ -46,7 +46,8 @@ class Setting(NamedTuple):
     shared: int
 
 
-EXACT = Setting(0, 0, 0)  # one list for all
+EXACT = Setting(0, 0, 0)  # one list for all, if the caller asks for it
+PIVOTS = (16, 32, 64, 128, 256, 512)
 
 
 def usable(v: F.Column) -> F.Column:
@@ -84,32 +85,30 @@ def pairs_at(dim: int, cosine: float, n: int = 2000) -> tuple[np.ndarray, np.nda
     return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
 
 
-def settings_for(dim: int, threshold: float, recall: float) -> list[Setting]:
-    """For each number of pivots and of shared ones, the shortest prefix that finds ``recall`` of the pairs at the threshold."""
+def settings_for(dim: int, n: int, threshold: float, recall: float) -> list[Setting]:
+    """For each number of pivots and of shared ones, the shortest prefix that finds ``recall`` of the pairs at the threshold. There is one at least: the fewest pivots, all of them in the prefix."""
     x, y = pairs_at(dim, threshold)
     out = []
-    for pivots in (16, 32, 64, 128, 256, 512):
+    for pivots in PIVOTS[: max(1, sum(16 * k <= n for k in PIVOTS))]:
         own = directions(dim, pivots)
         ranks = [np.argsort(np.argsort(-(v @ own.T), axis=1, kind="stable"), axis=1, kind="stable") for v in (x, y)]
         worse = np.maximum(*ranks)  # a pivot is shared from this prefix on
         for shared in range(2, MOST_SHARED + 1):
             needed = np.sort(worse, axis=1)[:, shared - 1] + 1
             prefix = int(np.sort(needed)[math.ceil(recall * len(needed)) - 1])
-            if prefix < pivots and math.comb(prefix, shared) <= MOST_LISTS:
+            if math.comb(prefix, shared) <= MOST_LISTS:
                 out.append(Setting(pivots, prefix, shared))
     return out
 
 
-def setting(dim: int, n: int, threshold: float, recall: float, block: int) -> Setting:
-    """The cheapest setting for n vectors; so few that they make one list are compared directly."""
+def setting(dim: int, n: int, threshold: float, recall: float) -> Setting:
+    """The cheapest setting for n vectors."""
 
     def cost(s: Setting) -> float:
         lists = math.comb(s.prefix, s.shared)
         return lists * ENTRY + lists * lists * n / math.comb(s.pivots, s.shared) * PAIR
 
-    if n <= block or dim < 2:
-        return EXACT
-    return min(settings_for(dim, threshold, recall), key=cost, default=EXACT)
+    return min(settings_for(dim, n, threshold, recall), key=cost)
 
 
 def most_differing(threshold: float) -> int:
@@ -217,9 +216,8 @@ def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str =
     Returns one row per row: the id, n_links (other vectors linked directly),
     component_id (smallest id reachable, itself included) and kept (id is
     component_id). ``recall`` is that of pairs just at the threshold; pairs above it
-    are found more often. With ``exact`` all pairs are compared, block by block, at a
-    cost that grows with the square of the rows; so they are among vectors of a length
-    that ``block`` of them or fewer have. Vectors that are null, empty, zero or hold null or non-finite
+    are found more often. Vectors of every length, however few, are found through the index; only with ``exact``
+    are all pairs compared, block by block, at a cost that grows with the square of the rows. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; vectors of different lengths, long or short, don't link. Repeated
     rows link with each other; null ids come last and a component of null ids only
     has a null component_id. Other columns, labels too, are ignored, whatever their names; an empty table
@@ -247,7 +245,7 @@ def embedding_dedup(vectors: DataFrame, vector: str = "embedding", id_col: str =
     members = scratch.save(firsts.mapInArrow(pack, "member long, copies long, vector binary"))
     width = np.dtype(kind).itemsize
     dims = {r.n // width: r["count"] for r in members.groupBy(F.length("vector").alias("n")).count().collect()}  # one row a length
-    chosen = {d: EXACT if exact else setting(d, n, threshold, recall, block) for d, n in dims.items()}
+    chosen = {d: EXACT if exact else setting(d, n, threshold, recall) for d, n in dims.items()}
 
     entries = members.select("member", "vector").mapInArrow(index(chosen, kind), "bucket long, member long, prefix binary, sketch binary, dim int")
     dealt = units(scratch.save(entries), scratch, block)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from lodestrata.llm import embedding_dedup as index_of
 from lodestrata.llm.embedding_dedup import embedding_dedup
 
 
@@ -69,6 +70,42 @@ def test_one_group_with_a_third_of_the_rows(spark):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_recall_of_the_index_over_many_vectors(spark):
+    """2400 vectors, pairs at a cosine just above the threshold among them: links against all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = np.repeat([0.902, 0.93, 0.97], 400)[:, None]
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y]).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup(table(spark, [(k, r.tolist()) for k, r in enumerate(v)])).collect()}
+    assert all(got[k] <= want[k] for k in range(len(v)))
+    found = np.array([got[k] for k in range(1200)])
+    assert found[:400].sum() >= 0.95 * want[:400].sum() and found[400:].sum() >= 0.99 * want[400:1200].sum()
+
+
+def test_small_tables_go_through_the_index():
+    for dim in (1, 2, 3, 16, 64):
+        for n in (1, 2, 300, 5000):
+            s = index_of.setting(dim, n, 0.9, 0.98)
+            assert s != index_of.EXACT and s.prefix >= s.shared >= 2
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5])
+def test_short_vectors(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([b + 0.02 * rng.normal(size=(5, dim)) for b in rng.normal(size=(12, dim))]))]
+    got = embedding_dedup(table(spark, rows), exact=True).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+    want = {r[0]: r[1] for r in brute(rows)}
+    found = {r.vec_id: r.n_links for r in embedding_dedup(table(spark, rows)).collect()}
+    assert all(found[k] <= want[k] for k in want) and sum(found.values()) >= 0.9 * sum(want.values())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, []), (3, [0, 0]), (4, [None, 1]), (5, [float("nan"), 1]), (6, [float("inf"), 1])], [(1, [1, 0]), (2, [2, 0]), (3, [1, 0, 0]), (1, [1, 0]), (None, [1, 0])]])
 def test_odd_vectors(spark, rows):
     got = embedding_dedup(table(spark, rows)).collect()
