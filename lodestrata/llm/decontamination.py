@@ -36,7 +36,8 @@ NUMBER = rf"{FIGURE}%?(?= |$)"
 MEASURE = rf"{FIGURE}\x02?(?:{'|'.join(UNITS)})(?= |$)"
 SLOTS = ["<num>", "<name>", "<measure>"]
 TEMPLATE, PLAIN = 0, 1
-NEAR = 32  # parts of an item at places that differ by up to half of this belong together
+NEAR = 256  # parts of an item at places that differ by up to half of this belong together
+RUN = 3  # so many windows of an item in a row count however long the item is
 LEAST = 3  # items of fewer plain tokens count only as a whole text
 PROBE_BYTES = 96  # of a probe in a broadcast table, besides its anchor
 
@@ -79,21 +80,43 @@ def _before(toks: Column, start: Column) -> Column:
     return F.xxhash64(F.get(toks, start - 1))
 
 
+def pattern_of(template: Column | str, raw: Column | str) -> Column:
+    """For each placeholder the first place of its value, 0 for other tokens."""
+    own = F.col(raw) if isinstance(raw, str) else raw
+    return F.zip_with(template, own, lambda t, x: F.when(t.isin(SLOTS), F.array_position(own, x)).otherwise(0))
+
+
+def distinct_items(benchmark: DataFrame, text: str, id_col: str) -> DataFrame:
+    """One row per different text: template, plain, raw, its pattern, the smallest item_id and n, the number of items."""
+    items = tokenised(benchmark.select(F.col(id_col).alias("item_id"), F.col(text).alias("text"))).filter("raw != ''")
+    items = items.groupBy("template", "raw", "plain").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
+    split = items.withColumns({"_it": tokens(F.col("template")), "_ir": tokens(F.col("raw"))})
+    return split.withColumn("pattern", pattern_of("_it", "_ir")).drop("_it", "_ir")
+
+
+def known_values(benchmark: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(tid, pos, value): the values that texts of a template have in its placeholders, by hash."""
+    texts = distinct_items(benchmark, text, id_col).select(F.xxhash64("template").alias("tid"), tokens(F.col("template")).alias("it"), tokens(F.col("raw")).alias("ir"))
+    slots = texts.select("tid", "ir", F.posexplode("it").alias("pos", "t")).filter(F.col("t").isin(SLOTS))
+    return slots.select("tid", "pos", F.xxhash64(F.get("ir", F.col("pos"))).alias("value")).distinct()
+
+
 def item_entries(benchmark: DataFrame, text: str, id_col: str, window: int) -> DataFrame:
-    """What is looked for: tid, kind, item_id (the smallest with that template), n_items, it (tokens), raws (for each text, its tokens with marks) and at (where its probes begin).
+    """What is looked for: tid, kind, item_id (the smallest with that template), n_items, it (tokens), patterns (for each way in which the texts' values are equal, the first place of each value) and at (where its probes begin).
 
-    Items with one template are one entry with all their different texts. A text whose
+    Items with one template are one entry. A text whose
     template has too few tokens, or a window of mostly placeholders, is an entry of plain tokens besides.
     """
-    items = tokenised(benchmark.select(F.col(id_col).alias("item_id"), F.col(text).alias("text"))).filter("raw != ''")
-    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.collect_set("raw").alias("raws"), F.collect_set("plain").alias("plains"))
+    texts = distinct_items(benchmark, text, id_col)
+    items = texts.groupBy("template", "pattern").agg(F.min("item_id").alias("item_id"), F.sum("n").alias("n"))
+    items = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.sum("n").alias("n_items"), F.collect_list("pattern").alias("patterns"))
     items = items.withColumn("it", tokens(F.col("template")))
     words = lambda i: F.size(F.filter(F.slice("it", i + 1, F.lit(window)), lambda x: ~x.isin(SLOTS)))
     items = items.withColumn("at", F.filter(_starts(F.col("it"), window), lambda i: words(i) * 2 >= window))
-    whole = items.filter(F.size("at") > 0).select(F.xxhash64("template").alias("tid"), F.lit(TEMPLATE).alias("kind"), "item_id", "n_items", "it", F.transform("raws", tokens).alias("raws"), "at")
-    rest = items.filter((F.size("it") < window) | (F.size("at") < F.size("it") - window + 1)).select("template", "item_id", "n_items", F.explode("plains").alias("plain"))
+    whole = items.filter(F.size("at") > 0).select(F.xxhash64("template").alias("tid"), F.lit(TEMPLATE).alias("kind"), "item_id", "n_items", "it", "patterns", "at")
+    rest = items.filter((F.size("it") < window) | (F.size("at") < F.size("it") - window + 1)).select("template", "item_id", "n_items").join(texts.select("template", "plain").distinct(), "template")
     rest = rest.withColumn("it", tokens(F.col("plain")))
-    verbatim = rest.select(F.xxhash64("template", "plain").alias("tid"), F.lit(PLAIN).alias("kind"), "item_id", "n_items", "it", F.array("it").alias("raws"), _starts(F.col("it"), F.least(F.size("it"), F.lit(window))).alias("at"))
+    verbatim = rest.select(F.xxhash64("template", "plain").alias("tid"), F.lit(PLAIN).alias("kind"), "item_id", "n_items", "it", F.array(pattern_of("it", "it")).alias("patterns"), _starts(F.col("it"), F.least(F.size("it"), F.lit(window))).alias("at"))
     return whole.unionByName(verbatim)
 
 
@@ -124,9 +147,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
 
     Returns the id, fa and fb (fingerprint of the text), item_id (the smallest with
     that template), n_items, coverage (share of the item's tokens found at its
-    best place), n_slots and changed (placeholders there whose value differs from
-    the nearest text with that template). A pair counts from ``coverage`` on if the
-    placeholders are consistent with any of these texts. Every run of ``window``
+    best place), n_slots and changed (placeholders there whose value no text with that template
+    has there). A pair counts from ``coverage`` on, or if RUN windows' tokens of the item stand in a row, if the
+    placeholders are consistent with any of these texts. Parts of an item count together if foreign or dropped tokens between them
+    move them by half of NEAR (128) tokens at most; two parts further off count if one by itself does. Every run of ``window``
     template tokens that an item and a document share is found, wherever it stands,
     if half of them are no placeholders; of other items, and of those too short for a
     window, every verbatim run of ``window`` plain tokens, or the whole item. Items of one or
@@ -144,6 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
     looked = probes(entries, window)
     marked = scratch.save(anchors(looked, entries))
     looked = scratch.save(looked.drop("words"))
+    known = scratch.save(known_values(items, place(benchmark, item_text), place(benchmark, item_id)))
     kinds = {(r.kind, r.length): r.n for r in looked.groupBy("kind", "length").agg(F.count("*").alias("n")).collect()}  # at most ``window`` + 1 rows
     tokens_bytes = marked.agg(F.coalesce(F.sum(F.octet_length("tok") + F.size("spots") * 24), F.lit(0))).first()[0]
     small = sum(kinds.values()) * PROBE_BYTES + tokens_bytes <= broadcast_bytes
@@ -194,19 +219,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: s
             "other": F.concat(F.filter(at, lambda i: ~same_at(i)), F.array(F.size("it"))),
         }
     )
-    runs = F.flatten(F.transform("ats", lambda a: F.sequence(a, F.array_min(F.filter("other", lambda m: m > a)) - 1)))
-    placed = placed.withColumn("runs", runs)
+    found = F.transform("ats", lambda a: F.sequence(a, F.array_min(F.filter("other", lambda m: m > a)) - 1))
+    placed = placed.withColumn("found", found).withColumns({"runs": F.flatten("found"), "longest": F.array_max(F.transform("found", F.size))})
     # any two places that differ by up to half of NEAR share a cell of one grid or the other
     cell = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("shift") + g * NEAR // 2) / NEAR).alias("cell")) for g in (0, 1)]))
     part = F.struct(F.size("same").alias("size"), (-F.col("shift")).alias("shift"), "same", "runs")
-    cells = placed.withColumn("c", cell).groupBy(*key, "tid", "c").agg(F.sort_array(F.collect_list(part), asc=False).alias("parts"))  # at most NEAR parts
+    cells = placed.withColumn("c", cell).groupBy(*key, "tid", "c").agg(F.max("longest").alias("longest"), F.sort_array(F.collect_list(part), asc=False).alias("parts"))  # at most NEAR parts
     own_part = F.transform("parts", lambda x, i: F.when(i == 0, x["same"]).otherwise(F.filter(x["same"], lambda e: F.array_contains(x["runs"], e["pos"]))))
     merged = F.aggregate(F.slice(own_part, 2, NEAR), F.get(own_part, F.lit(0)), lambda acc, x: F.concat(acc, F.filter(x, lambda e: ~F.exists(acc, lambda a: a["pos"] == e["pos"]))))
-    cells = cells.select(*key, "tid", merged.alias("same")).join(entries.select("tid", "item_id", "n_items", F.size("it").alias("n"), "raws"), "tid")
-    # templates are joined once; every text with one is judged by itself
-    judged = cells.filter(F.size("same") >= coverage * F.col("n") - 1e-9).withColumn("ir", F.explode("raws"))
-    judged = judged.withColumn("slots", F.transform(F.filter("same", lambda e: e["slot"]), lambda e: F.struct(F.get("ir", e["pos"]).alias("a"), e["b"].alias("b"))))
-    judged = judged.filter(_consistent(F.col("slots"))).select(*key, "item_id", "n_items", (F.size("same") / F.col("n")).alias("coverage"), F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["a"] != p["b"])).alias("changed"))
+    cells = cells.select(*key, "tid", "c", "longest", merged.alias("same")).join(entries.select("tid", "kind", "item_id", "n_items", F.size("it").alias("n"), "patterns"), "tid")
+    enough = (F.size("same") >= coverage * F.col("n") - 1e-9) | (F.col("longest") >= RUN * window)
+    slots = cells.filter(enough).withColumn("slots", F.filter("same", lambda e: e["slot"]))
+    pairs = lambda p: F.transform("slots", lambda e: F.struct(F.get(p, e["pos"]).alias("a"), e["b"].alias("b")))
+    judged = slots.filter(F.exists("patterns", lambda p: _consistent(pairs(p))))
+    # the values of the placeholders, looked up by hash; an item of plain tokens is found as it is
+    values = judged.select(*key, "tid", "c", "kind", "item_id", "n_items", (F.size("same") / F.col("n")).alias("coverage"), F.size("slots").alias("n_slots"), F.explode_outer("slots").alias("s"))
+    values = values.withColumns({"pos": F.col("s.pos"), "value": F.xxhash64("s.b")}).join(known.withColumn("known", F.lit(1)), ["tid", "pos", "value"], "left")
+    new = F.count_if(F.col("known").isNull() & F.col("s").isNotNull() & (F.col("kind") == TEMPLATE))
+    judged = values.groupBy(*key, "tid", "c", "item_id", "n_items", "coverage", "n_slots").agg(new.alias("changed"))
     best = judged.groupBy(*key, "item_id").agg(F.max("n_items").alias("n_items"), F.max(F.struct("coverage", (-F.col("changed")).alias("less"), "n_slots")).alias("best"))
     return best.select(F.col("id").alias(id_col), "fa", "fb", "item_id", "n_items", "best.coverage", "best.n_slots", (-F.col("best.less")).alias("changed"))
 

@@ -82,6 +82,34 @@ def test_slots_of_other_lengths(spark, documents):
     assert got[2].coverage > 0.9
 
 
+@pytest.mark.parametrize("apart", [0, 10, 24, 30, 60, 100])
+def test_items_in_two_parts(spark, documents, apart):
+    rng = random.Random(21)
+    wanted = words(rng, 20)
+    docs = documents([(1, " ".join([*words(rng, 9), *wanted[:10], *words(rng, apart), *wanted[10:], *words(rng, 5)])), (2, " ".join(wanted[:10] + words(rng, 30)))])
+    got = matches(docs, items(spark, [(1, " ".join(wanted))])).collect()
+    assert [(r.doc_id, r.coverage) for r in got] == [(1, 1.0)]
+
+
+def test_a_long_run_of_a_long_item_counts(spark, documents):
+    rng = random.Random(22)
+    wanted = words(rng, 100)
+    docs = documents([(n, " ".join([*words(rng, 7), *wanted[30 : 30 + n], *words(rng, 7)])) for n in (10, 23, 24, 40, 59)])
+    got = matches(docs, items(spark, [(1, " ".join(wanted))])).collect()
+    assert sorted(r.doc_id for r in got) == [24, 40, 59] and all(r.doc_id <= 100 * r.coverage < r.doc_id + 5 for r in got)
+
+
+def test_many_variants_of_one_template(spark, documents):
+    """Items that differ by their figures only are judged once for each pattern of equal figures."""
+    line = "the old man at the gate sells {} apples and {} pears to the tall woman for {} coins"
+    bench = [(k, line.format(k, k + 1, 5000 + k)) for k in range(600)] + [(900, line.format(7, 7, 7))]
+    entries = D.item_entries(items(spark, bench), "text", "item_id", 8).collect()
+    assert [(r.n_items, len(r.patterns)) for r in entries if r.kind == D.TEMPLATE] == [(601, 2)]
+    docs = documents([(1, line.format(3, 4, 5003)), (2, line.format(3, 9000, 5003)), (3, line.format(1, 1, 2)), (4, line.format(8000, 8000, 8000)), (5, line.format(3, 400, 5500))])
+    got = matches(docs, items(spark, bench)).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_slots, r.changed) for r in got) == [(1, 0, 3, 0), (2, 0, 3, 1), (4, 0, 3, 3), (5, 0, 3, 0)]
+
+
 def in_python(docs, benchmark, window=8, coverage=0.6):
     """The query by its definition, without hashes and joins."""
     def raw(t):
@@ -132,19 +160,20 @@ def in_python(docs, benchmark, window=8, coverage=0.6):
                     while a in same:
                         runs.add(a)
                         a += 1
-                parts[s] = same, runs
+                longest = max((max(b for b in range(a, len(it) + 1) if all(p in same for p in range(a, b))) - a for a in hits), default=0)
+                parts[s] = same, runs, longest
             for grid in (0, 1):
                 for cell in {(s + grid * D.NEAR // 2) // D.NEAR for s in parts}:
                     near = sorted((s for s in parts if (s + grid * D.NEAR // 2) // D.NEAR == cell), key=lambda s: (-len(parts[s][0]), s))
                     merged = dict(parts[near[0]][0])
                     for s in near[1:]:
                         merged |= {p: v for p, v in parts[s][0].items() if p in parts[s][1] and p not in merged}
-                    if len(merged) < coverage * len(it) - 1e-9:
+                    if len(merged) < coverage * len(it) - 1e-9 and max(parts[s][2] for s in near) < D.RUN * window:
                         continue
                     for own in raws:
                         pairs = {(own[p], v) for p, v in merged.items() if it[p] in D.SLOTS}
                         if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                            changed = sum(own[p] != v for p, v in merged.items() if it[p] in D.SLOTS)
+                            changed = sum(all(x[p] != v for x in raws) for p, v in merged.items() if it[p] in D.SLOTS)
                             best = (len(merged) / len(it), -changed, sum(it[p] in D.SLOTS for p in merged))
                             have = out.get((d, k), (0, (0, 0, 0)))
                             out[d, k] = max(n, have[0]), max(best, have[1])
