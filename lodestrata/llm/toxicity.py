@@ -3,9 +3,11 @@
 A document is a bag of sentences. The probability of a sentence with a telling word
 is a logistic function of its words; the document's is their noisy-or with a leak,
 1 - (1 - leak) * product(1 - p). The leak stands for all sentences without a telling
-word together, so a document doesn't become toxic by its length. Only document
+word together. Only document
 labels are known, so the gradient reaches a sentence through the product. After
-training the same sentence scores say where the offence is.
+training the same sentence scores say where the offence is, and a document's score is the noisy-or of
+its offending sentences, those with a p of a half or more. Of the others only the likeliest counts, by so much that it can't
+make a document toxic: many mild sentences don't add up, so length makes nothing toxic.
 """
 
 from __future__ import annotations
@@ -80,11 +82,17 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The document's probability and its sentences more likely toxic than not."""
-        none, where = -float(np.logaddexp(0.0, self.leak)), []
+        none, where, mild = -float(np.logaddexp(0.0, self.leak)), [], -np.inf
         for a, b, z in self.sentences(text or ""):
-            none -= float(np.logaddexp(0.0, z))
             if z >= 0:
+                none -= float(np.logaddexp(0.0, z))
                 where.append(f"{a}:{b}")
+            else:
+                mild = max(mild, z)
+        if mild > -np.inf:
+            # below a half with the leak: (1 - leak) * (1 - room * p) > 1/2 for p < 1/2
+            room = max(0.0, -float(np.expm1(self.leak)))
+            none += float(np.log1p(-room * np.exp(-np.logaddexp(0.0, -mild))))
         return min(1.0, max(0.0, -float(np.expm1(none)))), ",".join(where)
 
 
@@ -233,7 +241,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
 
     Returns, per row: the id, held_out (crc32 of the id as text is 0 modulo 5; such
     rows are never learned from), score, predicted (1 from 0.5 on) and sentences,
-    ``start:end`` of those more likely toxic than not. Null, empty and wordless texts, and
+    ``start:end`` of those more likely toxic than not; unless the leak is a half or more, a text is predicted toxic if and only if it has one. Null, empty and wordless texts, and
     texts of any length without a telling word, get the leak as their score. Null ids are not held out and
     have no label. If an id or a text has several labels, the largest counts; repeated rows
     are scored alike. Without labels of both kinds every text gets one score. Other columns

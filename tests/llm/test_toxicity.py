@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -54,10 +55,19 @@ def test_offending_sentences_are_found(scored):
 
 
 def test_noisy_or(spark):
-    model = toxicity.Model(-2.0, -1.0, {"bad ": 3.0, "sad ": -0.5})
-    leak, bad, sad = (1 / (1 + np.exp(-z)) for z in (-2.0, 2.0, -1.5))
-    got = toxicity.score(spark.createDataFrame([(1, "fine. bad one! sad")], "doc_id long, text string"), model).first()
-    assert got.score == pytest.approx(1 - (1 - leak) * (1 - bad) * (1 - sad)) and got.sentences == "5:13"
+    model = toxicity.Model(-2.0, -1.0, {"bad ": 3.0, "sad ": -0.5, "ill ": 1.5})
+    leak, bad, sad, ill = (1 / (1 + np.exp(-z)) for z in (-2.0, 2.0, -1.5, 0.5))
+    rows = spark.createDataFrame([(1, "fine. bad one! sad. ill\nsad. sad"), (2, "sad. sad. sad")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    mild = sad * (1 - 2 * leak) / (1 - leak)
+    assert got[1].score == pytest.approx(1 - (1 - leak) * (1 - bad) * (1 - ill) * (1 - mild)) and got[1].sentences == "5:13,19:23"
+    assert got[2].score == pytest.approx(1 - (1 - leak) * (1 - mild)) and got[2].sentences == ""
+
+
+def test_mild_sentences_never_make_a_document_toxic():
+    for leak in (-9.0, -2.0, -0.01):
+        model = toxicity.Model(leak, -1e-6, {"odd ": 0.0})
+        assert model.score("odd. " * 10_000) == (model.score("odd")[0], "") and leak < 0 and model.score("odd")[0] < 0.5
 
 
 def test_gradient_by_finite_differences():
@@ -94,12 +104,15 @@ def test_the_query_against_the_definition(spark, documents, scored):
     assert sorted(zip(texts, y, strict=True)) == usable
     model = toxicity.train(texts, y)
     for r in toxicity.toxicity(docs, labels).collect():
-        none = 1 - 1 / (1 + np.exp(-model.leak))
+        leak = 1 / (1 + np.exp(-model.leak))
+        none, mild = 1 - leak, 0.0
         for sentence in re.split(r"[.!?\n]+", dict((k, t) for k, t, _ in rows)[r.doc_id]):
             own = [model.weights[f] for w in re.findall(r"\w+", sentence.lower()) for f in toxicity.features(w) if f in model.weights]
             if own:
-                none *= 1 - 1 / (1 + np.exp(-model.bias - sum(own)))
-        assert r.score == pytest.approx(1 - none, abs=1e-9)
+                p = 1 / (1 + np.exp(-model.bias - sum(own)))
+                none, mild = (none * (1 - p), mild) if p >= 0.5 else (none, max(mild, p))
+        none *= 1 - mild * (1 - 2 * leak) / (1 - leak)
+        assert r.score == pytest.approx(1 - none, abs=1e-9) and r.predicted == bool(r.sentences)
 
 
 def test_long_clean_texts_stay_clean(spark, documents):
@@ -111,6 +124,18 @@ def test_long_clean_texts_stay_clean(spark, documents):
     assert [got[k].predicted for k in (1000, 1001, 1002)] == [0, 0, 1] and got[1002].sentences.count(":") == 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_joined_clean_texts_of_the_tables_stay_clean(spark):
+    """With their real words, of which many tell a little."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(*toxicity.sample(docs, labels, "text", "doc_id", "toxic", 2000, 16 << 20))
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").orderBy("doc_id").select("text").collect() if r.text and not model.score(r.text)[1]]
+    assert len(clean) > 3000
+    for n in (100, 1000, len(clean)):
+        score, where = model.score("\n".join(clean[:n]))
+        assert score < 0.5 and not where
+
+
 def test_sample_is_bounded(spark, documents):
     rng = random.Random(12)
     rows = labelled(rng, 200)
