@@ -281,13 +281,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, text: str, id_col: str, lang: str, per_language: int, max_languages: int, max_bytes: int) -> tuple[list[str], list[str]]:
-    """The labelled texts to learn from: not held out, ``per_language`` of each of the ``max_languages`` commonest languages by their hash, ``max_bytes`` in all."""
+def sample(docs: DataFrame, text: str, id_col: str, lang: str, per_language: int, max_bytes: int) -> tuple[list[str], list[str]]:
+    """The labelled texts to learn from: not held out, ``per_language`` of each language by their hash, one at least, ``max_bytes`` in all."""
     own = numbered(docs)
     t = F.col(place(docs, text))
     usable = own.filter(~held_out(place(docs, id_col)) & F.col(place(docs, lang)).isNotNull() & t.rlike(r"\p{L}"))
     rows = usable.select(F.col(place(docs, lang)).alias("g"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"), t.alias("text"))
-    picked = sampling.chosen(rows.select("g", "h", "size"), per_language, max_languages, max_bytes)
+    picked = sampling.chosen(rows.select("g", "h", "size"), per_language, max_bytes)
     found = sampling.fetched(rows, picked, "text") if picked else []
     return [r.text for r in found], [r.g for r in found]
 
@@ -308,15 +308,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return own.mapInArrow(run, own.limit(0).selectExpr("*", "'' AS lang_pred", "0D AS score").schema)
 
 
-def fit(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = 300, max_languages: int = 200, max_bytes: int = 32 << 20) -> Model:
-    return train(*sample(docs, text, id_col, lang, per_language, max_languages, max_bytes), pieces)
+def fit(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = 300, max_bytes: int = 32 << 20) -> Model:
+    return train(*sample(docs, text, id_col, lang, per_language, max_bytes), pieces)
 
 
 def identify(docs: DataFrame, pieces: list[str], text: str = "text", id_col: str = "doc_id", lang: str = "lang", **bounds) -> DataFrame:
     """Predicts the language of every whole text, however long.
 
-    Learns from at most ``per_language`` (300) labelled texts of each of the
-    ``max_languages`` (200) commonest languages, ``max_bytes`` (32 MB) in all, never from held-out rows (crc32 of
+    Learns from at most ``per_language`` (300) labelled texts of each language, however rare,
+    ``max_bytes`` (32 MB) in all beside each language's first text, never from held-out rows (crc32 of
     the id as text is 0 modulo 5). Returns, per row: the id, held_out, lang_pred and
     score, the posterior of lang_pred with equal priors. Null, empty and letterless
     texts are ``und`` with score 0, as is everything where no row is labelled. Null

@@ -320,7 +320,7 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = 2000, max_bytes: in
     """Learns from at most ``max_rows`` different texts with a digit or an @, which the patterns label; chosen by their hash, ``max_bytes`` bytes in all."""
     t = F.col(place(docs, text))
     rows = numbered(docs).filter(t.rlike("[0-9@]")).select(F.lit(0).alias("g"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"), t.alias("text"))
-    picked = sampling.chosen(rows.select("g", "h", "size"), max_rows, 1, max_bytes)
+    picked = sampling.chosen(rows.select("g", "h", "size"), max_rows, max_bytes)
     return train([r.text for r in sampling.fetched(rows, picked, "text")] if picked else [])
 
 

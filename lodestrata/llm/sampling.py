@@ -11,28 +11,30 @@ from pyspark.sql import DataFrame, functions as F
 SPAN = 1 << 64
 
 
-def chosen(rows: DataFrame, per_group: int, max_groups: int, max_bytes: int) -> list[tuple]:
+def chosen(rows: DataFrame, per_group: int, max_bytes: int) -> list[tuple]:
     """(g, h) of the rows to learn from; ``rows`` has g (group), h (hash of the text) and size.
 
-    Of the ``max_groups`` groups with the most different texts, those with the
-    smallest hashes, ``per_group`` in each; a text that would take the total over
-    ``max_bytes`` is passed over. At most about 2 * per_group * max_groups hashes come
-    to the driver.
+    The smallest hashes of each group, ``per_group`` of them; every group's smallest hash comes first, then the others by
+    their hash, and a text that would take the total over ``max_bytes`` is passed over unless it
+    is its group's first, so that each group is learned. About 2 * per_group hashes a group come to the driver.
     """
-    sizes = rows.filter("g is not null").groupBy("g").agg(F.approx_count_distinct("h", 0.05).alias("n")).orderBy(F.desc("n"), "g").limit(max_groups).collect()
-    if not sizes:
-        return []
-    cut = lambda n: min(SPAN // 2 - 1, -SPAN // 2 + SPAN * (2 * per_group + 64) // max(n, 1))
-    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r.g, cut(r.n))])  # one entry a group, max_groups at most
-    near = rows.filter(F.col("g").isNotNull() & (F.col("h") <= F.element_at(cuts, F.col("g")))).groupBy("g", "h").agg(F.max("size").alias("size")).collect()
-    out, left = [], max_bytes
-    taken: dict = {}
+    sizes = rows.filter("g is not null").groupBy("g").agg(F.approx_count_distinct("h", 0.05).alias("n"))
+    # a share of the range of hashes in which about twice the wanted number lies
+    share = F.least(F.lit(1.0), F.lit(2 * per_group + 64) / F.greatest("n", F.lit(1)))
+    cuts = sizes.select("g", F.when(share >= 1, SPAN // 2 - 1).otherwise((share * float(SPAN) - SPAN / 2).cast("long")).alias("cut"))
+    near = rows.join(F.broadcast(cuts), "g").filter("h <= cut")  # one row a group
+    found = sorted((r.h, r.g, r.size) for r in near.groupBy("g", "h").agg(F.max("size").alias("size")).collect())
+    firsts: dict = {}
+    for h, g, size in found:
+        firsts.setdefault(g, (h, size))
+    out, left = [(g, h) for g, (h, _) in firsts.items()], max_bytes - sum(size for _, size in firsts.values())
+    taken = dict.fromkeys(firsts, 1)
     # smallest hashes first in all groups alike, so that no group eats up the bytes
-    for r in sorted(near, key=lambda r: (r.h, r.g)):
-        if taken.get(r.g, 0) < per_group and r.size <= left:
-            taken[r.g] = taken.get(r.g, 0) + 1
-            left -= r.size
-            out.append((r.g, r.h))
+    for h, g, size in found:
+        if h != firsts[g][0] and taken[g] < per_group and size <= left:
+            taken[g] += 1
+            left -= size
+            out.append((g, h))
     return out
 
 

@@ -210,7 +210,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: st
     rows = own.filter(~held_out(k) & t.isNotNull()).select(F.col(k).alias("id"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"), t.alias("text"))
     # ids and hashes are joined and chosen; only the chosen rows' texts travel
     known = rows.select("id", "h", "size").join(marks, "id").groupBy("h").agg(F.max("label").alias("label"), F.max("size").alias("size"))
-    picked = sampling.chosen(known.select(F.lit(0).alias("g"), "h", "size"), max_rows, 1, max_bytes)
+    picked = sampling.chosen(known.select(F.lit(0).alias("g"), "h", "size"), max_rows, max_bytes)
     if not picked:
         return [], []
     keys = docs.sparkSession.createDataFrame([(h,) for _, h in picked], "h long")

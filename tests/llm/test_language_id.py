@@ -32,6 +32,36 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got[:, column], [np.log(brute("▁" + w, table)) for w in words])
 
 
+def test_the_query_against_its_definition(documents):
+    """Languages and posteriors worked out word by word, by recursion over all segmentations, from the model that the same sample gives."""
+    rng = random.Random(12)
+    rows = [(k, text(rng, rng.randint(1, 12), lang), lang) for k, lang in enumerate(["en", "fr", "de"] * 20)] + [(80, "3 -- 4", "en"), (81, None, "fr"), (82, "l’eau É", None)]
+    pieces = [p for p in language_pieces() if len(p) <= 6]
+    docs = documents(rows)
+    model = D.fit(docs, pieces)
+    assert model.languages == ["de", "en", "fr"]
+    got = {r.doc_id: r for r in D.identify(docs, pieces).collect()}
+    for doc, t, _ in rows:
+        words = D.words_of(t) if t else []
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        logs = np.array([sum(np.log(brute("▁" + w, dict(zip(pieces, model.probs[:, c], strict=False)) | {"?": model.probs[-1, c]})) for w in words) for c in range(3)])
+        assert got[doc].lang_pred == model.languages[int(np.argmax(logs))]
+        assert got[doc].score == pytest.approx(1 / np.exp(logs - logs.max()).sum(), abs=1e-6)
+
+
+def test_rare_languages_are_learned(documents):
+    """More classes than any bound on rows leaves room for, one of them with a single text."""
+    rng = random.Random(13)
+    rows = [(k, " ".join("ab"[k % 2] * rng.randint(2, 5) for _ in range(9)), f"l{k % 230:03d}") for k in range(690)] + [(9000, "zzq qzz zqz " * 4, "rare"), (9500, "zqz zzq", None)]
+    docs = documents(rows)
+    texts, langs = D.sample(docs, "text", "doc_id", "lang", 2, 400)
+    held = {r.doc_id for r in docs.filter(D.held_out()).select("doc_id").collect()}
+    assert set(langs) == {lang for k, _, lang in rows if lang and k not in held}
+    assert 9000 not in held and {r.doc_id: r.lang_pred for r in D.identify(docs, language_pieces(), per_language=1, max_bytes=400).collect()}[9500] == "rare"
+
+
 def test_training_raises_the_likelihood():
     rng = random.Random(2)
     texts = [text(rng, 50, "fr") for _ in range(10)]
@@ -108,10 +138,10 @@ def test_sample_is_bounded_and_the_same_for_all_partitions(documents):
     rng = random.Random(9)
     rows = [(k, text(rng, 8, "en"), "en") for k in range(300)] + [(1000 + k, "the same text", "en") for k in range(200)] + [(2000 + k, text(rng, 8, "fr"), f"l{k % 7}") for k in range(70)]
     docs = documents(rows)
-    got = D.sample(docs, "text", "doc_id", "lang", 20, 4, 1 << 20)
-    assert got == D.sample(docs.repartition(5), "text", "doc_id", "lang", 20, 4, 1 << 20)
-    assert got[1].count("en") == 20 and len(set(got[1])) == 4 and len(set(got[0])) == len(got[0])
-    assert sum(len(t) for t in D.sample(docs, "text", "doc_id", "lang", 20, 4, 500)[0]) <= 500
+    got = D.sample(docs, "text", "doc_id", "lang", 20, 1 << 20)
+    assert got == D.sample(docs.repartition(5), "text", "doc_id", "lang", 20, 1 << 20)
+    assert got[1].count("en") == 20 and set(got[1]) == {"en", *(f"l{k}" for k in range(7))} and len(set(got[0])) == len(got[0])
+    assert sum(len(t) for t in D.sample(docs, "text", "doc_id", "lang", 20, 2000)[0]) <= 2000
 
 
 def test_certain_keeps_columns_of_any_name(documents):
