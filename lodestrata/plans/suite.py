@@ -9,47 +9,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, values as X, vocabulary as V
 from ..operators import conflicts, coverage, integrity, presence, scoring, segments as S
 from ..sources import html
-from . import cases
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
+from . import evidence  # noqa: F401  registers its queries
+from .registry import LINES, ORACLES, QUERIES, Tables, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | cases.QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | cases.ORACLES
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["page_coverage"](spark, sf_dir)
 
 
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function of the tables under its name, with its SQL."""
-
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-LINES = "SELECT doc_id, k AS line, list_extract(l, k) AS raw FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents))"
-
-
 @query(
     f"""WITH n AS ({LINES}), m AS (
       SELECT *, trim(raw, ' ' || chr(9)) = '' AS blank, sum(CASE WHEN trim(raw, ' ' || chr(9)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM n
