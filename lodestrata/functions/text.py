@@ -62,8 +62,27 @@ def unknown_heading(c: C) -> Column:
     return found(c, r"\A#+\s+[^\n]{1,80}\z", U) | extra_heading(c)
 
 
+def has_email(c: C) -> Column:
+    """Patterns are tried only where a character that they need is there."""
+    return F.contains(col(c), F.lit("@")) & found(c, V.EMAIL)
+
+
+def has_url(c: C) -> Column:
+    return col(c).rlike(r"/|(?i)www\.") & found(c, V.URL)
+
+
+def has_phone(c: C) -> Column:
+    return col(c).rlike(r"\p{Nd}") & found(c, V.PHONE, U)
+
+
 def has_contact(c: C) -> Column:
-    return found(c, V.EMAIL) | found(c, V.URL) | found(c, V.PHONE, U)
+    return has_email(c) | has_url(c) | has_phone(c)
+
+
+def visible_line_count(c: C) -> Column:
+    """How many lines show something, counted in one pass over the text."""
+    ends = "\\n\\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+    return F.regexp_count(col(c), F.lit(U + rf"[^{ends}]*?[^\s{ends}][^{ends}]*"))
 
 
 def contact_candidate(c: C) -> Column:
@@ -92,7 +111,7 @@ def language(c: C) -> Column:
 
 def date_span(c: C) -> Column:
     """The first date range, else an empty string."""
-    return F.regexp_extract(col(c), I + V.DATE_SPAN, 0)
+    return F.when(col(c).rlike("19|20"), F.regexp_extract(col(c), I + V.DATE_SPAN, 0)).otherwise("")
 
 
 def date_header(c: C) -> Column:

@@ -20,24 +20,33 @@ def line_kind(text: Column) -> Column:
     )
 
 
-def ledger(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """Per source: blocks, segments, segments that a rule has given a kind (accounted), and those of no known kind.
+def ledger(docs: DataFrame, claims: DataFrame, source: str, order: str, text: str) -> DataFrame:
+    """Per source: blocks, visible lines (segments), those that a claim accounts for, and claims of no known kind.
 
-    Segments are counted as visible lines, accounted ones from the kinds; they must agree.
+    ``claims`` (``order``, line, text) come from elsewhere: each is joined back to its document and counts if its line is
+    a visible one there, once. ``complete`` says that no line is left and no claim is beside a line; a source that drops or doubles a claim isn't.
     """
-    lines = F.filter(T.lines(F.col(text)), lambda x: T.strip(x) != "")
-    kind = lambda x: F.when(T.found(T.strip(x), V.BULLET, "(?sU)"), "bullet").when(T.strip(x) != "", "unclassified")
-    rows = docs.select(source, F.size(lines).alias("n"), F.transform(lines, kind).alias("kinds"))
-    of = lambda name: F.size(F.filter("kinds", lambda k: k == name))
-    return rows.groupBy(source).agg(F.count("*").alias("source_blocks"), F.sum("n").alias("segments"), F.sum(of("bullet") + of("unclassified")).alias("accounted_segments"), F.sum(of("unclassified")).alias("unclassified_segments"))
+    lines = docs.select(F.col(source).alias("source"), F.col(order).alias("order"), T.visible_line_count(text).alias("n"), F.transform(T.lines(F.col(text)), lambda x: T.strip(x) != "").alias("shown"))
+    bullet = T.found("text", V.BULLET, "(?sU)")
+    made = claims.withColumn("plain", ~bullet).groupBy(F.col(order).alias("_order")).agg(F.count("*").alias("claims"), F.count_if("plain").alias("plain"), F.collect_set("line").alias("claimed"))
+    both = lines.join(made, F.col("order").eqNullSafe(F.col("_order")), "left")
+    held = F.size(F.filter("claimed", lambda k: F.coalesce(F.get("shown", k - 1), F.lit(False))))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = both.groupBy("source").agg(F.count("*").alias("source_blocks"), F.sum(none("n")).cast("long").alias("segments"), F.sum(none(held)).cast("long").alias("accounted_segments"), F.sum(none("plain")).cast("long").alias("unclassified_segments"), F.sum(none("claims")).alias("_claims"))
+    complete = (F.col("segments") == F.col("accounted_segments")) & (F.col("_claims") == F.col("accounted_segments"))
+    return sums.withColumn("complete", complete).drop("_claims").withColumnRenamed("source", source)
 
 
 def page_coverage(blocks: DataFrame, page: str) -> DataFrame:
-    """Per page: blocks, segments, their kinds; ``complete`` says that the kinds add up to the segments."""
-    lines = S.segments(blocks.filter("seq is not null"), "text", keep=[page, "seq"]).withColumn("kind", line_kind(F.col("text")))
+    """Per page: blocks, segments, their kinds; ``complete`` says that as many lines have a kind as the blocks show, counted on their own."""
+    own = blocks.filter("seq is not null")
+    lines = S.segments(own, "text", keep=[page, "seq"]).withColumn("kind", line_kind(F.col("text")))
     kinds = ["section_candidate", "unsupported_section_candidate", "contact_candidate", "date_candidate", "original_bullet", "unclassified"]
-    counts = lines.groupBy(page).agg(F.count_distinct("seq").alias("blocks"), F.count("*").alias("segments"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    return counts.withColumn("complete", F.col("segments") == sum((F.col(k) for k in kinds), F.lit(0)))
+    per_block = lines.groupBy(page, "seq").agg(F.count("*").alias("segments"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    shown = own.select(F.col(page).alias("_page"), F.col("seq").alias("_seq"), T.visible_line_count("text").alias("shown"))
+    both = shown.join(per_block, F.col("_page").eqNullSafe(F.col(page)) & (F.col("_seq") == F.col("seq")), "left")
+    counts = both.groupBy(F.col("_page").alias(page)).agg(F.count("seq").alias("blocks"), F.sum("segments").alias("segments"), *[F.sum(k).alias(k) for k in kinds], F.sum("shown").alias("_shown"))
+    return counts.withColumn("complete", F.col("_shown") == sum((F.col(k) for k in kinds), F.lit(0))).drop("_shown")
 
 
 def exclusive_coverage(rows: DataFrame, keep: list[str]) -> DataFrame:

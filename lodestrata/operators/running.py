@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def block_of(value: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the sorted ``cuts`` are no larger than a value, by bisection."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(value >= F.lit(cuts[middle]), block_of(value, cuts[middle + 1 :], first + middle + 1)).otherwise(block_of(value, cuts[:middle], first))
+
+
 def sums_before(df: DataFrame, scope: list[str], order: str, value: str, name: str, blocks: int = 256) -> DataFrame:
     """Adds the sum of ``value`` over the rows of the same scope with a smaller ``order``, which is unique in its scope.
 
@@ -15,8 +23,7 @@ def sums_before(df: DataFrame, scope: list[str], order: str, value: str, name: s
     """
     spread = df.filter(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order)).limit(blocks - 1)
     cuts = sorted(r[0] for r in spread.collect())  # ``blocks`` at most
-    inside = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("_block", F.coalesce(inside, F.lit(-1)))
+    rows = df.withColumn("_block", F.when(F.col(order).isNull(), -1).otherwise(block_of(F.col(order), cuts)))
     sums = lambda column, w: F.coalesce(F.sum(column).over(w.rowsBetween(*BEFORE)), F.lit(0))
     keys = [F.col(c).alias(f"_s{k}") for k, c in enumerate(scope)]
     marks = [f"_s{k}" for k in range(len(scope))]

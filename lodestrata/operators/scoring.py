@@ -17,19 +17,29 @@ def coaching_flags(text: str) -> dict[str, Column]:
     return {"has_number": T.found(text, V.NUMBER), "has_ownership": T.found(text, V.OWNERSHIP), "is_vague": T.found(text, V.VAGUE), "is_negative": T.found(text, V.NEGATIVE)}
 
 
+def clauses(text: Column) -> Column:
+    """The clauses of a text without a negation."""
+    return F.filter(F.split(text, V.CLAUSE), lambda c: ~T.found(c, V.NEGATIVE))
+
+
+def roles_in(text: Column, parts: Column, clues: dict[str, str] | None = None) -> Column:
+    """Roles that one of the clauses ``parts`` of a text has a clue for. A clause is looked at only if the text has the clue at all."""
+    given = lambda pattern: T.found(text, pattern) & F.exists(parts, lambda c: T.found(c, pattern))
+    return F.filter(F.array(*[F.when(given(p), F.lit(r)) for r, p in (clues or V.ROLE_CLUES).items()]), lambda r: r.isNotNull())
+
+
 def roles_of(text: Column, clues: dict[str, str] | None = None) -> Column:
     """Roles that a clause of the text has a clue for, unless the clause has a negation."""
-    clues = clues or V.ROLE_CLUES
-    clauses = F.filter(F.split(text, V.CLAUSE), lambda c: ~T.found(c, V.NEGATIVE))
-    given = lambda pattern: F.exists(clauses, lambda c: T.found(c, pattern))
-    return F.filter(F.array(*[F.when(given(p), F.lit(r)) for r, p in clues.items()]), lambda r: r.isNotNull())
+    return roles_in(text, clauses(text), clues)
 
 
 def top_directions(df: DataFrame, scope: str, text: str, requested: Column | None = None, most: int = 3, clues: dict[str, str] | None = None) -> DataFrame:
     """Per scope the ``most`` roles with most evidence, the requested one first, ties in the clues' order: scope, rank, role, n."""
     clues = clues or V.ROLE_CLUES
     order = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(clues) for x in (r, k)]), F.col("role"))
-    counts = df.select(scope, F.explode_outer(roles_of(F.col(text), clues)).alias("role")).filter("role is not null").groupBy(scope, "role").agg(F.count("*").alias("n"))
+    some = "|".join(f"(?:{p})" for p in clues.values())
+    rows = df.filter(T.found(text, some)).select(scope, F.col(text).alias("_text"), clauses(F.col(text)).alias("_clauses"))
+    counts = rows.select(scope, F.explode_outer(roles_in(F.col("_text"), F.col("_clauses"), clues)).alias("role")).filter("role is not null").groupBy(scope, "role").agg(F.count("*").alias("n"))
     asked = F.lit(0) if requested is None else (~F.col("role").eqNullSafe(requested)).cast("int")
     rank = F.row_number().over(Window.partitionBy(scope).orderBy(asked, F.desc("n"), order))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select(scope, "rank", "role", "n")

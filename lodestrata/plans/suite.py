@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T, values as X, vocabulary as V
-from ..operators import conflicts, coverage, integrity, presence, scoring, segments as S
+from ..operators import claims, conflicts, coverage, integrity, presence, reservation, scoring, segments as S
 from ..sources import html
 from . import evidence  # noqa: F401  registers its queries
 from .registry import LINES, ORACLES, QUERIES, Tables, query
@@ -45,12 +45,15 @@ def segment_indent(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT source, trim(raw) AS text FROM ({LINES}) JOIN documents USING (doc_id) WHERE trim(raw) <> '')
-    SELECT source, (SELECT count(*) FROM documents d WHERE d.source = s.source) AS source_blocks, count(*) AS segments, count(*) AS accounted_segments,
-      count(*) FILTER (WHERE NOT regexp_matches(text, '^\\s*(?:[*•●▪◦‣]\\s*|\\d+[.)、]\\s+|-([^\\d.$€£¥]|$)).*$')) AS unclassified_segments FROM s GROUP BY source"""
+    f"""WITH s AS (SELECT source, doc_id, trim(raw) AS text FROM ({LINES}) JOIN documents USING (doc_id) WHERE trim(raw) <> ''), a AS (
+      SELECT source, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(text, '^\\s*(?:[*•●▪◦‣]\\s*|\\d+[.)、]\\s+|-([^\\d.$€£¥]|$)).*$')) AS plain FROM s GROUP BY source), d AS (
+      SELECT source, count(*) AS source_blocks, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\\n]*[^\\s][^\\n]*')), 0)) AS BIGINT) AS segments FROM documents GROUP BY source)
+    SELECT d.source, source_blocks, segments, coalesce(n, 0) AS accounted_segments, coalesce(plain, 0) AS unclassified_segments, segments = coalesce(n, 0) AS complete FROM d LEFT JOIN a USING (source)"""
 )
 def coverage_ledger(t: Tables) -> DataFrame:
-    return coverage.ledger(t.documents, "source", "text")
+    """Documents' visible lines against the claims that the assembly makes of them."""
+    made = claims.assembled_claims(t.documents, "source", "doc_id").select("doc_id", "line", "text")
+    return coverage.ledger(t.documents, made, "source", "doc_id", "text")
 
 
 @query(
@@ -73,7 +76,7 @@ PHONE_SQL = r"(^|[^0-9])((\+\d{1,3}[ .\-]?)?(\(?\d{3}\)?[ .\-]?)?\d{3}[ .\-]\d{4
     SELECT doc_id, line_in_block, has_email, has_url, has_phone, length(text) <= 180 AS contact FROM f WHERE has_email OR has_url OR has_phone"""
 )
 def contact_candidates(t: Tables) -> DataFrame:
-    rows = S.segments(t.documents, keep=["doc_id"]).select("doc_id", "line_in_block", "text", T.found("text", V.EMAIL).alias("has_email"), T.found("text", V.URL).alias("has_url"), T.found("text", V.PHONE, T.U).alias("has_phone"))
+    rows = S.segments(t.documents, keep=["doc_id"]).select("doc_id", "line_in_block", "text", T.has_email("text").alias("has_email"), T.has_url("text").alias("has_url"), T.has_phone("text").alias("has_phone"))
     return rows.filter("has_email or has_url or has_phone").select("doc_id", "line_in_block", "has_email", "has_url", "has_phone", T.contact_candidate("text").alias("contact"))
 
 
@@ -234,18 +237,25 @@ def mapping_exhaustive(t: Tables) -> DataFrame:
     return integrity.exhaustive(required, given, "nation")
 
 
-SHORT_CLUES = {"data": "data|analysis|report", "sense": "tion|ment", "place": "with|avec", "thing": "thing|chose"}
+#: The clues as the other engine writes them: its \\b knows ASCII only.
+CLUES_SQL = {role: p.replace("\\b", r"($|[^\p{L}\p{N}_])") for role, p in V.ROLE_CLUES.items()}
+NEGATIVE_SQL = r"不(会|懂|熟悉|擅长|负责)|没有|未(使用|掌握|负责)|无经验|(^|[^\p{L}\p{N}_])(no|not|never|without|lack|cannot|can.t)($|[^\p{L}\p{N}_])"
 
 
 @query(
-    """WITH c AS (SELECT source, list_filter(regexp_split_to_array(text, '[;\\n]'), lambda x: NOT regexp_matches(x, '(?i)\\b(no|not|never|without|lack|cannot|can.t)\\b')) AS cl FROM documents), r AS (
-      SELECT source, unnest(['data', 'sense', 'place', 'thing']) AS role, unnest([0, 1, 2, 3]) AS ord, unnest(['data|analysis|report', 'tion|ment', 'with|avec', 'thing|chose']) AS p, cl FROM c), h AS (
-      SELECT source, role, ord, count(*) AS n FROM r WHERE len(list_filter(cl, lambda x: regexp_matches(x, '(?i)(' || p || ')'))) > 0 GROUP BY ALL), k AS (
-      SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, ord) AS rank FROM h)
-    SELECT source, CAST(rank AS INT) AS rank, role, n FROM k WHERE rank <= 3"""
+    f"""WITH t AS (SELECT c_nationkey AS scope, c_name || '; ' || c_mktsegment AS text FROM customer UNION ALL SELECT conv_id % 25, role || ': ' || text FROM conversations UNION ALL SELECT doc_id % 25, text FROM documents), c AS (
+      SELECT scope, list_filter(regexp_split_to_array(text, '[。；;\\n]'), lambda x: NOT regexp_matches(x, '(?i){NEGATIVE_SQL}')) AS cl FROM t WHERE regexp_matches(text, '(?i){"|".join(CLUES_SQL.values())}')), r AS (
+      SELECT scope, unnest([{", ".join(f"'{r}'" for r in CLUES_SQL)}]) AS role, unnest(range({len(CLUES_SQL)})) AS ord, unnest([{", ".join(f"'{p}'" for p in CLUES_SQL.values())}]) AS p, cl FROM c), h AS (
+      SELECT scope, role, ord, count(*) AS n FROM r WHERE len(list_filter(cl, lambda x: regexp_matches(x, '(?i)(' || p || ')'))) > 0 GROUP BY ALL), k AS (
+      SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC, ord) AS rank FROM h)
+    SELECT scope, CAST(rank AS INT) AS rank, role, n FROM k WHERE rank <= 3"""
 )
 def top_directions(t: Tables) -> DataFrame:
-    return scoring.top_directions(t.documents, "source", "text", clues=SHORT_CLUES)
+    """What customers' names, turns with their speakers and documents give clues of, by 25 scopes."""
+    names = t.customer.select(F.col("c_nationkey").cast("long").alias("scope"), F.concat("c_name", F.lit("; "), "c_mktsegment").alias("text"))
+    turns = t.conversations.select((F.col("conv_id") % 25).alias("scope"), F.concat("role", F.lit(": "), "text").alias("text"))
+    docs = t.documents.select((F.col("doc_id") % 25).alias("scope"), "text")
+    return scoring.top_directions(names.unionByName(turns).unionByName(docs), "scope", "text")
 
 
 @query(
@@ -285,12 +295,32 @@ def text_presence(t: Tables) -> DataFrame:
     return presence.token_presence(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE i AS (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS whole FROM benchmark), e AS (
+      SELECT item_id, whole, len(l) + 1 AS n_expected, unnest(range(len(l) + 1)) AS k, unnest(list_append(l, whole)) AS want FROM i WHERE whole <> ''
+    ), d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS joined FROM documents), c AS MATERIALIZED (
+      SELECT doc_id, item_id, n_expected, k, string_split(want, ' ') AS want, string_split(d.joined, ' ') AS have FROM d JOIN e ON contains(' ' || d.joined || ' ', ' ' || e.whole || ' ')
+    ), p AS (SELECT doc_id, item_id, k, len(want) AS n, unnest(list_filter(range(1, len(have) - len(want) + 2), lambda x: have[x:x + len(want) - 1] = want)) AS low FROM c), o AS (
+      SELECT *, low + n AS high, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, k, low) AS r FROM p
+    ), g AS (
+      SELECT doc_id, item_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(k BIGINT, low BIGINT, high BIGINT)[]) AS taken FROM o GROUP BY ALL
+      UNION ALL SELECT o.doc_id, o.item_id, o.r, CASE WHEN len(list_filter(taken, lambda x: x.k = o.k OR (x.low < o.high AND x.high > o.low))) > 0 THEN taken ELSE list_append(taken, {{'k': o.k, 'low': o.low, 'high': o.high}}) END
+      FROM g JOIN o ON o.doc_id = g.doc_id AND o.item_id = g.item_id AND o.r = g.r + 1
+    ), z AS (SELECT doc_id, item_id, arg_max(taken, r) AS taken FROM g GROUP BY ALL)
+    SELECT doc_id, item_id AS ord, any_value(n_expected) AS n_expected, string_agg(CASE WHEN len(list_filter(taken, lambda x: x.k = c.k)) = 0 THEN CAST(k AS VARCHAR) END, ',' ORDER BY k) AS missing FROM c JOIN z USING (doc_id, item_id) GROUP BY ALL"""
+)
 def text_coverage_exclusive(t: Tables) -> DataFrame:
-    """For each document that holds an item: how many of the item's lines it has room for, each place used once."""
+    """For each document that holds an item: which of the item's lines, and of the item as a whole, have no place of their own."""
+    lines = F.filter(F.transform(T.lines(F.col("text")), T.collapse), lambda x: x != "")
+    items = t.benchmark.select("item_id", F.array_append(lines, T.collapse("text")).alias("expected")).filter("expected[size(expected) - 1] <> ''")
     hits = presence.token_presence(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
-    wanted = hits.join(t.benchmark.withColumnRenamed("text", "want"), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
-    return coverage.exclusive_coverage(wanted.select("doc_id", F.col("item_id").alias("ord"), F.array_append(T.lines(F.col("want")), F.col("want")).alias("expected"), "text"), ["doc_id", "ord"])
+    wants = items.select("item_id", F.posexplode("expected").alias("k", "want")).select(F.struct("item_id", "k").alias("id"), "want")
+    places = presence.token_places(t.documents, wants, "doc_id", "text", "id", "want").select("doc_id", F.col("id.item_id").alias("item_id"), F.col("id.k").alias("k"), "at", "n")
+    own = places.join(hits, ["doc_id", "item_id"], "left_semi").select(F.struct("doc_id", "item_id").alias("s"), "k", F.col("at").alias("low"), (F.col("at") + F.col("n")).alias("high"))
+    given = reservation.exclusive_places(own, "s", ["k"]).groupBy("s").agg(F.collect_set(F.when(F.col("low").isNotNull(), F.col("k"))).alias("given"))
+    wanted = given.select("s.*", "given").join(items.select("item_id", F.size("expected").alias("n")), "item_id")
+    missing = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "given")
+    return wanted.select("doc_id", F.col("item_id").alias("ord"), F.col("n").cast("long").alias("n_expected"), F.when(F.size(missing) > 0, F.array_join(missing, ",")).alias("missing"))
 
 
 @query("SELECT n_nationkey, n_name || ' lies in ' || r_name || ' {' || n_regionkey || '}' AS value, CAST(NULL AS VARCHAR) AS error FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -210,3 +210,40 @@ def test_merged_cells(spark):
         (1, 0, 0): (0, 0, 2), (1, 0, 1): (0, 1, 3), (1, 0, 3): (0, 3, 1), (1, 1, 0): (0, 0, 2), (1, 1, 1): (0, 1, 3), (1, 1, 3): none,
         (1, 2, 0): (2, 0, 1), (1, 2, 1): (0, 1, 3), (1, 2, 3): none, (1, 4, 0): none, (1, 4, 1): (4, 1, 1), (2, 0, 0): none,
     }
+
+
+def test_the_ledger_sees_dropped_and_doubled_claims(spark):
+    from lodestrata.operators import coverage
+
+    docs = spark.createDataFrame([("a", 1, "one\r\n\n- two three"), ("a", 2, None), ("b", 3, " \t\nx"), ("c", 4, "y\nz")], "source string, doc_id int, text string")
+    made = claims.assembled_claims(docs, "source", "doc_id").select("doc_id", "line", "text")
+    row = lambda c: sorted(map(tuple, coverage.ledger(docs, c, "source", "doc_id", "text").collect()))
+    assert row(made) == [("a", 2, 3, 3, 2, True), ("b", 1, 1, 1, 1, True), ("c", 1, 2, 2, 2, True)]
+    assert [r[-1] for r in row(made.filter("text <> 'z'"))] == [True, True, False]
+    assert [r[-1] for r in row(made.unionByName(made.filter("text = 'x'")))] == [True, False, True]
+    moved = made.withColumn("line", F.when(F.col("text") == "x", 1).otherwise(F.col("line")))
+    assert [r[-1] for r in row(moved)] == [True, False, True]
+
+
+def test_page_coverage_counts_lines_on_its_own(spark):
+    from lodestrata.operators import coverage
+
+    blocks = spark.createDataFrame([(1, 1, "Skills\nPython"), (1, 2, "- a\n\n2019 - 2021"), (2, 1, "x@y.org")], "page_id int, seq int, text string")
+    got = {r.page_id: r for r in coverage.page_coverage(blocks, "page_id").collect()}
+    assert (got[1].blocks, got[1].segments, got[1].section_candidate, got[1].date_candidate, got[1].original_bullet, got[1].unclassified, got[1].complete) == (2, 4, 1, 1, 1, 1, True)
+    assert got[2].contact_candidate == 1 and got[2].complete
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_numbers_stand_for_themselves_only(seed):
+    """A figure is there if it stands between blanks or marks that can't belong to a number; signs, digits, letters and separators beside it make it another."""
+    rng = random.Random(seed)
+    n = str(rng.randint(1, 99_999)) if rng.random() < 0.6 else f"{rng.randint(0, 99)}.{rng.randint(0, 99)}"
+    digit, letter = str(rng.randrange(10)), rng.choice("abXYé_")
+    same = [n, f"({n})", f"{n}.", f"{n},", f"{n}%", f"x {n}\ny", f"/{n}/", f"{n}:", f"数{n}"]
+    other = [f"-{n}", f"+{n}", f".{n}", f"{digit}{n}", f"{n}{digit}", f"{n}{letter}", f"{letter}{n}", f"{digit},{n}", f"{n}.{digit}", f"{n},{digit}", f"−{n}", f"–{n}"]
+    for shown in same:
+        assert matching.is_present(n, f"a {shown} b"), shown
+    for shown in other:
+        assert not matching.is_present(n, f"a {shown} b"), shown
+    assert matching.missing([n, n], f"{rng.choice(same)} and {rng.choice(other)}") == [1]
