@@ -29,8 +29,7 @@ def outlines(docs: DataFrame, scope: str, order: str, text: str) -> DataFrame:
     rows = docs.select(F.col(scope).alias("scope"), F.col(order).alias("order"), F.coalesce(visible_lines(F.col(text)), F.array().cast("array<struct<line:int,text:string>>")).alias("lines"))
     rows = rows.withColumn("starts", section_starts(F.col("lines")))
     counts = rows.select("scope", "order", (F.size("starts") - 1).alias("n_sections"), F.size("lines").alias("n_lines"))
-    counts = running.sums_before(counts, ["scope"], "order", "n_sections", "sections_before")
-    counts = running.sums_before(counts, ["scope"], "order", "n_lines", "claims_before")
+    counts = running.sums_before(counts, ["scope"], "order", {"n_sections": "sections_before", "n_lines": "claims_before"})
     before = counts.select(F.col("scope").alias("_scope"), F.col("order").alias("_order"), "sections_before", "claims_before")
     return rows.join(before, F.col("scope").eqNullSafe(F.col("_scope")) & F.col("order").eqNullSafe(F.col("_order"))).drop("_scope", "_order")
 
@@ -62,6 +61,6 @@ def assembled_sections(docs: DataFrame, scope: str, order: str, wanted: Column,
     """
     rows = _sections(outlines(docs, scope, order, text)).select("scope", "order", "section", F.size("lines").alias("n_lines"), F.get("lines", F.lit(0))["text"].alias("title"))
     rows = rows.withColumn("wanted", wanted).withColumn("one", F.lit(1))
-    ranked = running.sums_before(rows.drop("title"), ["scope", "wanted"], "section", "one", "same")
+    ranked = running.sums_before(rows.drop("title"), ["scope", "wanted"], "section", {"one": "same"})
     name = F.when(F.col("same") == 0, F.col("wanted")).otherwise(F.concat("wanted", F.lit("-"), F.col("same") + 1))
     return ranked.select(F.col("scope").alias(scope), F.col("order").alias(order), "section", "n_lines", name.alias("section_id"))

@@ -15,8 +15,8 @@ def block_of(value: Column, cuts: list, first: int = 0) -> Column:
     return F.when(value >= F.lit(cuts[middle]), block_of(value, cuts[middle + 1 :], first + middle + 1)).otherwise(block_of(value, cuts[:middle], first))
 
 
-def sums_before(df: DataFrame, scope: list[str], order: str, value: str, name: str, blocks: int = 256) -> DataFrame:
-    """Adds the sum of ``value`` over the rows of the same scope with a smaller ``order``, which is unique in its scope.
+def sums_before(df: DataFrame, scope: list[str], order: str, names: dict[str, str], blocks: int = 128) -> DataFrame:
+    """Adds sums over the rows of the same scope with a smaller ``order``, which is unique in its scope; ``names`` maps a value's column to its sum's.
 
     ``blocks`` - 1 values of the order, chosen by their hash, cut it into blocks; totals by scope and block are summed
     up first, then the rows within a scope's block. So no task sees more of a scope than one block. Nulls of the order come first.
@@ -27,11 +27,10 @@ def sums_before(df: DataFrame, scope: list[str], order: str, value: str, name: s
     sums = lambda column, w: F.coalesce(F.sum(column).over(w.rowsBetween(*BEFORE)), F.lit(0))
     keys = [F.col(c).alias(f"_s{k}") for k, c in enumerate(scope)]
     marks = [f"_s{k}" for k in range(len(scope))]
-    totals = rows.groupBy(*keys, F.col("_block").alias("_b")).agg(F.sum(value).alias("_total"))
-    firsts = totals.withColumn("_first", sums("_total", Window.partitionBy(*marks).orderBy("_b"))).drop("_total")
+    totals = rows.groupBy(*keys, F.col("_block").alias("_b")).agg(*[F.sum(v).alias(f"_t_{n}") for v, n in names.items()])
+    firsts = totals.select(*marks, "_b", *[sums(f"_t_{n}", Window.partitionBy(*marks).orderBy("_b")).alias(f"_f_{n}") for n in names.values()])
     same = F.col("_block") == F.col("_b")
     for c, m in zip(scope, marks, strict=True):
         same &= F.col(c).eqNullSafe(F.col(m))
-    own = rows.withColumn("_own", sums(value, Window.partitionBy(*scope, "_block").orderBy(order)))
-    return own.join(firsts, same).withColumn(name, F.col("_own") + F.col("_first")).drop("_block", "_b", "_own", "_first", *marks)
-
+    own = rows.withColumns({f"_o_{n}": sums(v, Window.partitionBy(*scope, "_block").orderBy(order)) for v, n in names.items()})
+    return own.join(firsts, same).select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_f_{n}")).alias(n) for n in names.values()])

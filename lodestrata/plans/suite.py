@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, values as X, vocabulary as V
 from ..operators import claims, conflicts, coverage, integrity, presence, reservation, scoring, segments as S
 from ..sources import html
-from . import evidence  # noqa: F401  registers its queries
+from . import derived, evidence  # noqa: F401  they register their queries
 from .registry import LINES, ORACLES, QUERIES, Tables, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

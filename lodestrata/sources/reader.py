@@ -29,6 +29,7 @@ from .package import ReadError
 
 MOST_BYTES = 10 * 1024 * 1024
 MOST_PAGES = 100
+MOST_ROWS = 2000  # handed over at once; a file's rows stay together
 MOST_OUTPUT = 20 * 1024 * 1024
 LEAST_COVER, LEAST_CHARS, A4_AREA = 0.3, 30, 595 * 842
 
@@ -213,9 +214,13 @@ def extract_files(files: DataFrame, path: str = "path", content: str = "content"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows: list[tuple] = []
             for p, c in zip(frame["path"], frame["content"], strict=True):
-                out = pd.DataFrame(_rows(p, None if c is None else bytes(c), most_bytes), columns=names)
-                yield out.astype({"seq": "Int32"})
+                rows += _rows(p, None if c is None else bytes(c), most_bytes)
+                if len(rows) >= MOST_ROWS:
+                    yield pd.DataFrame(rows, columns=names).astype({"seq": "Int32"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=names).astype({"seq": "Int32"})
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
 

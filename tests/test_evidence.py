@@ -112,9 +112,9 @@ def test_token_places_in_both_ways(spark):
 @pytest.mark.parametrize("blocks", [1, 3, 256])
 def test_sums_before(spark, blocks):
     rng = random.Random(blocks)
-    rows = [(rng.choice([None, "a", "b", "b", "b"]), k, rng.randint(0, 5)) for k in range(300)]
-    got = running.sums_before(spark.createDataFrame(rows, "s string, o int, v int"), ["s"], "o", "v", "before", blocks).collect()
-    assert len(got) == 300 and all(r.before == sum(v for s, o, v in rows if s == r.s and o < r.o) for r in got)
+    rows = [(rng.choice([None, "a", "b", "b", "b"]), k, rng.randint(0, 5), 1) for k in range(300)]
+    got = running.sums_before(spark.createDataFrame(rows, "s string, o int, v int, w int"), ["s"], "o", {"v": "before", "w": "more"}, blocks).collect()
+    assert len(got) == 300 and all(r.before == sum(v for s, o, v, _ in rows if s == r.s and o < r.o) and r.more == sum(s == r.s and o < r.o for s, o, _, _ in rows) for r in got)
 
 
 def test_assembled_claims_and_sections(spark):
