@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, values as X, vocabulary as V
 from ..operators import claims, coaching, conflicts, fields, integrity, pages, render, segments as S
-from ..sources import reader
+from ..sources import html, reader
 from .registry import LINES, Tables, query
 
 
@@ -383,3 +383,62 @@ def image_headers(t: Tables) -> DataFrame:
     files = t.part.select(F.concat(F.col("p_partkey"), F.lit(".png")).alias("path"), png(w, h).alias("content"))
     found = reader.extract_files(files)
     return found.select(F.split("path", r"\.")[0].cast("long").alias("id"), "status", F.get_json_object("details", "$.image_dimensions").alias("size"))
+
+
+def marked_file(key: int, segment: str, nation: int) -> bytes:
+    """A link, written in one of three ways, a paragraph that may be a list item, and a table whose first column may be merged."""
+    names = f'xmlns:w="{WORD_NS}" xmlns:r="{REL_NS}"'
+    run = lambda x: f"<w:r><w:t>{escape(x)}</w:t></w:r>"
+    field = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
+    target = f"https://b.org/{key}"
+    links = [
+        f'{field("begin")}<w:r><w:instrText>HYPERLINK "{target}" \\o "tip"</w:instrText></w:r>{field("separate")}{run("here")}{field("end")}',
+        f'<w:fldSimple w:instr="HYPERLINK &quot;{target}&quot;">{run("here")}</w:fldSimple>',
+        f'<w:hyperlink r:id="r1">{run("here")}</w:hyperlink>',
+    ]
+    numbered = f'<w:pPr><w:numPr><w:ilvl w:val="{nation}"/><w:numId w:val="3"/></w:numPr></w:pPr>' if key % 2 else ""
+    cell = lambda x, properties="": f"<w:tc><w:tcPr>{properties}</w:tcPr><w:p>{run(x)}</w:p></w:tc>"
+    merge = lambda value: f"<w:vMerge{value}/>" if key % 2 == 0 else ""
+    restart, wide = merge(' w:val="restart"'), '<w:gridSpan w:val="2"/>'
+    table = f"<w:tbl><w:tr>{cell(segment, restart)}{cell('x', wide)}</w:tr><w:tr>{cell('w', merge(''))}{cell('y')}{cell('z')}</w:tr></w:tbl>"
+    body = f"<w:p>{run('see ')}{links[key % 3]}</w:p><w:p>{numbered}{run(segment)}</w:p>{table}"
+    return zipped(
+        [
+            ("[Content_Types].xml", '<Types><Override PartName="/word/document.xml"/></Types>'),
+            ("word/_rels/document.xml.rels", f'<Relationships><Relationship Id="r1" Target="{target}" TargetMode="External"/></Relationships>'),
+            ("word/document.xml", f"<w:document {names}><w:body>{body}</w:body></w:document>"),
+        ]
+    )
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS s, c_nationkey AS n, c_custkey % 2 = 0 AS merged FROM customer)
+    SELECT id, 1 AS seq, 'see here' AS text, 'https://b.org/' || id AS target, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS place, CAST(NULL AS VARCHAR) AS spans, CAST(NULL AS VARCHAR) AS origin FROM c
+    UNION ALL SELECT id, 2, s, NULL, CASE WHEN NOT merged THEN CAST(n AS VARCHAR) END, NULL, NULL, NULL FROM c
+    UNION ALL SELECT id, 3, s, NULL, NULL, '1,1', CASE WHEN merged THEN '2,1' ELSE '1,1' END, NULL FROM c
+    UNION ALL SELECT id, 4, 'x', NULL, NULL, '1,2', '1,2', NULL FROM c
+    UNION ALL SELECT id, 5, 'w', NULL, NULL, '2,1', '1,1', CASE WHEN merged THEN '[1,1]' END FROM c
+    UNION ALL SELECT id, 6, 'y', NULL, NULL, '2,2', '1,1', NULL FROM c UNION ALL SELECT id, 7, 'z', NULL, NULL, '2,3', '1,1', NULL FROM c"""
+)
+def package_places(t: Tables) -> DataFrame:
+    """Customers as Word files with a link, a list and a table, read back with the place of every block."""
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series, segment: pd.Series, nation: pd.Series) -> pd.Series:
+        return pd.Series([marked_file(*x) for x in zip(key.tolist(), segment, nation.tolist(), strict=True)])
+
+    files = t.customer.select(F.concat(F.col("c_custkey"), F.lit(".docx")).alias("path"), made("c_custkey", "c_mktsegment", "c_nationkey").alias("content"))
+    at = lambda name: F.get_json_object("locator", f"$.{name}")
+    pair = lambda a, b: F.when(at("row").isNotNull(), F.concat(at(a), F.lit(","), at(b)))
+    found = reader.extract_files(files)
+    return found.select(F.split("path", r"\.")[0].cast("long").alias("id"), "seq", "text", F.get_json_object("links", "$[0].target").alias("target"), at("numbering_level").alias("level"), pair("row", "column").alias("place"), pair("row_span", "column_span").alias("spans"), at("merge_origin").alias("origin"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS target, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS text FROM pages)
+    SELECT page_id, replace(target, '&amp;', '&') AS target, replace(text, '&amp;', '&') AS text, count(*) AS n FROM l GROUP BY ALL"""
+)
+def page_links(t: Tables) -> DataFrame:
+    """Every page's links that are shown."""
+    links = html.html_blocks(t.pages, keep=["page_id"]).select("page_id", F.explode("links").alias("link"))
+    return links.filter(T.readable_link(F.col("link.target"))).groupBy("page_id", F.col("link.target").alias("target"), F.col("link.text").alias("text")).agg(F.count("*").alias("n"))
