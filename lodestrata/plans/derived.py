@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, values as X, vocabulary as V
-from ..operators import claims, coaching, conflicts, fields, integrity, pages, render, segments as S
+from ..operators import claims, coaching, conflicts, fields, integrity, pages, profile as P, render, segments as S
 from ..sources import html, reader
 from .registry import LINES, Tables, query
 
@@ -442,3 +442,64 @@ def page_links(t: Tables) -> DataFrame:
     """Every page's links that are shown."""
     links = html.html_blocks(t.pages, keep=["page_id"]).select("page_id", F.explode("links").alias("link"))
     return links.filter(T.readable_link(F.col("link.target"))).groupBy("page_id", F.col("link.target").alias("target"), F.col("link.text").alias("text")).agg(F.count("*").alias("n"))
+
+
+# Profiles
+
+
+def profiles(t: Tables) -> DataFrame:
+    """A profile per customer: its orders are the entries of the first section, the second is empty."""
+    entry = F.struct(F.concat(F.lit("Order "), "o_orderkey").alias("heading"), F.year("o_orderdate").cast("string").alias("date"), F.array("o_orderpriority").alias("bullets"))
+    told = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.struct("o_orderkey", entry.alias("e")).alias("o")).groupBy("c_custkey").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["e"]).alias("entries"))
+    none = F.array().cast(P.SECTION["entries"].dataType)
+    rows = t.customer.join(told, "c_custkey", "left").withColumn("entries", F.coalesce("entries", none))
+    section = lambda key, title, entries: F.struct(F.lit(key).alias("id"), F.lit(title).alias("title"), entries.alias("entries"))
+    f, text = F.col("c_custkey") % 6, F.lit(None).cast("string")
+    values = {
+        "language": F.when(f == 4, "fr").otherwise("en"),
+        "role": text,
+        "name": F.when(f == 2, " ").otherwise(F.col("c_name")),
+        "headline": F.when(f == 5, "TBD").when(f == 1, "").otherwise(F.col("c_mktsegment")),
+        "contacts": F.array(F.concat(F.lit("c"), "c_custkey", F.lit("@b.org"))),
+        "facts_confirmed": f != 1,
+        "sections": F.array(section("experience", "Experience", F.col("entries")), section("skills", "Skills", none)),
+        "example_notice": text,
+    }
+    return rows.select(F.col("c_custkey").alias("id"), F.struct(*[c.alias(n) for n, c in values.items()]).alias("profile"))
+
+
+PROFILES_SQL = """c AS (SELECT c_custkey AS id, c_custkey % 6 AS f, CASE WHEN c_custkey % 6 = 2 THEN ' ' ELSE c_name END AS name, CASE c_custkey % 6 WHEN 5 THEN 'TBD' WHEN 1 THEN '' ELSE c_mktsegment END AS headline, 'c' || c_custkey || '@b.org' AS contact FROM customer), e AS (
+      SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, 'Order ' || o_orderkey AS heading, CAST(year(o_orderdate) AS VARCHAR) AS date, o_orderpriority AS bullet FROM orders WHERE o_custkey IN (SELECT id FROM c))"""
+
+
+@query(
+    f"""WITH {PROFILES_SQL}, a AS (SELECT id, 0 AS ord, 'name' AS path, name AS value FROM c UNION ALL SELECT id, 1, 'headline', headline FROM c UNION ALL SELECT id, 2, 'contacts[0]', contact FROM c
+      UNION ALL SELECT DISTINCT id, 3, 'sections[0].title', 'Experience' FROM e UNION ALL SELECT id, 4 + 3 * k, 'sections[0].entries[' || k || '].heading', heading FROM e
+      UNION ALL SELECT id, 5 + 3 * k, 'sections[0].entries[' || k || '].date', date FROM e UNION ALL SELECT id, 6 + 3 * k, 'sections[0].entries[' || k || '].bullets[0]', bullet FROM e)
+    SELECT id, CAST(ord AS INT) AS ord, path, value FROM a"""
+)
+def visible_fields(t: Tables) -> DataFrame:
+    """What a reader of each profile sees, with paths and in order."""
+    return P.visible_fields(profiles(t), keep=["id"])
+
+
+@query(
+    f"""WITH {PROFILES_SQL}, t AS (SELECT id, string_agg(chr(10) || chr(10) || heading || ' | ' || date || chr(10) || '- ' || bullet, '' ORDER BY k) AS body FROM e GROUP BY id)
+    SELECT id, CASE WHEN trim(name) <> '' THEN name || chr(10) ELSE '' END || CASE WHEN headline <> '' THEN headline || chr(10) ELSE '' END || contact || CASE WHEN body IS NOT NULL THEN chr(10) || chr(10) || 'Experience' || body ELSE '' END || chr(10) AS text FROM c LEFT JOIN t USING (id)"""
+)
+def rendered_profiles(t: Tables) -> DataFrame:
+    """Profiles as plain text; sections without entries are left out."""
+    return profiles(t).select("id", render.rendered(F.to_json("profile"), "text").alias("text"))
+
+
+@query(
+    f"""WITH {PROFILES_SQL}, b AS (SELECT id, f, id IN (SELECT id FROM e) AS told FROM c), r AS (
+      SELECT id, list_filter(CASE f WHEN 2 THEN [{{'path': 'name', 'rule': 'must be a non-empty string'}}] WHEN 3 THEN [{{'path': 'x', 'rule': 'unknown field'}}] WHEN 4 THEN [{{'path': 'language', 'rule': 'must be zh or en'}}]
+        ELSE [CASE WHEN f = 1 THEN {{'path': 'facts_confirmed', 'rule': 'facts not confirmed'}} END, CASE WHEN NOT told THEN {{'path': 'sections', 'rule': 'no content'}} END, CASE WHEN f = 5 THEN {{'path': 'headline', 'rule': 'unresolved placeholder'}} END] END, lambda x: x IS NOT NULL) AS l FROM b)
+    SELECT id, CAST(k - 1 AS INT) AS ord, l[k].path AS path, l[k].rule AS rule FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS k FROM r)"""
+)
+def profile_breaches(t: Tables) -> DataFrame:
+    """Every rule that a profile breaks before it may be published, in the order of the rules."""
+    text = F.to_json("profile")
+    rows = profiles(t).select("id", F.when(F.col("id") % 6 == 3, F.regexp_replace(text, r"^\{", '{"x":1,')).otherwise(text).alias("profile"))
+    return P.validate(rows, keep=["id"])
