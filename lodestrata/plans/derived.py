@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, values as X, vocabulary as V
-from ..operators import claims, coaching, conflicts, fields, integrity, pages, profile as P, render, segments as S
+from ..operators import claims, classify, coaching, conflicts, fields, integrity, pages, profile as P, render, segments as S
 from ..sources import html, reader
 from .registry import LINES, Tables, query
 
@@ -106,14 +106,14 @@ def escaped_lines(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS switch, p_partkey % 5 <> 3 AS identifier, p_partkey % 5 = 4 AS bad, p_partkey % 5 IN (0, 2) AS risky FROM part"""
+    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS switch, p_partkey % 5 <> 3 AS identifier, p_partkey % 5 = 4 AS bad, p_partkey % 5 IN (0, 2) AS risky, p_partkey % 3 = 1 AS layout FROM part"""
 )
 def text_rules(t: Tables) -> DataFrame:
     """Switches, identifiers, texts that must not be blank, and lines that may be columns."""
     k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
     w = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    rows = t.part.select(k.alias("id"), pick(k, "TRUE", "off", F.lit(None).cast("string"), "perhaps", "2").alias("s"), pick(k, w("p_", n), w("p-", n), w("p", n), w("P", n), w("a", n)).alias("i"), pick(k, "a", " b ", "c\td", w("x", n), " \n ").alias("b"), pick(k, w("left ", n, "    right"), w("Works ", n, "    2019-2021"), w("first\na", n, "     b     c"), w("   ", n, "   Mar 2020 - 现在"), n).alias("c"))
-    return rows.select("id", T.on_off("s").alias("switch"), T.identifier("i").alias("identifier"), T.bad_text("b", allow_empty=False).alias("bad"), T.possible_columns("c").alias("risky"))
+    rows = t.part.select(k.alias("id"), pick(k, "TRUE", "off", F.lit(None).cast("string"), "perhaps", "2").alias("s"), pick(k, w("p_", n), w("p-", n), w("p", n), w("P", n), w("a", n)).alias("i"), pick(k, "a", " b ", "c\td", w("x", n), " \n ").alias("b"), pick(k, w("left ", n, "    right"), w("Works ", n, "    2019-2021"), w("first\na", n, "     b     c"), w("   ", n, "   Mar 2020 - 现在"), n).alias("c"), F.array(F.lit("encoding guessed"), pick(k, "text order on a page is that of its layout, not proof of the reading order", "page 1 has possible columns", "")).alias("n"))
+    return rows.select("id", T.on_off("s").alias("switch"), T.identifier("i").alias("identifier"), T.bad_text("b", allow_empty=False).alias("bad"), T.possible_columns("c").alias("risky"), T.layout_risk("n").alias("layout"))
 
 
 @query(
@@ -281,16 +281,16 @@ PARAGRAPHS = f"""n AS ({LINES}), m AS (
 
 
 @query(
-    f"""WITH {PARAGRAPHS}, f AS (SELECT doc_id, doc_id % 6 AS f, CASE WHEN doc_id % 6 = 5 THEN 'unsupported' WHEN doc_id % 6 = 4 THEN 'error' WHEN regexp_matches(text, '{CONTROL}') THEN 'error' WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'partial' ELSE 'extracted' END AS status FROM documents WHERE text IS NOT NULL)
-    SELECT f.doc_id, ['txt', 'md', 'markdown', 'txt', 'json', 'xyz'][f + 1] AS format, status, CASE f WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-32' WHEN 4 THEN 'utf-8' END AS encoding, CAST(p.seq AS INT) AS seq, p.text
+    f"""WITH {PARAGRAPHS}, f AS (SELECT doc_id, doc_id % 7 AS f, CASE WHEN doc_id % 7 = 6 THEN 'needs_dependency' WHEN doc_id % 7 = 5 THEN 'unsupported' WHEN doc_id % 7 = 4 THEN 'error' WHEN regexp_matches(text, '{CONTROL}') THEN 'error' WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'partial' ELSE 'extracted' END AS status FROM documents WHERE text IS NOT NULL)
+    SELECT f.doc_id, ['txt', 'md', 'markdown', 'txt', 'json', 'xyz', 'rtf'][f + 1] AS format, status, CASE f WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-32' WHEN 4 THEN 'utf-8' END AS encoding, CAST(p.seq AS INT) AS seq, p.text
     FROM f LEFT JOIN p ON p.doc_id = f.doc_id AND f.status = 'extracted'"""
 )
 def source_files(t: Tables) -> DataFrame:
     """Documents as files in several encodings and formats, read back: blocks, or why there are none."""
     mark = lambda name, order: F.concat(F.lit(bytearray(order)), F.encode("text", name))
-    f = F.col("doc_id") % 6
+    f = F.col("doc_id") % 7
     content = F.when(f == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.col("text").cast("binary"))).when(f == 2, mark("UTF-16LE", b"\xff\xfe")).when(f == 3, mark("UTF-32", b"\x00\x00\xfe\xff")).otherwise(F.col("text").cast("binary"))
-    files = t.documents.filter("text is not null").select(F.concat(F.col("doc_id"), F.lit("."), pick(F.col("doc_id"), "txt", "md", "markdown", "txt", "json", "xyz")).alias("path"), content.alias("content"))
+    files = t.documents.filter("text is not null").select(F.concat(F.col("doc_id"), F.lit("."), pick(F.col("doc_id"), "txt", "md", "markdown", "txt", "json", "xyz", "rtf")).alias("path"), content.alias("content"))
     found = reader.extract_files(files)
     return found.select(F.split("path", r"\.")[0].cast("long").alias("doc_id"), "format", "status", F.get_json_object("details", "$.encoding").alias("encoding"), "seq", "text")
 
@@ -503,3 +503,64 @@ def profile_breaches(t: Tables) -> DataFrame:
     text = F.to_json("profile")
     rows = profiles(t).select("id", F.when(F.col("id") % 6 == 3, F.regexp_replace(text, r"^\{", '{"x":1,')).otherwise(text).alias("profile"))
     return P.validate(rows, keep=["id"])
+
+
+# The classifier
+
+
+def told_lives(t: Tables) -> DataFrame:
+    """A text per customer, as one block: name, contact, its orders under a heading, skills, and a section of no known kind."""
+    word = F.initcap(F.lower("c_mktsegment"))
+    w = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    y = F.year("o_orderdate").cast("string")
+    entry = w("\nWorks ", F.col("o_orderstatus"), "\n", y, "-", (F.year("o_orderdate") + 2).cast("string"), "\n- Sold order ", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "\n  and the rest").otherwise(""))
+    told = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda o: o["e"]), "").alias("told"))
+    rows = t.customer.join(told, "c_custkey", "left")
+    text = w("Mira ", word, "\nc", F.col("c_custkey"), "@b.org\nWork Experience", F.coalesce("told", F.lit("")), "\nSkills\n- ", word, "\nAwards\nPrize ", F.col("c_custkey"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("c_custkey").cast("string").alias("source_id"), F.lit(1).alias("seq"), F.lit("b1").alias("block_id"), text.alias("text"), F.lit("{}").alias("locator"), F.lit("[]").alias("links"), F.lit("en").alias("language"), F.array().cast("array<string>").alias("warnings"), none.alias("path"))
+
+
+LIVES_SQL = """c AS (SELECT c_custkey AS id, upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) AS word FROM customer), e AS (
+      SELECT o_custkey AS id, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, 'Works ' || o_orderstatus AS heading, year(o_orderdate) || '-' || (year(o_orderdate) + 2) AS date FROM orders WHERE o_custkey IN (SELECT id FROM c))"""
+
+
+@query(
+    f"""WITH {LIVES_SQL}, l AS (
+      SELECT id, 0 AS a, 0 AS b, 'name_candidate' AS interpretation, 'name' AS paths, CAST(NULL AS VARCHAR) AS reason FROM c UNION ALL SELECT id, 1, 0, 'contact_candidate', 'contacts[0]', NULL FROM c UNION ALL SELECT id, 2, 0, 'section_candidate', 'sections[0].title', NULL FROM c
+      UNION ALL SELECT id, 3 + k, 0, 'entry_heading_candidate', 'sections[0].entries[' || k || '].heading', NULL FROM e UNION ALL SELECT id, 3 + k, 1, 'date_candidate', 'sections[0].entries[' || k || '].date', NULL FROM e
+      UNION ALL SELECT id, 3 + k, 2, 'original_bullet', 'sections[0].entries[' || k || '].bullets[0]', NULL FROM e UNION ALL SELECT id, 3 + k, 3, 'continuation_candidate', 'sections[0].entries[' || k || '].bullets[0]', NULL FROM e WHERE o % 2 = 0
+      UNION ALL SELECT id, 1000000, 0, 'section_candidate', 'sections[1].title', NULL FROM c UNION ALL SELECT id, 1000000, 1, 'original_bullet', 'sections[1].entries[0].bullets[0]', NULL FROM c
+      UNION ALL SELECT id, 1000000, 2, 'unsupported_section_candidate', 'sections[2].title', 'unsupported_section_heading' FROM c UNION ALL SELECT id, 1000000, 3, 'unclassified', 'sections[2].entries[0].bullets[0]', 'not_classified' FROM c)
+    SELECT CAST(id AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY id ORDER BY a, b) AS INT) AS seq, interpretation, paths, reason FROM l"""
+)
+def classified_lines(t: Tables) -> DataFrame:
+    """What the classifier makes of every line of the customers' texts."""
+    found = classify.claims(told_lives(t))
+    return found.select("source_id", "seq", "interpretation", F.array_join("resume_paths", ",").alias("paths"), F.col("remaining_reason").alias("reason"))
+
+
+@query(
+    f"""WITH {LIVES_SQL}, a AS (
+      SELECT id, 'name' AS path, 'Mira ' || word AS value FROM c UNION ALL SELECT id, 'headline', '' FROM c UNION ALL SELECT id, 'contacts[0]', 'c' || id || '@b.org' FROM c
+      UNION ALL SELECT DISTINCT id, 'sections[0].title', 'Experience' FROM e UNION ALL SELECT id, 'sections[0].entries[' || k || '].heading', heading FROM e UNION ALL SELECT id, 'sections[0].entries[' || k || '].date', date FROM e
+      UNION ALL SELECT id, 'sections[0].entries[' || k || '].bullets[0]', 'Sold order ' || o || CASE WHEN o % 2 = 0 THEN ' and the rest' ELSE '' END FROM e
+      UNION ALL SELECT id, unnest(['sections[1].title', 'sections[1].entries[0].heading', 'sections[1].entries[0].date', 'sections[1].entries[0].bullets[0]', 'sections[2].title', 'sections[2].entries[0].heading', 'sections[2].entries[0].date', 'sections[2].entries[0].bullets[0]']),
+        unnest(['Skills', '', '', word, 'Awards', '', '', 'Prize ' || id]) FROM c)
+    SELECT CAST(id AS VARCHAR) AS source_id, path, value FROM a"""
+)
+def classified_fields(t: Tables) -> DataFrame:
+    """The drafts that come of the customers' texts, field by field."""
+    drafts = classify.profiles(told_lives(t)).select("source_id", P.as_struct("profile").alias("profile"))
+    return P.visible_fields(drafts, keep=["source_id"]).drop("ord")
+
+
+@query(
+    rf"""WITH {PROFILES_SQL}, x AS (SELECT id, replace(name, '#', '\#') AS name, headline, contact FROM c), t AS (SELECT id, string_agg(chr(10) || '\textbf{{' || heading || '}}\par' || chr(10) || date || '\par' || chr(10) || '\begin{{itemize}}' || chr(10) || '\item ' || bullet || chr(10) || '\end{{itemize}}', '' ORDER BY k) AS body FROM e GROUP BY id)
+    SELECT id, '\documentclass[literaltext]{{resume}}' || chr(10) || '\begin{{document}}' || chr(10) || '\pagenumbering{{gobble}}' || chr(10) || '\raggedright' || CASE WHEN trim(name) <> '' THEN chr(10) || '\name{{' || name || '}}' ELSE '' END
+      || chr(10) || '{{\centering\small' || chr(10) || contact || '\par' || chr(10) || '}}\vspace{{0.7ex}}' || CASE WHEN headline <> '' THEN chr(10) || '{{\centering ' || headline || '\par}}\vspace{{0.6ex}}' ELSE '' END
+      || CASE WHEN body IS NOT NULL THEN chr(10) || '\section{{Experience}}' || body ELSE '' END || chr(10) || '\end{{document}}' || chr(10) AS tex FROM x LEFT JOIN t USING (id)"""
+)
+def tex_profiles(t: Tables) -> DataFrame:
+    """Profiles as TeX, in the plain theme."""
+    return profiles(t).select("id", render.rendered(F.to_json("profile"), "tex-plain").alias("tex"))
