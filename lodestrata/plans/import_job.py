@@ -29,7 +29,7 @@ def languages(blocks: DataFrame) -> DataFrame:
 
 def _part(source_id: str, frame: pd.DataFrame, language: str) -> tuple:
     warnings = list(frame["warnings"].iloc[0] if frame["warnings"].iloc[0] is not None else [])
-    blocks = classify._blocks(frame)
+    blocks = classify._blocks(frame.to_dict("records"))
     details = json.loads(frame["details"].iloc[0] or "{}")
     if given := details.get("structured_profile"):
         lines = [x for b in blocks for x in classify.split_lines(b["block_id"], b["text"], b["locator"], b["links"])]
