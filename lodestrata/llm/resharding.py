@@ -2,17 +2,17 @@
 
 Old shards are cut into blocks by a hash of the row number; only the blocks'
 byte and row totals (``blocks`` per old shard at most) come to the driver. A
-transportation problem from old shard sizes to new capacities, where a byte that
-stays costs nothing and a byte that moves costs one, says how many bytes go from
-each old shard to each new one. An old shard's rows, in block order, are then
-dealt out by byte position: what stays comes first, each transfer takes the next
-stretch, so whole blocks move and only those at a cut are divided.
+transportation problem from the blocks' bytes to new capacities, where a byte that
+stays costs nothing and a byte that moves costs one, says how many bytes of each
+block go to each new shard. A block that goes to one shard goes whole; the few that
+the flow divides are dealt out row by row, by byte position: what stays comes first,
+each transfer takes the next stretch. An old shard's first blocks stay, so that what stays
+keeps its place there; what comes in follows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,43 +25,62 @@ BLOCKS, ROWS_A_BLOCK = (256, 32_768), 200_000
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
     """Cheapest flow of all supplies into the capacities, by successive shortest paths.
 
-    Every path found fills a supply, a capacity or a residual edge, so the number of
-    rounds doesn't depend on the amounts.
+    Made for many supplies, few capacities and few different rows of costs: a path leads from
+    a supply over capacities, each of which passes flow on that it holds, and supplies of
+    equal costs pass it on alike. Paths of one step at a supply's least cost come first.
+    Every path fills a supply or a capacity, or takes all that a supply has in a capacity, so the
+    number of paths doesn't depend on the amounts.
     """
     if sum(supply) > sum(capacity):
         raise ValueError("the capacities are too small")
-    n, m = len(supply), len(capacity)
-    flow = [[0] * m for _ in range(n)]
+    shards = range(len(capacity))
+    costs = [tuple(c) for c in cost]
+    flow = [[0] * len(capacity) for _ in supply]
     left, room = list(supply), list(capacity)
-    far = float("inf")
-    while any(left):
-        dist = [0 if x else far for x in left] + [far] * m
-        back: list[int | None] = [None] * (n + m)
-        changed = True
-        while changed:
-            changed = False
-            for i in range(n):
-                for j in range(m):
-                    if dist[i] + cost[i][j] < dist[n + j]:
-                        dist[n + j], back[n + j], changed = dist[i] + cost[i][j], i, True
-                    if flow[i][j] and dist[n + j] - cost[i][j] < dist[i]:
-                        dist[i], back[i], changed = dist[n + j] - cost[i][j], n + j, True
-        end = min((n + j for j in range(m) if room[j]), key=lambda v: dist[v])
-        path, v = [end], end
-        while back[v] is not None:
-            v = back[v]
-            path.append(v)
-        amount = min(left[v], room[end - n])
-        for b, a in zip(path, path[1:], strict=False):
-            if a >= n:
-                amount = min(amount, flow[b][a - n])
-        for b, a in zip(path, path[1:], strict=False):
-            if a < n:
-                flow[a][b - n] += amount
-            else:
-                flow[b][a - n] -= amount
-        left[v] -= amount
-        room[end - n] -= amount
+    held: list[dict[tuple, list[int]]] = [{} for _ in shards]  # by capacity and costs: the supplies with flow there
+
+    def put(i: int, j: int, amount: int) -> None:
+        if not flow[i][j]:
+            held[j].setdefault(costs[i], []).append(i)
+        flow[i][j] += amount
+
+    def take(i: int, j: int, amount: int) -> None:  # i is the last of its list
+        flow[i][j] -= amount
+        if not flow[i][j]:
+            held[j][costs[i]].pop()
+
+    for i, own in enumerate(costs):
+        for j in shards:
+            amount = min(left[i], room[j])
+            if amount and own[j] == min(own):
+                put(i, j, amount)
+                left[i] -= amount
+                room[j] -= amount
+    for i, own in enumerate(costs):
+        while left[i]:
+            dist, back = list(own), [None] * len(capacity)
+            changed = True
+            while changed:
+                changed = False
+                for a in shards:
+                    for kind, ids in held[a].items():
+                        for b in shards if ids else ():
+                            if dist[a] + kind[b] - kind[a] < dist[b]:
+                                dist[b], back[b], changed = dist[a] + kind[b] - kind[a], (a, ids[-1]), True
+            end = v = min((j for j in shards if room[j]), key=lambda j: dist[j])
+            steps = []
+            while back[v]:
+                a, k = back[v]
+                steps.append((k, a, v))
+                v = a
+            amount = min(left[i], room[end], *(flow[k][a] for k, a, _ in steps))
+            for k, a, _ in steps:
+                take(k, a, amount)
+            for k, _, b in steps:
+                put(k, b, amount)
+            put(i, v, amount)
+            left[i] -= amount
+            room[end] -= amount
     return flow
 
 
@@ -69,9 +88,12 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def plan_transfers(sizes: list[int], shards: int) -> list[list[int]]:
-    """Bytes from each old shard to each of ``shards`` even new ones. Shard j of the old layout is shard j of the new one."""
-    cost = [[int(i != j) for j in range(shards)] for i in range(len(sizes))]
+def plan_transfers(sizes: list[int], shards: int, olds: list[int] | None = None) -> list[list[int]]:
+    """Bytes from each block to each of ``shards`` even new shards.
+
+    Block i lies in old shard ``olds[i]``, by default i: a block a shard. Shard j of the old layout is shard j of the new one.
+    """
+    cost = [[int(i != j) for j in range(shards)] for i in (range(len(sizes)) if olds is None else olds)]
     return min_cost_flow(sizes, even_capacities(sum(sizes), shards), cost)
 
 
@@ -80,7 +102,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 8
 
     ``old_shard`` gives 0 to ``old_shards`` - 1. Returns, for every row, the id,
     size (UTF-8 bytes + 1; null text: 1), text_crc32, law ``bytes``, shard, slot
-    (gapless from 0 in each shard), grown_shard (null), old_shard and moved. Shards
+    (gapless from 0 in each shard), grown_shard (null), old_shard, moved, block and old_slot (the
+    row's place in its old shard, in block order; a row that isn't moved keeps it as its slot). Shards
     differ from their capacity by half of the rows at the cuts at most. Repeated
     rows, ties, null ids and null texts are rows like all others, and a very long text moves
     as one row; an empty table gives no rows; other columns are ignored.
@@ -94,45 +117,48 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 8
     kept = F.coalesce(F.col(place(docs, text)), F.lit(""))
     rows = scratch.save(own.select(F.col(place(docs, id_col)).alias("id"), (F.octet_length(kept) + 1).cast("long").alias("size"), F.crc32(kept.cast("binary")).alias("crc"), F.col(own.columns[-1]).alias("old"), F.monotonically_increasing_id().alias("row")))
     blocks = blocks or min(BLOCKS[1], max(BLOCKS[0], rows.count() // (old_shards * ROWS_A_BLOCK)))
-    saved, rows = rows, rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     # at most old_shards * blocks rows
     totals = sorted(tuple(r) for r in rows.groupBy("old", "block").agg(F.sum("size"), F.count("*")).collect())
     if any(t[0] is None or not 0 <= t[0] < old_shards for t in totals):
         raise ValueError("old_shard is out of range")
-    sizes, before = [0] * old_shards, []
-    counts = [0] * old_shards
-    for old, block, size, n in totals:
-        before.append((old, block, sizes[old], counts[old]))
-        sizes[old] += size
+    flow = plan_transfers([t[2] for t in totals], shards, [t[0] for t in totals])
+    whole, divided = [], []  # (old, block, shard, low, high), (first row, rows)
+    before, counts = {}, [0] * old_shards
+    for (old, block, _, n), out in zip(totals, flow, strict=True):
+        before[old, block] = counts[old]
         counts[old] += n
-    flow = plan_transfers(sizes, shards)
-    stretches = []
-    for i, out in enumerate(flow):
-        order = sorted((j for j in range(shards) if out[j]), key=lambda j: (j != i, j))
-        ends = list(accumulate(out[j] for j in order))
-        stretches += [(i, j, end - out[j], end) for j, end in zip(order, ends, strict=True)]
-
-    at = Window.partitionBy("old", "block").orderBy("row")
-    offsets = spark.createDataFrame(before, "old int, block int, block_bytes long, block_rows long")
-    cuts = spark.createDataFrame(stretches, "old int, shard int, low long, high long")
-    placed = (
-        rows.withColumns({"start": F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "nth": F.row_number().over(at) - 1})
-        .join(F.broadcast(offsets), ["old", "block"])  # bounded by old_shards * blocks
-        .withColumns({"start": F.col("start") + F.col("block_bytes"), "nth": F.col("nth") + F.col("block_rows")})
-        .join(F.broadcast(cuts), "old")  # bounded by old_shards * shards; each row is in one stretch
-        .filter("2 * start + size >= 2 * low and 2 * start + size < 2 * high")  # by a row's middle
-        .select("id", "size", "crc", "old", "nth", "shard")
-    )
-    placed = scratch.save(placed)
-    scratch.drop(saved)
-    firsts, filled = [], [0] * shards
-    for j, i, first, n in sorted(tuple(r) for r in placed.groupBy("shard", "old").agg(F.min("nth"), F.count("*")).collect()):
-        firsts.append((i, j, filled[j] - first))
-        filled[j] += n
-    shift = spark.createDataFrame(firsts, "old int, shard int, shift long")
-    return placed.join(F.broadcast(shift), ["old", "shard"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), (F.col("old") != F.col("shard")).alias("moved")
+        order = sorted((j for j in range(shards) if out[j]), key=lambda j: (j != old, j))
+        low = 0
+        for j in order:
+            part = (old, block, j, low, low + out[j])
+            low += out[j]
+            if len(order) == 1:
+                whole.append((part, (0, n)))
+            else:
+                divided.append(part)
+
+    def dealt(some: DataFrame, parts: list[tuple], schema: str) -> DataFrame:
+        at = Window.partitionBy("old", "block").orderBy("row")
+        return (
+            some.withColumns({"start": F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "nth": F.row_number().over(at) - 1})
+            .join(F.broadcast(spark.createDataFrame(parts, schema)), ["old", "block"])  # at most one row a block, and the few cuts
+            .filter("2 * start + size >= 2 * low and 2 * start + size < 2 * high")  # by a row's middle
+        )
+
+    schema = "old int, block int, shard int, low long, high long"
+    found = {}
+    if divided:  # at most a few for each new shard
+        cut = spark.createDataFrame(sorted({p[:2] for p in divided}), "old int, block int")
+        parts = dealt(rows.join(F.broadcast(cut), ["old", "block"]), divided, schema)
+        found = {tuple(r)[:3]: tuple(r)[3:] for r in parts.groupBy("old", "block", "shard").agg(F.min("nth"), F.count("*")).collect()}
+    placed, filled = [], [0] * shards
+    for part, (first, n) in sorted(whole + [(p, found.get(p[:3], (0, 0))) for p in divided], key=lambda p: (p[0][0] != p[0][2], p)):
+        placed.append((*part, before[part[:2]], filled[part[2]] - first))
+        filled[part[2]] += n
+    return dealt(rows, placed, schema + ", before long, shift long").select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("nth") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), (F.col("old") != F.col("shard")).alias("moved"), "block", (F.col("nth") + F.col("before")).alias("old_slot")
     )
 
 

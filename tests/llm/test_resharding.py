@@ -55,6 +55,50 @@ def test_rewrites_affected_shards(spark, documents, tmp_path):
     assert set(docs.columns) <= set(back.columns)
 
 
+def test_the_flow_runs_over_blocks(documents, monkeypatch):
+    seen = []
+    solve = resharding.min_cost_flow
+    monkeypatch.setattr(resharding, "min_cost_flow", lambda supply, capacity, cost: seen.append((supply, cost, solve(supply, capacity, cost))) or seen[-1][2])
+    rng = random.Random(11)
+    got = resharding.reshard(documents([(i, "x" * rng.randint(0, 40)) for i in range(600)]), old(), 2, 4, blocks=8).collect()
+    [(supply, cost, flow)] = seen
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.old_shard, r.block), []).append(r)
+    keys = sorted(blocks)
+    assert len(keys) == 16 and supply == [sum(r.size for r in blocks[k]) for k in keys]
+    assert cost == [[int(j != o) for j in range(4)] for o, _ in keys]
+    divided = 0
+    for k, out in zip(keys, flow, strict=True):
+        goes = [sum(r.size for r in blocks[k] if r.shard == j) for j in range(4)]
+        divided += sum(x > 0 for x in out) > 1
+        assert all(abs(a - b) <= 41 for a, b in zip(goes, out, strict=True)) if sum(x > 0 for x in out) > 1 else goes == out
+    assert 0 < divided < 4
+    old_sizes = [sum(r.size for r in got if r.old_shard == o) for o in range(2)]
+    least = sum(max(0, a - b) for a, b in zip(old_sizes, resharding.even_capacities(sum(supply), 4), strict=False))
+    assert abs(sum(r.size for r in got if r.moved) - least) <= 2 * 41
+
+
+@pytest.mark.parametrize("old_shard", ["int(doc_id % 3 > 0)", "int(doc_id % 3 = 0)", "3 - int(doc_id % 4 > 0)", "doc_id % 6"])
+def test_only_rows_on_a_transfer_change_their_place(documents, old_shard):
+    rng = random.Random(12)
+    got = resharding.reshard(documents([(i, "x" * rng.randint(0, 40)) for i in range(600)]), F.expr(old_shard), 6, 4, blocks=8).collect()
+    for shard in range(6):
+        assert sorted(r.old_slot for r in got if r.old_shard == shard) == list(range(sum(r.old_shard == shard for r in got)))
+    assert any(r.moved for r in got) and any(not r.moved for r in got)
+    assert all(r.slot == r.old_slot for r in got if not r.moved)
+
+
+def test_flow_of_many_blocks_passes_flow_on():
+    # the first block's cheapest place is taken by one that can't be elsewhere as cheaply
+    assert resharding.min_cost_flow([3, 3, 2], [3, 3, 2], [[0, 1, 9], [0, 5, 9], [0, 1, 1]]) == [[0, 3, 0], [3, 0, 0], [0, 0, 2]]
+    sizes, olds = [7] * 3000 + [5] * 1000, [0] * 3000 + [1] * 1000
+    flow = resharding.plan_transfers(sizes, 8, olds)
+    assert [sum(r) for r in flow] == sizes and [sum(c) for c in zip(*flow, strict=True)] == resharding.even_capacities(26000, 8)
+    assert sum(x for r, o in zip(flow, olds, strict=True) for j, x in enumerate(r) if j != o) == 26000 - 2 * 3250
+    assert sum(sum(x > 0 for x in r) > 1 for r in flow) <= 8
+
+
 def test_unknown_shards_are_refused(documents):
     with pytest.raises(ValueError):
         resharding.reshard(documents([(1, "x")]), F.lit(7), 2)
