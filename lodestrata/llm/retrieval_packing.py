@@ -12,6 +12,7 @@ the next seed. What remains at a shard's end is cut into sequences of powers of
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import re
 import zlib
@@ -19,11 +20,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import worker
 from .columns import numbered, place
-from .hashing import column, mix
+from .hashing import column, mix, slices
 from .packing import BYTE_CHARS
 from .scratch import Scratch
 from .spans import runs
@@ -43,7 +45,8 @@ class ByteTokens:
     """Token ids of texts by a tokenizer's file.
 
     If a trial shows that the file is a byte-level one with its merges in the order of its ids, a second library works
-    the same ids out, several times as fast. Texts that hold a special token's string go to the first.
+    the same ids out, several times as fast. Texts that hold a special token's string go to the first. No token reaches from
+    another character to a white space after it, so of many texts each different word with its space before it is worked out once.
     """
 
     GAP = re.compile(r"\s\s")
@@ -63,7 +66,9 @@ class ByteTokens:
             ranks = {bytes(byte[c] for c in t): k for t, k in vocabulary.items()}
             with contextlib.suppress(Exception):  # a vocabulary of another kind
                 self.fast = [tiktoken.Encoding(name, pat_str=words, mergeable_ranks=ranks, special_tokens={}) for name, words in (("words", WORDS), ("plain", PLAIN_WORDS))]
-        if self.fast and [self.ids(t) for t in TRIAL] != [self._slow(t) for t in TRIAL]:
+            self.spaced = np.zeros(self.size, dtype=bool)  # the ids of tokens that begin with a space
+            self.spaced[[k for t, k in ranks.items() if t[:1] == b" "]] = True
+        if self.fast and not [self.ids(t) for t in TRIAL] == [x.tolist() for x in self.arrays(pa.array(TRIAL))] == [self._slow(t) for t in TRIAL]:
             self.fast = None
 
     @staticmethod
@@ -74,10 +79,65 @@ class ByteTokens:
     def _slow(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _fast(self, text: str) -> list[int]:
+        return self.fast[0 if self.GAP.search(text) else 1].encode_ordinary(text)
+
     def ids(self, text: str) -> list[int]:
         if not self.fast or any(s in text for s in self.special):
             return self._slow(text)
-        return self.fast[0 if self.GAP.search(text) else 1].encode_ordinary(text)
+        return self._fast(text)
+
+    def arrays(self, texts: pa.Array, end: tuple[int, ...] = ()) -> list[np.ndarray]:
+        """The ids of each text, and those of ``end`` after them."""
+        texts = pc.fill_null(texts, "")
+        if not self.fast or not len(texts):
+            return [np.array([*self.ids(t), *end], dtype="<u4") for t in texts.to_pylist()]
+        split = pc.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy()
+        firsts, lasts = edges[:-1], edges[1:] - 1
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        trailing = pc.binary_length(pc.utf8_rtrim_whitespace(words)).to_numpy(zero_copy_only=False) < size
+        joint = ~trailing & (size > 0)  # a cut after these words is one between tokens
+
+        # texts with a cut of another kind are worked out by themselves
+        apart = np.zeros(len(texts), dtype=bool)
+        for x in self.special:
+            apart |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        loose = ~joint[word]
+        loose[firsts] = trailing[word[firsts]]
+        loose[lasts] = False
+        apart |= np.logical_or.reduceat(loose, firsts)
+
+        known = pa.ListArray.from_arrays(pa.array([0, int(joint.sum())], pa.int32()), words.filter(pa.array(joint)))
+        together = pc.binary_join(known, pa.scalar(" ", words.type))[0].as_py()
+        ids = self._fast(f" {together}") if together else []
+        ids = np.fromiter(ids, dtype="<u4", count=len(ids))
+
+        # what stands for itself: the first words, last words that no cut follows, nothing, and the end
+        own = [self.ids(text.as_py() if alone else first) for alone, text, first in zip(apart.tolist(), texts, flat.take(pa.array(firsts)).to_pylist(), strict=True)]
+        ending = lasts[~joint[word[lasts]] & (lasts > firsts)]
+        own += [self.ids(f" {t}") for t in flat.take(pa.array(ending)).to_pylist()]
+        own += [[], [*end]]
+        counts = np.array([len(x) for x in own])
+        begins = np.concatenate([np.flatnonzero(self.spaced[ids]), len(ids) + np.cumsum(counts) - counts])
+        counts = np.diff(begins, append=len(ids) + int(counts.sum()))
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(own), dtype="<u4")])
+
+        at = (np.cumsum(joint) - 1)[word]
+        at[ending] = len(begins) - 2 - len(ending) + np.arange(len(ending))
+        at[np.repeat(apart, np.diff(edges))] = len(begins) - 2
+        at[firsts] = int(joint.sum()) + np.arange(len(firsts))
+        at = np.insert(at, edges[1:], len(begins) - 1)
+        sizes = counts[at]
+        stops = np.cumsum(sizes)
+        kind = np.int32 if stops[-1] < 1 << 31 else np.int64
+        places = np.arange(stops[-1], dtype=kind)
+        places += np.repeat((begins[at] - stops + sizes).astype(kind), sizes)
+        out = ids[places]
+        return np.split(out, stops[edges[1:-1] + np.arange(len(texts) - 1)])
 
 
 def narrow(ids: np.ndarray, size: int) -> bytes:
@@ -95,18 +155,9 @@ def split_documents(docs: DataFrame, tokenizer: Callable[[], str], capacity: int
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens.of(tokenizer())
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and size < 2_000_000:
-                    size += len(texts[stop])
-                    stop += 1
+            for part in slices(batch):
                 rows: list[tuple] = []
-                for k in range(at, stop):
-                    ids = tokens.ids(texts[k])
-                    ids.append(end_id)
-                    own = np.fromiter(ids, dtype="<u4", count=len(ids))
+                for k, own in enumerate(tokens.arrays(part.column(1), (end_id,))):
                     n = len(own)
                     tail = n - n % capacity
                     rows += [(k, low, capacity, zlib.crc32(own[low : low + capacity]), n, None, None, None) for low in range(0, tail, capacity)]
@@ -115,8 +166,7 @@ def split_documents(docs: DataFrame, tokenizer: Callable[[], str], capacity: int
                         rows.append((k, tail, n - tail, None, n, narrow(own[tail:], tokens.size), narrow(terms, tokens.size), np.minimum(counts, 65535).astype("<u2").tobytes()))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, kind) for c, kind in zip(cols[1:], kinds, strict=True))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms", "counts"])
-                at = stop
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, kind) for c, kind in zip(cols[1:], kinds, strict=True))], names=["id", "start", "length", "ids_crc32", "doc_tokens", "ids", "terms", "counts"])
 
     worker.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -213,16 +263,27 @@ class Shard:
         w = stats.weights(terms, counts.astype(np.float32), table.column("doc_tokens").to_numpy()[item])
         item, terms, w = item[w > 0], terms[w > 0], w[w > 0]
         self.terms = np.split(terms, np.searchsorted(item, np.arange(1, self.n)))
+        # terms of an eighth of the items have a row for all items, the others a list
+        often = np.bincount(terms, minlength=len(stats.idf))
+        common = np.flatnonzero(8 * often >= max(1, self.n))
+        self.row = np.full(len(often), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        row = self.row[terms]
+        self.rows[row[row >= 0], item[row >= 0]] = w[row >= 0]
+        item, terms, w = item[row < 0], terms[row < 0], w[row < 0]
         order = np.argsort(terms, kind="stable")
         self.items, self.weights = item[order], w[order]
         self.begins = np.searchsorted(terms[order], np.arange(len(stats.idf) + 1))
 
     def scores(self, query: int) -> np.ndarray:
         """BM25 of all items for the terms of one."""
-        own = self.terms[query]
-        begins, sizes = self.begins[own], self.begins[own.astype(np.int64) + 1] - self.begins[own]
+        row = self.row[self.terms[query]]
+        own = self.terms[query][row < 0].astype(np.int64)
+        begins = self.begins[own]
+        sizes = self.begins[own + 1] - begins
         at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-        return np.bincount(self.items[at], self.weights[at], self.n)
+        return np.bincount(self.items[at], self.weights[at], self.n) + self.rows[row[row >= 0]].sum(axis=0)
 
     def windows(self, capacity: int) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as (item, from, to)."""
@@ -252,14 +313,19 @@ class Shard:
                 free = np.flatnonzero(left)
                 # unrelated items come last, in their order
                 ranked = free[np.argsort(-score[free], kind="stable")]
-                for item, tokens in zip(ranked.tolist(), left[ranked].tolist(), strict=True):
-                    if tokens <= room:
-                        take(item, tokens)
-                        room -= tokens
-                        if not room:
-                            break
-                    elif cut is None:
-                        cut = item
+                tokens = left[ranked]
+                at = 0
+                while room and at < len(ranked):
+                    fits = tokens[at:] <= room
+                    first = int(fits.argmax())
+                    if cut is None and not fits[0]:
+                        cut = int(ranked[at])
+                    if not fits[first]:
+                        break
+                    at += first
+                    take(int(ranked[at]), int(tokens[at]))
+                    room -= int(tokens[at])
+                    at += 1
                 if room and cut is not None:
                     take(cut, room)
                     room = 0

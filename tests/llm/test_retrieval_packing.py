@@ -29,6 +29,40 @@ def test_both_libraries_give_the_same_ids(seed):
     assert own.fast and [own.ids(t) for t in texts] == whole_ids(texts, retrieval_tokenizer())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_batches_of_texts_give_the_same_ids(seed):
+    rng = random.Random(seed)
+    own = rp.ByteTokens(retrieval_tokenizer())
+    # every other seed without white space but single spaces, so that few texts are worked out by themselves
+    alphabet = ALPHABET if seed % 2 else [c for c in ALPHABET if not c.isspace()] + [" "] * 6
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + [None, "", " ", "  ", "a ", "a\n", " a b", "a b\n", "a <|endoftext|> b", "b <|endoftext|>"]
+    rng.shuffle(texts)
+    for kind in (pa.string(), pa.large_string()):
+        got = own.arrays(pa.array(texts, kind), (7,))
+        assert [x.tolist() for x in got] == [[*ids, 7] for ids in whole_ids(texts, retrieval_tokenizer())]
+    assert own.arrays(pa.array([], pa.string()), (7,)) == []
+
+
+def test_a_word_of_many_texts_is_tokenised_once():
+    rng = random.Random(5)
+    own = rp.ByteTokens(retrieval_tokenizer())
+    vocabulary = words(rng, 50)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(200)]
+    want, given = whole_ids(texts, retrieval_tokenizer()), []
+
+    class Counting:
+        def __init__(self, fast):
+            self.fast = fast
+
+        def encode_ordinary(self, text):
+            given.append(len(text))
+            return self.fast.encode_ordinary(text)
+
+    own.fast = [Counting(f) for f in own.fast]
+    assert [x.tolist() for x in own.arrays(pa.array(texts))] == want
+    assert sum(given) < 0.05 * sum(map(len, texts))
+
+
 def test_another_kind_of_tokenizer_is_used_as_it_is():
     own = rp.ByteTokens(packing_tokenizer())
     assert not own.fast and own.ids("Some words here") == whole_ids(["Some words here"], packing_tokenizer())[0]
@@ -71,6 +105,35 @@ def test_windows_hold_every_token_once(seed):
         assert cuts[0][0] == 0 and cuts[-1][1] == len(doc) and all(x[1] == y[0] for x, y in zip(cuts, cuts[1:]))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_take_the_best_that_fit(seed):
+    """Against the rule in plain words, on shards with terms of many items and of few."""
+    rng = random.Random(seed)
+    docs = [[int(rng.paretovariate(0.6)) % 300 for _ in range(rng.randint(1, 63))] for _ in range(120)]
+    stats = rp.Statistics({**Counter(t for d in docs for t in set(d)), rp.DOCS: len(docs), rp.TOKENS: sum(map(len, docs))})
+    shard = rp.Shard(table(docs), stats)
+    left, seeded = [len(d) for d in docs], None
+    for window in shard.windows(64):
+        if sum(b - a for _, a, b in window) < 64:
+            break
+        if seeded is None or not left[seeded]:
+            seeded = next(k for k in range(len(docs)) if left[k])
+        want, room, cut, score = [(seeded, left[seeded])], 64 - left[seeded], None, shard.scores(seeded)
+        left[seeded] = 0
+        for k in sorted((k for k in range(len(docs)) if left[k]), key=lambda k: -score[k]):
+            if room and left[k] <= room:
+                want.append((k, left[k]))
+                room -= left[k]
+                left[k] = 0
+            elif room and cut is None:
+                cut = k
+        if room:
+            want.append((cut, room))
+            left[cut] -= room
+        assert [(k, b - a) for k, a, b in window] == want
+        seeded = cut
+
+
 def test_a_seed_gets_its_nearest_neighbours():
     rng = random.Random(3)
     docs = [[10 * topic + rng.randrange(10) for _ in range(16)] for topic in range(8) for _ in range(4)]
